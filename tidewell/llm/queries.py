@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_pivots": op1_simhash_pivots,
     "op8_line_quality": op8_line_quality,
 }
 
