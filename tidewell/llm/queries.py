@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import packing, quality_rules, simhash, sstable
 from .common import documents
+from .encoding import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +17,23 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digest(documents(spark, sf_dir), vocabulary_path())
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op10_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(documents(spark, sf_dir), vocabulary_path())
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op6_sorted_string_tables": op6_sorted_string_tables,
     "op8_line_quality": op8_line_quality,
+    "op10_dominance_packing": op10_dominance_packing,
 }
 
 #: DuckDB SQL where whole tables are quick enough in it.
