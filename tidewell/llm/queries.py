@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, simhash, sstable
-from .common import documents
+from . import decontaminate, license_scan, packing, quality_rules, simhash, sstable
+from .common import documents, table
 from .encoding import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(documents(spark, sf_dir), vocabulary_path())
 
@@ -31,6 +39,8 @@ def op10_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op4_spaced_seeds": op4_spaced_seeds,
+    "op5_license_sentences": op5_license_sentences,
     "op6_sorted_string_tables": op6_sorted_string_tables,
     "op8_line_quality": op8_line_quality,
     "op10_dominance_packing": op10_dominance_packing,
