@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, quality_rules, simhash, sstable
+from . import decontaminate, license_scan, packing, pii, quality_rules, simhash, sstable
 from .common import documents, table
 from .encoding import vocabulary_path
 
@@ -29,6 +29,10 @@ def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(documents(spark, sf_dir), vocabulary_path())
 
 
+def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_license_sentences": op5_license_sentences,
     "op6_sorted_string_tables": op6_sorted_string_tables,
+    "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_line_quality": op8_line_quality,
     "op10_dominance_packing": op10_dominance_packing,
 }
