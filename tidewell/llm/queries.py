@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, pii, quality_rules, simhash, sstable
+from . import decontaminate, langid, license_scan, nbsvm, packing, pii, quality_rules, simhash, sstable
 from .common import documents, table
 from .encoding import vocabulary_path
 
@@ -17,6 +17,14 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.digest(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op3_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(documents(spark, sf_dir))
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +51,8 @@ def op10_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op2_nb_svm_quality": op2_nb_svm_quality,
+    "op3_centroid_language": op3_centroid_language,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_license_sentences": op5_license_sentences,
     "op6_sorted_string_tables": op6_sorted_string_tables,
