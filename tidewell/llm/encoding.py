@@ -7,6 +7,10 @@ their characters; long runs are encoded anew each time.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
+
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +25,33 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters of Latin-1, then ASCII marks but the apostrophe: such a run is these two pieces at most, whatever
+#: stands beside it, and its letters have one lower case and no other normal form.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_alphabet() -> list[str]:
+    """The printable character of each byte in byte-level vocabularies: itself where it prints, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def _splits_simply(tokenizer) -> bool:
+    """Whether the file lower-cases and cuts texts as _SIMPLE supposes."""
+    told = json.loads(tokenizer.to_str())
+    kinds = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])]
+    cuts = [x.get("type") for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if kinds != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"]:
+        return False
+    split, level = told["pre_tokenizer"]["pretokenizers"]
+    own = split["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return own and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+
+
 class Encoder:
     """Ids as bytes, little-endian unsigned 32-bit each."""
 
@@ -32,13 +63,29 @@ class Encoder:
         self.mark, self.mark_text = next((i, x.content) for i, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
         self.kept: dict[bytes, bytes] = {}
         self.chars = 0
+        self.simple = _splits_simply(self.tokenizer)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.dtype("<u4"))
 
+    def _simple_ids(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of runs that need no cutting, from the merges alone."""
+        new, tokenize = {}, self.tokenizer.model.tokenize
+        for run in runs:
+            m = _SIMPLE.fullmatch(run.decode())
+            if m:
+                letters = m[1].lower()
+                if letters and not letters.isascii():
+                    letters = "".join([_ALPHABET[b] for b in letters.encode()])
+                ids = [x.id for x in tokenize(letters)] if letters else []
+                if m[2]:
+                    ids += [x.id for x in tokenize(m[2])]
+                new[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return new
+
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        texts = [x.decode() for x in runs]
-        new = {k: self._ids(x).tobytes() for k, x in zip(runs, texts, strict=True) if self.mark_text in x}
+        new = self._simple_ids(runs) if self.simple else {}
+        new |= {k: self._ids(x).tobytes() for k in runs if k not in new and self.mark_text in (x := k.decode())}
         plain = [k for k in runs if k not in new]
         if plain:
             ids = self._ids(self.mark_text.join(x.decode() for x in plain))
