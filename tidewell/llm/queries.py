@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, license_scan, nbsvm, packing, pii, quality_rules, simhash, sstable
+from . import ctw, decontaminate, langid, license_scan, nbsvm, packing, pii, quality_rules, simhash, sstable
 from .common import documents, table
 from .encoding import vocabulary_path
 
@@ -45,6 +45,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op10_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(documents(spark, sf_dir), vocabulary_path())
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op6_sorted_string_tables": op6_sorted_string_tables,
     "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_line_quality": op8_line_quality,
+    "op9_context_tree": op9_context_tree,
     "op10_dominance_packing": op10_dominance_packing,
 }
 
