@@ -82,20 +82,31 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _base_failed() -> Column:
+    return (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
+
+
+def _kept(most_lost: int) -> Column:
+    return ~_base_failed() & (100 * F.col("_q_lost_chars") <= most_lost * F.col("_q_all_chars"))
+
+
 def judge(docs: DataFrame, text: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
     """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept.
 
     docs must not have columns of these names; select what is needed first.
     """
-    df = _measured(docs, text)
-    base_failed = (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
-    lost = 100 * F.col("_q_lost_chars") > most_lost * F.col("_q_all_chars")
-    return df.select(
-        *docs.columns,
-        *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")],
-        base_failed.alias("base_failed"),
-        (~base_failed & ~lost).alias("kept"),
-    )
+    measures = [F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")]
+    return _measured(docs, text).select(*docs.columns, *measures, _base_failed().alias("base_failed"), _kept(most_lost).alias("kept"))
+
+
+def clean(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
+    """The documents that are kept, without their failing lines; n_chars, where there is one, is the new length."""
+    # Spark moves a filter below the columns it uses and repeats their expressions there, many times over; it
+    # leaves it above a column that is not deterministic.
+    df = _measured(docs, "text").withColumn("_q_row", F.monotonically_increasing_id())
+    df = df.filter(_kept(most_lost) & (F.col("_q_row") >= 0))
+    df = df.withColumn("text", F.when(F.col("_q_lost_chars") > 0, clean_text(F.col("text"))).otherwise(F.col("text"))).select(*docs.columns)
+    return df.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else df
 
 
 def quality(docs: DataFrame) -> DataFrame:

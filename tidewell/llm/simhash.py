@@ -161,6 +161,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the documents that have a near-duplicate of a smaller doc_id in their group."""
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    removed = near_duplicates(docs).filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
