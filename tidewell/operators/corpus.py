@@ -84,19 +84,29 @@ def checked_uint16(token: Column) -> Column:
     return F.when(token.between(0, 65535), token).otherwise(F.raise_error(F.lit("token id beyond 16 bits")))
 
 
-def windows(tokens: DataFrame, length: int, stride: int) -> DataFrame:
-    """(start, x, y): windows of a token table (offset, token), y one place later, whole windows only.
-
-    Tokens are grouped by stride blocks, each with the next tokens that its window needs, so no window over
-    all rows is taken.
-    """
-    reach = (length + stride) // stride
-    dealt = tokens.select("offset", "token", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("back"))
-    dealt = dealt.withColumn("start", (F.floor(F.col("offset") / stride) - F.col("back")) * stride)
-    dealt = dealt.filter((F.col("start") >= 0) & (F.col("offset") - F.col("start") <= length))
-    grouped = dealt.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("offset", "token"))).alias("t"))
-    ids = F.transform("t", lambda s: s["token"].cast("long"))
-    return grouped.filter(F.size("t") == length + 1).select("start", F.slice(ids, 1, length).alias("x"), F.slice(ids, 2, length).alias("y"))
+def token_stream(ids: DataFrame) -> DataFrame:
+    """(offset, token) of documents (pos, ids), one after another."""
+    sized = sum_before(ids.select("pos", F.size("ids").cast("long").alias("n")), "n", "before").select("pos", "before")
+    rows = ids.join(sized, "pos").select("before", F.posexplode("ids").alias("k", "token"))
+    return rows.select((F.col("before") + F.col("k")).alias("offset"), "token")
+
+
+def next_pairs(ids: DataFrame) -> DataFrame:
+    """(x, y) of all neighbours in the stream of documents (pos, ids), none of them empty, across their borders too."""
+    heads = sum_before(ids.select("pos", F.lit(1).cast("long").alias("one"), F.col("ids")[0].alias("head")), "one", "k")
+    after = heads.select((F.col("k") - 1).alias("k"), F.col("head").alias("next"))
+    ends = heads.join(after, "k", "left").select("pos", "next")
+    moved = F.concat(F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(0))), F.array("next"))
+    pairs = ids.join(ends, "pos").select(F.explode(F.zip_with("ids", moved, lambda a, b: F.struct(a.alias("x"), b.alias("y")))).alias("p"))
+    return pairs.select("p.x", "p.y").filter("y IS NOT NULL")
+
+
+def windows(tokens: DataFrame, length: int) -> DataFrame:
+    """(start, x, y): consecutive whole windows of a stream (offset, token), y one place later."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "token"))), lambda s: s["token"].cast("long"))
+    x = tokens.groupBy(F.floor(F.col("offset") / length).alias("w")).agg(ordered.alias("x"))
+    after = tokens.filter(F.col("offset") % length == 0).select((F.col("offset") / length - 1).cast("long").alias("w"), F.col("token").cast("long").alias("next"))
+    return x.join(after, "w").select((F.col("w") * length).alias("start"), "x", F.concat(F.slice("x", 2, length - 1), F.array("next")).alias("y"))
 
 
 def random_starts(spark, n_tokens: int, length: int, batch: int, seed: str) -> DataFrame:

@@ -41,18 +41,18 @@ _text_query("first_sentence", text.first_sentence, "split_part(text, '. ', 1)")
 _text_query("doc_bytes", lambda c: F.octet_length(c).cast("long"), "CAST(strlen(text) AS BIGINT)")
 _text_query(
     "byte_ids",
-    lambda c: F.array_join(text.byte_ids(F.substring(c, 1, 40)).cast("array<string>"), " "),
-    "array_to_string(list_transform(regexp_extract_all(hex(encode(substr(text, 1, 40))), '..'), lambda h: CAST(CAST('0x' || h AS INTEGER) AS VARCHAR)), ' ')",
+    lambda c: F.array_join(text.byte_ids(c).cast("array<string>"), " "),
+    "array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(CAST('0x' || h AS INTEGER) AS VARCHAR)), ' ')",
 )
 
-_PAIR = "SELECT doc_id, {p} AS p, {g} AS g FROM (SELECT doc_id, {a} AS a, {b} AS b FROM documents)"
-_PAIRS = _PAIR.format(p=fx.sql_words("a"), g=fx.sql_words("b"), a=fx.sql_normal("substr(text, 1, 200)"), b=fx.sql_normal("substr(text, 101, 200)"))
+_FIRST = "split_part(text, '. ', 1)"
+_PAIRS = f"SELECT doc_id, {fx.sql_words('a')} AS p, {fx.sql_words('b')} AS g FROM (SELECT doc_id, {fx.sql_normal('text')} AS a, {fx.sql_normal(_FIRST)} AS b FROM documents)"
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    d = fx.table(spark, sf_dir, "documents")
-    cut = lambda at: text.words(text.normalize_answer(F.substring("text", at, 200)))
-    return d.select("doc_id", cut(1).alias("p"), cut(101).alias("g"))
+    """The words of each text and of its first sentence."""
+    own = lambda c: text.words(text.normalize_answer(c))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", own(F.col("text")).alias("p"), own(text.first_sentence(F.col("text"))).alias("g"))
 
 
 @query("token_overlap", f"SELECT doc_id, {fx.sql_overlap('p', 'g')} AS common FROM ({_PAIRS})")
