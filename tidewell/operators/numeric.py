@@ -19,11 +19,16 @@ def add(a: Column, b: Column) -> Column:
 
 
 def layer_norm(df: DataFrame, column: str, out: str, eps: float = 1e-5) -> DataFrame:
-    """Adds the vector with mean 0 and variance 1."""
+    """Adds the vector with mean 0 and variance 1.
+
+    Mean and deviation reach the lambdas as arrays: a column used once in a lambda would be computed anew there
+    for every element.
+    """
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    df = df.withColumn("_n", F.size(column)).withColumn("_m", total(F.col(column)) / F.col("_n"))
-    df = df.withColumn("_v", F.aggregate(column, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.col("_n"))
-    return df.withColumn(out, F.transform(column, lambda x: (x - F.col("_m")) / F.sqrt(F.col("_v") + eps))).drop("_n", "_m", "_v")
+    mean = F.array_repeat(total(F.col(column)) / F.size(column), F.size(column))
+    df = df.withColumn("_c", F.zip_with(column, mean, lambda x, m: x - m))
+    deviation = F.sqrt(total(F.transform("_c", lambda x: x * x)) / F.size("_c") + eps)
+    return df.withColumn(out, F.zip_with("_c", F.array_repeat(deviation, F.size("_c")), lambda x, d: x / d)).drop("_c")
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:

@@ -1,0 +1,178 @@
+"""Queries of sampling, schedules and dense arithmetic.  Embeddings serve as logits and vectors, events as losses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewell.operators import numeric, sampling
+
+from . import fixtures as fx
+from .registry import query
+
+DIGITS = 5
+
+
+def _rounded(c, digits: int = DIGITS):
+    """Rounded, with no negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def vectors(spark, sf_dir):
+    return fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+def logits(spark, sf_dir):
+    return vectors(spark, sf_dir).select(F.col("id").alias("seq"), F.posexplode("v").alias("token", "logit"))
+
+
+V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+LOGITS = f"{V}, l AS (SELECT id AS seq, CAST(i - 1 AS INTEGER) AS token, v[i] AS logit FROM (SELECT id, v, unnest(range(1, len(v) + 1)) AS i FROM v))"
+SOFTMAX = "e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq)) AS e FROM {}), p AS (SELECT seq, token, e / sum(e) OVER (PARTITION BY seq) AS p FROM e)"
+
+
+@query("temperature_scale", f"WITH {LOGITS} SELECT seq, token, round(logit / 0.7::DOUBLE, {DIGITS}) + 0.0 AS logit FROM l")
+def temperature_scale(spark, sf_dir):
+    return sampling.temperature(logits(spark, sf_dir), 0.7).withColumn("logit", _rounded(F.col("logit")))
+
+
+@query("topk_logits", f"WITH {LOGITS} SELECT seq, token, logit FROM (SELECT *, rank() OVER (PARTITION BY seq ORDER BY logit DESC) AS r FROM l) WHERE r <= 5")
+def topk_logits(spark, sf_dir):
+    return sampling.top_k(logits(spark, sf_dir), 5)
+
+
+@query("softmax_probs", f"WITH {LOGITS}, {SOFTMAX.format('l')} SELECT seq, token, round(p, 6) AS p FROM p")
+def softmax_probs(spark, sf_dir):
+    return sampling.softmax(logits(spark, sf_dir)).select("seq", "token", F.round("p", 6).alias("p"))
+
+
+@query("sample_next_token", f"""WITH {LOGITS}, {SOFTMAX.format('l')}, c AS (SELECT seq, token, sum(p) OVER (PARTITION BY seq ORDER BY token) AS c, CAST('0x' || substr(md5('draw:' || seq), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM p)
+  SELECT seq, coalesce(min(token) FILTER (WHERE c >= u), max(token)) AS token FROM c GROUP BY seq""")
+def sample_next_token(spark, sf_dir):
+    return sampling.sample(sampling.softmax(logits(spark, sf_dir)), "draw")
+
+
+STEPS, WARMUP, RATE, LEAST = 6001, 200, 3e-4, 3e-5
+DECAY_FROM = 4800
+
+
+@query("lr_schedule", f"""SELECT it, round(CASE WHEN it < {WARMUP} THEN {RATE}::DOUBLE * (it + 1) / {WARMUP} WHEN it > 6000 THEN {LEAST}::DOUBLE
+  ELSE {LEAST}::DOUBLE + 0.5 * (1 + cos(pi() * (it - {WARMUP}) / {6000.0 - WARMUP}::DOUBLE)) * ({RATE}::DOUBLE - {LEAST}::DOUBLE) END, 10) AS lr FROM (SELECT unnest(range({STEPS + 100})) AS it)""")
+def lr_schedule(spark, sf_dir):
+    return spark.range(STEPS + 100).select(F.col("id").alias("it"), F.round(sampling.cosine_rate(F.col("id"), WARMUP, 6000, RATE, LEAST), 10).alias("lr"))
+
+
+@query("wsd_schedule", f"""SELECT it, round(CASE WHEN it < {WARMUP} THEN {RATE}::DOUBLE * (it + 1) / {WARMUP} WHEN it < {DECAY_FROM} THEN {RATE}::DOUBLE WHEN it <= 6000
+  THEN {RATE}::DOUBLE + ({LEAST}::DOUBLE - {RATE}::DOUBLE) * (it - {DECAY_FROM}) / {6000.0 - DECAY_FROM}::DOUBLE ELSE {LEAST}::DOUBLE END, 10) AS lr FROM (SELECT unnest(range({STEPS + 100})) AS it)""")
+def wsd_schedule(spark, sf_dir):
+    return spark.range(STEPS + 100).select(F.col("id").alias("it"), F.round(sampling.plateau_rate(F.col("id"), WARMUP, DECAY_FROM, 6000, RATE, LEAST), 10).alias("lr"))
+
+
+@query("eval_steps", f"SELECT it FROM (SELECT unnest(range({STEPS})) AS it) WHERE it % 250 = 0")
+def eval_steps(spark, sf_dir):
+    return spark.range(STEPS).select(F.col("id").alias("it")).filter("it % 250 = 0")
+
+
+@query("best_checkpoint", """WITH s AS (SELECT event_id // 100 AS step, round(avg(value), 6) AS loss FROM events GROUP BY 1)
+  SELECT step, loss, loss < coalesce(min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE) AS improved FROM s""")
+def best_checkpoint(spark, sf_dir):
+    steps = fx.table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).alias("step")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    return sampling.running_best(steps, "loss", "step")
+
+
+_SPLIT = "CASE WHEN event_type = 'purchase' THEN 'val' ELSE 'train' END"
+
+
+@query("mean_loss_by_split", f"SELECT {_SPLIT} AS split, count(*) AS n, round(avg(value), {DIGITS}) AS loss FROM events GROUP BY 1")
+def mean_loss_by_split(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").groupBy(F.expr(_SPLIT).alias("split")).agg(F.count("*").alias("n"), F.round(F.avg("value"), DIGITS).alias("loss"))
+
+
+@query("grad_accum_loss", f"SELECT event_id // 8 AS step, round(sum(value / 8), {DIGITS}) AS loss FROM events GROUP BY 1")
+def grad_accum_loss(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 8).alias("step")).agg(F.round(F.sum(F.col("value") / 8), DIGITS).alias("loss"))
+
+
+_SHAPES = [("wte", [32768, 1024], True), ("wpe", [256, 1024], True), ("attn.qkv.weight", [3072, 1024], True), ("attn.qkv.bias", [3072], True), ("ln.weight", [1024], True), ("ln.bias", [1024], True), ("mlp.weight", [4096, 1024], True), ("buffer", [256, 256], False)]
+_VALUES = ", ".join(f"('{n}', {s}, {str(t).lower()})" for n, s, t in _SHAPES)
+
+
+def _shapes(spark):
+    return spark.createDataFrame(_SHAPES, "name string, shape array<int>, trainable boolean")
+
+
+@query("param_groups", f"SELECT name, CASE WHEN len(shape) >= 2 THEN 'decay' ELSE 'no_decay' END AS grp FROM (VALUES {_VALUES}) s(name, shape, trainable) WHERE trainable")
+def param_groups(spark, sf_dir):
+    return numeric.decay_groups(_shapes(spark))
+
+
+@query("param_count", f"SELECT CAST(sum(list_product(shape)) AS BIGINT) AS parameters FROM (VALUES {_VALUES}) s(name, shape, trainable)")
+def param_count(spark, sf_dir):
+    return numeric.parameter_count(_shapes(spark))
+
+
+_SUM = "list_sum(list_transform({0}, lambda x: {1}))"
+
+
+@query("cross_entropy", f"WITH {V} SELECT id, round(ln({_SUM.format('v', 'exp(x - list_max(v))')}) + list_max(v) - v[label % len(v) + 1], {DIGITS}) AS loss FROM v")
+def cross_entropy(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.round(numeric.cross_entropy(F.col("v"), F.col("label") % F.size("v")), DIGITS).alias("loss"))
+
+
+@query("layer_norm", f"""WITH {V}, m AS (SELECT *, list_avg(v) AS m FROM v), s AS (SELECT *, list_avg(list_transform(v, lambda x: (x - m) * (x - m))) AS s FROM m)
+  SELECT id, i - 1 AS d, round((v[i] - m) / sqrt(s + 1e-5::DOUBLE), {DIGITS}) + 0.0 AS x FROM (SELECT *, unnest(CAST(range(1, len(v) + 1) AS INTEGER[])) AS i FROM s)""")
+def layer_norm(spark, sf_dir):
+    n = numeric.layer_norm(vectors(spark, sf_dir), "v", "y")
+    return n.select("id", F.posexplode("y").alias("d", "x")).withColumn("x", _rounded(F.col("x")))
+
+
+@query("residual_add", f"WITH {V} SELECT id, i - 1 AS d, round(v[i] + list_reverse(v)[i], {DIGITS}) + 0.0 AS x FROM (SELECT *, unnest(CAST(range(1, len(v) + 1) AS INTEGER[])) AS i FROM v)")
+def residual_add(spark, sf_dir):
+    y = vectors(spark, sf_dir).select("id", F.posexplode(numeric.add(F.col("v"), F.reverse("v"))).alias("d", "x"))
+    return y.withColumn("x", _rounded(F.col("x")))
+
+
+@query("gelu")
+def gelu(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.posexplode(numeric.gelu(F.col("v"))).alias("d", "x")).withColumn("x", _rounded(F.col("x")))
+
+
+@query("grad_clip", f"WITH {LOGITS}, n AS (SELECT sqrt(sum(logit * logit)) AS n FROM l) SELECT seq, token, round(n, {DIGITS}) AS norm, round(logit * least(1.0::DOUBLE, 1.0::DOUBLE / (n + 1e-6::DOUBLE)), 9) + 0.0 AS logit FROM l, n")
+def grad_clip(spark, sf_dir):
+    c = numeric.clip_by_norm(logits(spark, sf_dir), "logit", 1.0)
+    return c.select("seq", "token", F.round("norm", DIGITS).alias("norm"), _rounded(F.col("logit"), 9).alias("logit"))
+
+
+# Turns of conversations as token sequences: a turn's token is its text's length, folded into the vector table.
+_N = "(SELECT count(*) FROM embeddings)"
+_EMBED = f"""{V}, turns AS (SELECT conv_id AS seq, turn AS pos, length(text) % {_N} AS token FROM conversations),
+em AS (SELECT seq, pos, list_transform(list_zip(a.v, b.v), lambda z: z[1] + z[2]) AS v FROM turns JOIN v a ON a.id = token JOIN v b ON b.id = pos)"""
+
+
+def _embedded(spark, sf_dir):
+    table = vectors(spark, sf_dir).select("id", "v")
+    n = fx.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    turns = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("seq"), F.col("turn").alias("pos"), F.length("text").alias("c"))
+    return numeric.embed(turns.select("seq", "pos", (F.col("c") % n.scalar()).alias("token")), table, table)
+
+
+@query("embedding_lookup", f"WITH {_EMBED} SELECT seq, pos, round(v[1], {DIGITS}) + 0.0 AS first, round(list_sum(v), 4) + 0.0 AS total FROM em")
+def embedding_lookup(spark, sf_dir):
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return _embedded(spark, sf_dir).select("seq", "pos", _rounded(F.col("v")[0]).alias("first"), _rounded(total, 4).alias("total"))
+
+
+@query("causal_attention", f"""WITH {_EMBED}, s AS (SELECT q.seq, q.pos AS qp, k.v, list_dot_product(q.v, k.v) / sqrt(len(q.v)::DOUBLE) AS s FROM em q JOIN em k ON q.seq = k.seq AND k.pos <= q.pos),
+  e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, qp)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, qp) AS p FROM e)
+  SELECT seq, qp AS pos, CAST(i - 1 AS INTEGER) AS d, round(sum(p * v[i]), 4) + 0.0 AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p) GROUP BY 1, 2, 3""")
+def causal_attention(spark, sf_dir):
+    rows = _embedded(spark, sf_dir).select("seq", "pos", F.col("v").alias("q"), F.col("v").alias("k"), "v")
+    return numeric.causal_attention(rows).select("seq", "pos", F.posexplode("out").alias("d", "x")).withColumn("x", _rounded(F.col("x"), 4))
+
+
+@query("lm_head_logits", f"""WITH {V}, h AS (SELECT label AS seq, list(m ORDER BY i) AS h FROM (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM v) GROUP BY 1, 2) GROUP BY 1)
+  SELECT seq, id AS token, round(list_dot_product(h, v), 4) + 0.0 AS logit FROM h JOIN v ON len(h) = len(v)""")
+def lm_head_logits(spark, sf_dir):
+    """Each label's mean vector against the whole tied table."""
+    cells = vectors(spark, sf_dir).select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
+    means = cells.groupBy(F.col("label").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("h"))
+    return numeric.lm_head(means, vectors(spark, sf_dir)).withColumn("logit", _rounded(F.col("logit"), 4))

@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("gate_queries", "evalset_queries", "corpus_queries")
+MODULES: tuple[str, ...] = ("gate_queries", "evalset_queries", "corpus_queries", "model_queries", "design_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
