@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -37,7 +38,7 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top - F.element_at(logits, target + 1)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def gelu(vectors: pd.Series) -> pd.Series:
     """x * Phi(x); there is no error function in the JVM's function set."""
     return vectors.map(lambda v: None if v is None else [0.5 * x * (1 + math.erf(x / math.sqrt(2))) for x in v])
