@@ -158,10 +158,13 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, text) of at most sample documents a language that are not held out."""
     told = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    # A bound on the hash, with room to spare, leaves few rows a language to be ranked.
-    sizes = told.groupBy("lang").agg(F.count("*").alias("_n"))
-    near = told.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000_000)).alias("_h")).join(sizes, "lang")
-    near = near.filter(F.col("_h") < 1e9 * (2 * sample + 200) / F.col("_n"))
+    # A bound on the hash, with room to spare, leaves few rows of each language to be moved and ranked.  The sizes
+    # are one number for each language that the model will hold.
+    sizes = {r.lang: r.n for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    bound = F.lit(0.0)
+    for lang, n in sizes.items():
+        bound = F.when(F.col("lang") == lang, 1e9 * (2 * sample + 200) / n).otherwise(bound)
+    near = told.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000_000)).alias("_h")).filter(F.col("_h") < bound)
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text")))
     return ranked.filter(F.col("_k") <= sample).select("lang", "text")
 
