@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Every known sentence holds one of these.
-CUES = ("licen", "permission", "redistribut", "warranty", "as is", "public domain", "spdx", "copyright")
+CUES = ("licen", "released under", "permission", "redistribut", "warranty", "as is", "public domain", "spdx", "copyright")
 
 #: Known sentences, normalised, by identifier.
 SENTENCES: dict[str, str] = {
