@@ -406,9 +406,16 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def fitted(docs: DataFrame) -> Field:
-    """A field fitted on at most SAMPLE_DOCS documents, chosen by a hash of their texts."""
+    """A field fitted on at most SAMPLE_DOCS documents, those of the smallest text hashes.
+
+    The bound on the hash is found first, without the texts, so that no task sends more than a few of them.
+    """
     holds = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("_h"))
-    return fit([r.text for r in holds.orderBy("_h", "text").limit(SAMPLE_DOCS).collect()])
+    last = holds.select("_h").orderBy("_h").limit(SAMPLE_DOCS).agg(F.max("_h")).first()[0]
+    if last is None:
+        return fit([])
+    # Repeated texts share a hash, so each is taken once.
+    return fit([r.text for r in holds.filter(F.col("_h") <= last).dropDuplicates(["_h"]).orderBy("_h").collect()])
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
