@@ -72,6 +72,7 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_q_lines", F.filter(_lines(F.col(text)), lambda x: x.rlike(f"[^{SPACE}]")))
     return df.select(
         *docs.columns,
+        F.monotonically_increasing_id().alias("_q_row"),
         "_q_n_words",
         F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("_q_word_chars"),
         F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("_q_n_symbols"),
@@ -83,7 +84,9 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _base_failed() -> Column:
-    return (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
+    # Spark moves a filter below the columns it uses and repeats their expressions there, many times over; it
+    # leaves it above a column that is not deterministic, as the row number (never negative) is.
+    return (F.col("_q_row") < 0) | (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
 
 
 def _kept(most_lost: int) -> Column:
@@ -101,10 +104,7 @@ def judge(docs: DataFrame, text: str = "text", most_lost: int = MOST_LOST) -> Da
 
 def clean(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
     """The documents that are kept, without their failing lines; n_chars, where there is one, is the new length."""
-    # Spark moves a filter below the columns it uses and repeats their expressions there, many times over; it
-    # leaves it above a column that is not deterministic.
-    df = _measured(docs, "text").withColumn("_q_row", F.monotonically_increasing_id())
-    df = df.filter(_kept(most_lost) & (F.col("_q_row") >= 0))
+    df = _measured(docs, "text").filter(_kept(most_lost))
     df = df.withColumn("text", F.when(F.col("_q_lost_chars") > 0, clean_text(F.col("text"))).otherwise(F.col("text"))).select(*docs.columns)
     return df.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else df
 
