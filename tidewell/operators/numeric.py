@@ -66,7 +66,7 @@ def causal_attention(rows: DataFrame) -> DataFrame:
 
 
 def lm_head(hidden: DataFrame, table: DataFrame) -> DataFrame:
-    """(seq, token, logit): hidden vectors against the tied table, which is broadcast as a fixed vocabulary."""
+    """(seq, token, logit): every hidden vector against every vector of the tied table of its length; dense by nature."""
     return hidden.join(table.select(F.col("id").alias("token"), "v"), F.size("h") == F.size("v")).select("seq", "token", dot(F.col("h"), F.col("v")).alias("logit"))
 
 
