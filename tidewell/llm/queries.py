@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ctw, decontaminate, langid, license_scan, nbsvm, packing, pii, quality_rules, simhash, sstable
 from .common import documents, table
 from .encoding import vocabulary_path
+from .oracle import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +68,3 @@ QUERIES: dict[str, Query] = {
     "op9_context_tree": op9_context_tree,
     "op10_dominance_packing": op10_dominance_packing,
 }
-
-#: DuckDB SQL where whole tables are quick enough in it.
-ORACLES: dict[str, str] = {}
