@@ -97,11 +97,10 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text; none for null."""
         split = [x.split() if x else [] for x in texts]
-        missing = list({w for words in split for w in words if w not in self.kept})
         if self.chars > KEPT_CHARS:
             self.kept.clear()
             self.chars = 0
-            missing = list({w for words in split for w in words})
+        missing = list(set().union(*split).difference(self.kept))
         new: dict[bytes, bytes] = {}
         for at in range(0, len(missing), 20_000):
             new |= self._learn(missing[at : at + 20_000])
