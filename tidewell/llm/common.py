@@ -37,11 +37,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidewell-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

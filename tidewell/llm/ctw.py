@@ -294,7 +294,7 @@ def _grouped(keys: DataFrame, depth: int) -> DataFrame:
 
 def byte_values(keys: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, value): log10 probability of the byte of each context key."""
-    mixed = written(_grouped(keys, depth), "nodes")
+    mixed = written(_grouped(keys, depth), "nodes", "zstd")
     # At most 2**16 contexts of 255 decisions each, at any size of the input.
     rows = mixed.filter("p IS NULL").groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toPandas()
     top = keys.sparkSession.sparkContext.broadcast(Top(*(rows[c].to_numpy() for c in ("key", "zeros", "ones", "weighted"))))
@@ -444,7 +444,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     chunk_path = fresh_path(spark, "chunks")
     docs.select(F.spark_partition_id().alias("chunk"), doc_id.alias("doc_id"), (~held_out(doc_id)).alias("train"), "text").write.option("compression", "zstd").parquet(chunk_path)
     chunks = spark.read.schema("chunk int, doc_id long, train boolean, text string").parquet(chunk_path)
-    keys = written(chunk_keys(chunks, depth), "keys")
+    keys = written(chunk_keys(chunks, depth), "keys", "zstd")
     path = fresh_path(spark, "values")
     totals = write_values(keys, byte_values(keys, depth), path).agg(F.sum("words"), F.sum("train_tokens")).first()
     distinct, total = totals[0] or 0, totals[1] or 0
