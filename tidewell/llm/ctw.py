@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fresh_path, id_hash_mod, parallelism, written
-from .sstable import filesystem
+from .sstable import filesystem, publish
 
 DEPTH = 5
 #: Nodes of at least this depth are mixed in parallel groups; those above by the driver.
@@ -333,7 +333,7 @@ def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
             data = zstandard.ZstdCompressor(level=1).compress(k.tobytes() + v.tobytes())
             with fs.open_output_stream(f"{name}.{attempt}") as out:
                 out.write(struct.pack("<Q", len(k)) + data)
-            fs.move(f"{name}.{attempt}", name)
+            publish(fs, f"{name}.{attempt}", name)
             return {"chunk": pa.array([at], pa.int32()), "words": [words], "train_tokens": [total]}
 
         for batch in batches:

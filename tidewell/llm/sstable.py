@@ -101,6 +101,16 @@ def filesystem(path: str):
     return fs.LocalFileSystem(), path
 
 
+def publish(fs, own: str, name: str) -> None:
+    """Gives a whole file its name.  Another attempt of the same task may have done so; its file is the same."""
+    try:
+        fs.move(own, name)
+    except OSError:
+        if not fs.get_file_info(name).is_file:
+            raise
+        fs.delete_file(own)
+
+
 class ShardWriter:
     def __init__(self, out):
         import zstandard
@@ -255,7 +265,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
         if out is not None:
             writer.close()
             out.close()
-            fs.move(own, name)
+            publish(fs, own, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [f"{path}/shard-{task.partitionId():06d}.sst"], "n_docs": [writer.docs], "n_ids": [writer.ids]})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
