@@ -32,7 +32,7 @@ from .encoding import encoder
 
 CAPACITY = 2048
 #: Pieces that one task numbers.
-NUMBERED_TOGETHER = 20_000
+NUMBERED_TOGETHER = 1_000
 
 #: A pattern (lengths in order) and how many sequences have it.
 Pattern = tuple[tuple[int, ...], int]
