@@ -15,7 +15,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of runs kept at once in a Python worker, and the longest run kept.
-KEPT_CHARS = 16_000_000
+KEPT_CHARS = 8_000_000
 LONGEST_KEPT = 64
 
 
@@ -97,18 +97,25 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text; none for null."""
         split = [x.split() if x else [] for x in texts]
-        if self.chars > KEPT_CHARS:
+        met = set().union(*split)
+        missing = list(met.difference(self.kept))
+        if self.chars > KEPT_CHARS and 10 * len(missing) > 9 * len(met):  # other texts than those it was filled from
             self.kept.clear()
             self.chars = 0
-        missing = list(set().union(*split).difference(self.kept))
+            missing = list(met)
         new: dict[bytes, bytes] = {}
         for at in range(0, len(missing), 20_000):
             new |= self._learn(missing[at : at + 20_000])
-        long = {k: new.pop(k) for k in [k for k in new if len(k) > LONGEST_KEPT]}
         self.kept.update(new)
-        self.chars += sum(map(len, new))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, words)) if not long else b"".join([long[w] if w in long else get(w) for w in words]) for words in split]
+        out = [b"".join(map(self.kept.__getitem__, words)) for words in split]
+        # The runs met first are kept, which holds all that are frequent; later ones go when the batch is done.
+        full = self.chars > KEPT_CHARS
+        for run in new:
+            if full or len(run) > LONGEST_KEPT:
+                del self.kept[run]
+            else:
+                self.chars += len(run)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
