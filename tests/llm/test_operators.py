@@ -442,6 +442,13 @@ def test_clean_documents_are_kept(spark):
     assert rows.filter("NOT kept").count() == 0
 
 
+def test_scripts_without_case_are_not_shouted(spark):
+    lines = ["هذا نص عربي نظيف من عدة كلمات كتبه NATO", "यह एक साफ हिंदी पाठ है जिसमें शब्द हैं", "이것은 여러 단어로 된 깨끗한 글 입니다"]
+    rows = [(k, "\n".join(" ".join(f"{w}{n}" for w in x.split()) for n in range(4))) for k, x in enumerate(lines)] + [(9, "THIS LINE IS ALL IN CAPITALS\n" + "plain words " * 3)]
+    got = {r.doc_id: (r.lost_chars, r.kept) for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, True), 9: (28, False)}
+
+
 # --- 9 ---
 
 

@@ -42,7 +42,9 @@ def line_fails(line: Column) -> Column:
     single = F.regexp_count(line, F.lit(r"[!?]"))
     punctuation = ((marks - single + bangs) * 100 > MOST_MARKS * n_words) | ~line.rlike(r"\p{L}")
     navigation = line.rlike(NAVIGATION)
-    shouted = (n_words >= 5) & ~line.rlike(r"\p{Ll}")
+    # Most letters must be capitals: scripts without case have neither kind.
+    capitals, letters = F.length(F.regexp_replace(line, r"\P{Lu}+", "")), F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    shouted = (n_words >= 5) & ~line.rlike(r"\p{Ll}") & (2 * capitals > letters)
     return (n_words > 0) & (punctuation | navigation | shouted | line.rlike(BOILERPLATE))
 
 
