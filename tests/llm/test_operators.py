@@ -449,6 +449,15 @@ def test_scripts_without_case_are_not_shouted(spark):
     assert got == {0: (0, True), 1: (0, True), 2: (0, True), 9: (28, False)}
 
 
+def test_long_lines_with_a_boilerplate_word_stay(spark):
+    prose = " ".join(f"the baker sold word{n} and then went home" for n in range(8))
+    lines = [f"{prose} with a cookie.", f"{prose} a > b and b > c and c > d.", "Many a blog in those years was plain and quiet."]
+    bad = ["We use cookies.", "Home | News | Shop | About", "Log in here", " | ".join(f"item{n}" for n in range(40)), "Read more, click here, subscribe to our newsletter, all rights reserved. " * 4]
+    got = {r.l: r.fails for r in spark.createDataFrame([(x,) for x in lines + bad], "l string").select("l", quality_rules.line_fails(F.col("l")).alias("fails")).collect()}
+    assert got == dict.fromkeys(lines, False) | dict.fromkeys(bad, True)
+    assert quality_rules.quality(spark.createDataFrame([(1, lines[0])], "doc_id long, text string")).first().kept
+
+
 # --- 9 ---
 
 

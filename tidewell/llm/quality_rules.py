@@ -23,6 +23,14 @@ BOILERPLATE = (
     r"licen[sc]ed under|released under"
 )
 NAVIGATION = r"[|»›>•·].*[|»›>•·].*[|»›>•·]|^\W*(?i:home|menu|search|next|previous|back|top|contact|about)\W*$"
+#: A line of more words is text: such marks fail it only where they are a large share of it.
+SHORT_LINE = 20
+#: Per cent of a longer line's characters that boilerplate must hold.
+LEAST_BOILERPLATE = 20
+#: Words of a longer line for each separator, at most.
+MOST_BETWEEN = 8
+#: BOILERPLATE as whole words, or their usual endings.
+_BOILER_WORDS = BOILERPLATE.replace("(?i)", r"(?i)(?<![\p{L}\p{N}])(?:") + r")(?:ed|rs?|d|s)?(?![\p{L}\p{N}])"
 #: Symbols and repeated marks that a line may have for each hundred words.
 MOST_MARKS = 20
 #: Per cent of a document's characters that its failing lines may hold.
@@ -41,11 +49,21 @@ def line_fails(line: Column) -> Column:
     bangs = F.regexp_count(line, F.lit(r"[!?]{2,}"))
     single = F.regexp_count(line, F.lit(r"[!?]"))
     punctuation = ((marks - single + bangs) * 100 > MOST_MARKS * n_words) | ~line.rlike(r"\p{L}")
-    navigation = line.rlike(NAVIGATION)
     # Most letters must be capitals: scripts without case have neither kind.
     capitals, letters = F.length(F.regexp_replace(line, r"\P{Lu}+", "")), F.length(F.regexp_replace(line, r"\P{L}+", ""))
     shouted = (n_words >= 5) & ~line.rlike(r"\p{Ll}") & (2 * capitals > letters)
-    return (n_words > 0) & (punctuation | navigation | shouted | line.rlike(BOILERPLATE))
+    return (n_words > 0) & (punctuation | _navigation(line, n_words) | shouted | _boilerplate(line, n_words))
+
+
+def _boilerplate(line: Column, n_words: Column) -> Column:
+    # The plain pattern comes first, as it drops nearly all lines.
+    share = 100 * (F.length(line) - F.length(F.regexp_replace(line, _BOILER_WORDS, ""))) >= LEAST_BOILERPLATE * F.length(line)
+    return line.rlike(BOILERPLATE) & line.rlike(_BOILER_WORDS) & ((n_words <= SHORT_LINE) | share)
+
+
+def _navigation(line: Column, n_words: Column) -> Column:
+    dense = F.length(F.regexp_replace(line, r"[^|»›>•·]+", "")) * MOST_BETWEEN >= n_words
+    return line.rlike(NAVIGATION) & ((n_words <= SHORT_LINE) | dense)
 
 
 def _lines(text: Column) -> Column:
