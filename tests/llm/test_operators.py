@@ -216,6 +216,44 @@ def test_licences(spark):
     assert got == {1: ("MIT", 1), 2: ("MIT", 1), 3: ("Apache-2.0,CC-BY-NC-4.0", 2), 5: ("MIT", 1), 6: ("GPL-3.0", 1)}
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GNU = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1} Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "; "])
+def test_real_notices_plain_and_in_comments(spark, mark):
+    texts = {
+        "Apache-2.0": APACHE,
+        "MPL-2.0": MPL,
+        "GPL-3.0-or-later": GNU.format(":", "General", ",", "3"),
+        "GPL-2.0-or-later": GNU.format(";", "General", ";", "2"),
+        "LGPL-2.1-or-later": GNU.format(";", "Lesser General", ";", "2.1"),
+        "AGPL-3.0-or-later": GNU.format(":", "Affero General", ",", "3"),
+    }
+    rows = [(k, "\n".join((mark + x).rstrip() for x in ["Copyright 2020 A. B.", "", *t.split("\n")])) for k, t in enumerate(texts.values())]
+    rows = [(k, f"/*\n{t}\n */" if "*" in mark else t) for k, t in rows]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_licence_query_finds_every_plain_line(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id for r in docs.filter(F.col("text").rlike("(?i)(licensed|released) under (the|cc)\\W")).collect()}

@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
 Texts that hold a cue word are cut into sentences, twice: with line ends as ends of sentences, and with lines
-joined, for notices wrapped over lines.  A normalised sentence (lower case, runs of other characters than
+joined, for notices wrapped over lines; comment marks go first, so a line of marks alone is blank.  A normalised sentence (lower case, runs of other characters than
 letters and digits as one space) that is known becomes its identifier; a document's identifiers, in order,
 are matched against ordered rules, and a rule inside a longer match of the same licence is dropped.
 
@@ -12,7 +12,7 @@ are scanned like others; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Every known sentence holds one of these.
@@ -104,17 +104,47 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
     return sorted(out, key=lambda r: -len(r[1]))
 
 
+#: Notices of the GNU family: name in the notice, licence, versions.
+GNU = (("general", "GPL", ("1", "2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("library general", "LGPL", ("2",)), ("affero general", "AGPL", ("3",)))
+#: Comment marks where a line starts or ends, and stops that end no sentence: "v. 2", and that of the GNU notice.
+MARKS = r"(?md)^[ \t]*(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+)(?=[ \t\r]|$)|[ \t]*(?:\*+/|-->)[ \t]*\r?$"
+INNER_STOPS = ((r"(?i)\bv\.\s*(?=[0-9])", "v "), (r"(?i)(Free\s+Software\s+Foundation)\s*[;:]\s+", "$1, "))
+
+
+def notices() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences of real notices that are not in sentences(), and their rules."""
+    known = {"apache_notice": "licensed under the apache license version 2 0 the license"}
+    found = [("Apache-2.0", ("apache_notice", "apache_may_not", "apache_unless", "apache_see")), ("Apache-2.0", ("apache_notice",))]
+    for name, licence, versions in GNU:
+        for v in versions:
+            terms = f"you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software foundation"
+            ends = {"or-later": f"either version {_spaced(v)} of the license or at your option any later version", "only": f"version {_spaced(v)} of the license"}
+            for kind, end in ends.items():
+                known[f"gnu {name} {v} {kind}"] = f"{terms} {end}"
+                found.append((f"{licence}-{v if '.' in v else f'{v}.0'}-{kind}", (f"gnu {name} {v} {kind}",)))
+    return known, found
+
+
+def _bare(text: Column | str) -> Column:
+    """The text without comment marks and inner stops."""
+    out = F.regexp_replace(text, MARKS, "")
+    for stop, put in INNER_STOPS:
+        out = F.regexp_replace(out, stop, put)
+    return out
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, list[tuple[str, str]]]:
-    known = sentences()
+    more, more_rules = notices()
+    known = sentences() | more
     number = {k: n for n, k in enumerate(known)}
-    return spark.createDataFrame([(v, number[k]) for k, v in known.items()], "sentence string, sid int"), [(licence, " ".join(f"<{number[k]}>" for k in ids)) for licence, ids in rules()]
+    return spark.createDataFrame([(v, number[k]) for k, v in known.items()], "sentence string, sid int"), [(licence, " ".join(f"<{number[k]}>" for k in ids)) for licence, ids in rules() + more_rules]
 
 
 def sentence_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, row, way, pos, sid): known sentences of documents with a cue; way 0 cuts at line ends, 1 joins lines."""
     spark = docs.sparkSession
     known, _ = _tables(spark)
-    cued = docs.filter(F.col("text").rlike("(?i)" + "|".join(CUES))).select("doc_id", "text", F.xxhash64("text").alias("row"))
+    cued = docs.filter(F.col("text").rlike("(?i)" + "|".join(CUES))).select("doc_id", _bare("text").alias("text"), F.xxhash64("text").alias("row"))
     ways = F.array(F.struct(F.lit(0).alias("way"), F.split("text", r"[.!?;:]+\s+|\n").alias("s")), F.struct(F.lit(1).alias("way"), F.split("text", r"[.!?;:]+\s+|\n\s*\n").alias("s")))
     cut = cued.select("doc_id", "row", F.explode(ways).alias("w")).select("doc_id", "row", "w.way", F.posexplode("w.s").alias("pos", "sentence"))
     plain = F.trim(F.regexp_replace(F.lower("sentence"), r"[^\p{L}\p{N}]+", " "))
