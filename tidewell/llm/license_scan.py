@@ -1,22 +1,27 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-Texts that hold a cue word are cut into sentences, twice: with line ends as ends of sentences, and with lines
-joined, for notices wrapped over lines; comment marks go first, so a line of marks alone is blank.  A normalised sentence (lower case, runs of other characters than
-letters and digits as one space) that is known becomes its identifier; a document's identifiers, in order,
-are matched against ordered rules, and a rule inside a longer match of the same licence is dropped.
-
-Defined results: null and blank texts have no sentence; documents without a match have no row; rows that
-repeat a doc_id give a row each only if their texts match, so equal rows give equal rows; rows without doc_id
-are scanned like others; other columns are ignored.
+Texts are cut into sentences, twice: with line ends as ends of sentences, and with lines joined, for notices
+wrapped over lines; comment marks go first, so a line of marks alone is blank.  A normalised sentence (lower
+case, runs of other characters than letters and digits as one space) that is known becomes its identifier; a
+document's identifiers, in order, are matched against ordered rules, and a rule whose identifiers stand inside
+those of a longer match is dropped.
+
+Every known sentence holds a cue, so texts without one are passed over.  A cue's words may be parted by any run of
+characters that normalising makes a space, so no text with a known sentence is lost by this; the SQL of the
+query has no such test.
+
+Defined results: null and blank texts have no sentence; rows without a match give no row; every other row gives
+one, judged by itself, so equal rows give equal rows; rows without doc_id are scanned like others; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Every known sentence holds one of these.
-CUES = ("licen", "released under", "permission", "redistribut", "warranty", "as is", "public domain", "spdx", "copyright")
+#: Every known sentence holds one of these, as normalised.
+CUES = ("licen", "released under", "permission", "redistribut", "warranty", "public domain", "copyright", "endorse or promote", "this software is provided", "this software for any purpose", "arising from the use")
 
 #: Known sentences, normalised, by identifier.
 SENTENCES: dict[str, str] = {
@@ -34,6 +39,24 @@ SENTENCES: dict[str, str] = {
     "bsd_redist": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_names_old": "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost_ref": "distributed under the boost software license version 1 0",
+    "epl_1_plain": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution",
+    "epl_2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl_2_slash": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl v20 html",
+    "gpl_2_title": "gnu general public license version 2 june 1991",
+    "gpl_3_title": "gnu general public license version 3 29 june 2007",
+    "lgpl_21_title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl_3_title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl_3_title": "gnu affero general public license version 3 19 november 2007",
+    "apache_title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "mpl_title": "mozilla public license version 2 0",
     "bsd_ref": "released under the bsd license",
     "bsd_licensed": "licensed under the bsd license",
     "mpl_ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -68,8 +91,27 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc_grant",)),
     ("Apache-2.0", ("apache_ref 2.0", "apache_may_not", "apache_unless", "apache_see")),
     ("Apache-2.0", ("apache_unless", "apache_see")),
-    ("BSD", ("bsd_redist", "bsd_source", "bsd_binary")),
+    ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names", "bsd_disclaimer")),
+    ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names_old", "bsd_disclaimer")),
+    ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names")),
+    ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names_old")),
+    ("BSD-2-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_disclaimer")),
+    ("BSD-2-Clause", ("bsd_redist", "bsd_source", "bsd_binary")),
     ("BSD", ("bsd_redist", "bsd_source")),
+    ("Zlib", ("zlib_as_is", "zlib_liable", "zlib_grant")),
+    ("Zlib", ("zlib_grant",)),
+    ("BSL-1.0", ("boost_grant",)),
+    ("BSL-1.0", ("boost_ref",)),
+    ("EPL-1.0", ("epl_1_plain",)),
+    ("EPL-2.0", ("epl_2",)),
+    ("EPL-2.0", ("epl_2_slash",)),
+    ("GPL-2.0", ("gpl_2_title",)),
+    ("GPL-3.0", ("gpl_3_title",)),
+    ("LGPL-2.1", ("lgpl_21_title",)),
+    ("LGPL-3.0", ("lgpl_3_title",)),
+    ("AGPL-3.0", ("agpl_3_title",)),
+    ("Apache-2.0", ("apache_title",)),
+    ("MPL-2.0", ("mpl_title",)),
     ("BSD", ("bsd_ref",)),
     ("BSD", ("bsd_licensed",)),
     ("MPL-2.0", ("mpl_ref",)),
@@ -106,9 +148,10 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
 
 #: Notices of the GNU family: name in the notice, licence, versions.
 GNU = (("general", "GPL", ("1", "2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("library general", "LGPL", ("2",)), ("affero general", "AGPL", ("3",)))
-#: Comment marks where a line starts or ends, and stops that end no sentence: "v. 2", and that of the GNU notice.
-MARKS = r"(?md)^[ \t]*(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+)(?=[ \t\r]|$)|[ \t]*(?:\*+/|-->)[ \t]*\r?$"
-INNER_STOPS = ((r"(?i)\bv\.\s*(?=[0-9])", "v "), (r"(?i)(Free\s+Software\s+Foundation)\s*[;:]\s+", "$1, "))
+#: Comment marks where a line starts or ends, and stops that end no sentence ("v. 2", and that of the GNU notice) with
+#: what stands for them; $1 and $2 are what was met.
+MARKS = r"^[ \t]*(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+)(?:[ \t\r]|$)|[ \t]*(?:\*+/|-->)[ \t]*\r?$"
+INNER_STOPS = ((r"(?i)(^|[^\p{L}\p{N}])v\.[ \t\n\x0B\f\r]*([0-9])", "$1v $2"), (r"(?i)(Free[ \t\n\x0B\f\r]+Software[ \t\n\x0B\f\r]+Foundation)[ \t\n\x0B\f\r]*[;:][ \t\n\x0B\f\r]+", "$1, "))
 
 
 def notices() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
@@ -127,41 +170,49 @@ def notices() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 
 def _bare(text: Column | str) -> Column:
     """The text without comment marks and inner stops."""
-    out = F.regexp_replace(text, MARKS, "")
+    out = F.regexp_replace(text, f"(?md){MARKS}", "")
     for stop, put in INNER_STOPS:
         out = F.regexp_replace(out, stop, put)
     return out
 
 
-def _tables(spark: SparkSession) -> tuple[DataFrame, list[tuple[str, str]]]:
+def known_sentences() -> dict[str, int]:
+    """Every known sentence and its number."""
+    return {v: n for n, v in enumerate((sentences() | notices()[0]).values())}
+
+
+def numbered_rules() -> list[tuple[str, str]]:
+    """Every rule: a licence, and the numbers of its sentences as <a> <b> in order."""
     more, more_rules = notices()
-    known = sentences() | more
-    number = {k: n for n, k in enumerate(known)}
-    return spark.createDataFrame([(v, number[k]) for k, v in known.items()], "sentence string, sid int"), [(licence, " ".join(f"<{number[k]}>" for k in ids)) for licence, ids in rules() + more_rules]
+    number = {k: n for n, k in enumerate(sentences() | more)}
+    return [(licence, " ".join(f"<{number[k]}>" for k in ids)) for licence, ids in rules() + more_rules]
+
+
+def cue_pattern() -> str:
+    """Java's pattern of a raw text whose normalised form may hold a cue."""
+    return "(?iu)" + "|".join(r"[^\p{L}\p{N}]+".join(c.split()) for c in CUES)
 
 
 def sentence_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, way, pos, sid): known sentences of documents with a cue; way 0 cuts at line ends, 1 joins lines."""
-    spark = docs.sparkSession
-    known, _ = _tables(spark)
-    cued = docs.filter(F.col("text").rlike("(?i)" + "|".join(CUES))).select("doc_id", _bare("text").alias("text"), F.xxhash64("text").alias("row"))
+    """(row, doc_id, way, pos, sid): known sentences; row numbers the rows of docs, way 0 cuts at line ends, 1 joins lines."""
+    known = docs.sparkSession.createDataFrame(list(known_sentences().items()), "sentence string, sid int")
+    cued = docs.filter(F.col("text").rlike(cue_pattern())).select(F.monotonically_increasing_id().alias("row"), "doc_id", _bare("text").alias("text"))
     ways = F.array(F.struct(F.lit(0).alias("way"), F.split("text", r"[.!?;:]+\s+|\n").alias("s")), F.struct(F.lit(1).alias("way"), F.split("text", r"[.!?;:]+\s+|\n\s*\n").alias("s")))
-    cut = cued.select("doc_id", "row", F.explode(ways).alias("w")).select("doc_id", "row", "w.way", F.posexplode("w.s").alias("pos", "sentence"))
+    cut = cued.select("row", "doc_id", F.explode(ways).alias("w")).select("row", "doc_id", "w.way", F.posexplode("w.s").alias("pos", "sentence"))
     plain = F.trim(F.regexp_replace(F.lower("sentence"), r"[^\p{L}\p{N}]+", " "))
     # The table of known sentences is fixed in this module, so its size is too.
-    return cut.withColumn("sentence", plain).join(F.broadcast(known), "sentence").select("doc_id", "row", "way", "pos", "sid")
+    return cut.withColumn("sentence", plain).join(F.broadcast(known), "sentence").select("row", "doc_id", "way", "pos", "sid")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, licenses, n_rules, n_sentences): documents with a licence; licenses is sorted, comma-joined."""
-    _, found = _tables(docs.sparkSession)
+    """(doc_id, licenses, n_rules, n_sentences): a row for each row with a licence; licenses is sorted, comma-joined."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: F.concat(F.lit("<"), x.sid.cast("string"), F.lit(">"))), " ")
-    per_way = sentence_ids(docs).groupBy("doc_id", "row", "way").agg(ids.alias("ids"), F.count("*").alias("n"))
-    table = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("ids")) for a, b in found])
+    per_way = sentence_ids(docs).groupBy("row", "doc_id", "way").agg(ids.alias("ids"), F.count("*").alias("n"))
+    table = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("ids")) for a, b in numbered_rules()])
     matched = F.filter(table, lambda r: F.contains(F.col("ids"), r.ids))
     per_way = per_way.withColumn("m", matched)
-    outer = F.filter("m", lambda r: ~F.exists("m", lambda o: (o.license == r.license) & (F.length(o.ids) > F.length(r.ids)) & F.contains(o.ids, r.ids)))
-    per_way = per_way.select("doc_id", "row", "n", outer.alias("m"))
-    rows = per_way.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"), F.max("n").alias("n_sentences")).filter(F.size("m") > 0)
+    outer = F.filter("m", lambda r: ~F.exists("m", lambda o: (F.length(o.ids) > F.length(r.ids)) & F.contains(o.ids, r.ids)))
+    per_way = per_way.select("row", "doc_id", "n", outer.alias("m"))
+    rows = per_way.groupBy("row", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"), F.max("n").alias("n_sentences")).filter(F.size("m") > 0)
     licenses = F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda r: r.license))), ",")
     return rows.select("doc_id", licenses.alias("licenses"), F.size("m").cast("long").alias("n_rules"), "n_sentences")

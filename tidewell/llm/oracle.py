@@ -29,19 +29,22 @@ def quality_sql() -> str:
 
 
 def license_sql() -> str:
-    number = {k: n for n, k in enumerate(ls.sentences())}
-    known = ", ".join(f"('{s}', {number[k]})" for k, s in ls.sentences().items())
-    rules = ", ".join(f"('{licence}', '{' '.join(f'<{number[k]}>' for k in ids)}')" for licence, ids in ls.rules())
+    known = ", ".join(f"('{s}', {n})" for s, n in ls.known_sentences().items())
+    rules = ", ".join(f"('{licence}', '{ids}')" for licence, ids in ls.numbered_rules())
     ends = r"[.!?;:]+[ \t\n\x0B\f\r]+|\n"
     wide = r"[.!?;:]+[ \t\n\x0B\f\r]+|\n[ \t\n\x0B\f\r]*\n"
+    bare = f"regexp_replace(text, '(?m){ls.MARKS}', '', 'g')"
+    for stop, put in ls.INNER_STOPS:
+        bare = f"regexp_replace({bare}, '{stop}', '{put.replace('$', chr(92))}', 'g')"
     return rf"""WITH known(sentence, sid) AS (VALUES {known}), rules(license, ids) AS (VALUES {rules}),
-    cued AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '(?i){"|".join(ls.CUES)}')),
-    ways AS (SELECT doc_id, 0 AS way, regexp_split_to_array(text, '{ends}') AS s FROM cued UNION ALL SELECT doc_id, 1, regexp_split_to_array(text, '{wide}') FROM cued),
-    cut AS (SELECT doc_id, way, i AS pos, trim(regexp_replace(lower(s[i]), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS sentence FROM (SELECT doc_id, way, s, unnest(range(1, len(s) + 1)) AS i FROM ways)),
-    found AS (SELECT doc_id, way, string_agg('<' || sid || '>', ' ' ORDER BY pos) AS ids, count(*) AS n FROM cut JOIN known USING (sentence) GROUP BY 1, 2),
-    met AS (SELECT doc_id, way, n, license, r.ids FROM found f JOIN rules r ON contains(f.ids, r.ids)),
-    most AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM met b WHERE b.doc_id = a.doc_id AND b.way = a.way AND b.license = a.license AND length(b.ids) > length(a.ids) AND contains(b.ids, a.ids)))
-    SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses, count(DISTINCT license || ids) AS n_rules, max(n) AS n_sentences FROM most GROUP BY doc_id"""
+    docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {bare} AS text FROM documents WHERE text IS NOT NULL),
+    ways AS (SELECT row, doc_id, 0 AS way, regexp_split_to_array(text, '{ends}') AS s FROM docs UNION ALL SELECT row, doc_id, 1, regexp_split_to_array(text, '{wide}') FROM docs),
+    cut AS (SELECT row, doc_id, way, i AS pos, trim(regexp_replace(lower(s[i]), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS sentence FROM (SELECT row, doc_id, way, s, unnest(range(1, len(s) + 1)) AS i FROM ways)),
+    found AS MATERIALIZED (SELECT row, doc_id, way, string_agg('<' || sid || '>', ' ' ORDER BY pos) AS ids, count(*) AS n FROM cut JOIN known USING (sentence) GROUP BY 1, 2, 3),
+    met AS MATERIALIZED (SELECT row, doc_id, way, license, r.ids FROM found f JOIN rules r ON contains(f.ids, r.ids)),
+    most AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM met b WHERE b.row = a.row AND b.way = a.way AND length(b.ids) > length(a.ids) AND contains(b.ids, a.ids))),
+    told AS (SELECT row, doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses, count(DISTINCT license || ids) AS n_rules FROM most GROUP BY row, doc_id)
+    SELECT doc_id, licenses, n_rules, n_sentences FROM told JOIN (SELECT row, max(n) AS n_sentences FROM found GROUP BY row) USING (row)"""
 
 
 ORACLES = {"op5_license_sentences": license_sql(), "op8_line_quality": quality_sql()}

@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
 The base spans are the leftmost non-overlapping matches of one pattern a kind, with its check.  The field
-works on regions, stretches of a text around digits and at-signs, cut into atoms (runs of digits, runs of
-letters, single other characters).  Candidate segments of up to LONGEST atoms are scored as wholes, by
-features of all their characters and of what stands beside them, and a dynamic program over segment ends and
-kinds chooses boundaries and kinds together; outside an entity each atom is a segment of its own.  Its weights are
-fitted by conditional likelihood (forward and backward sums over all segmentations) on generated examples and
-on a bounded sample of the documents, labelled by the base patterns.  Spans of the field that overlap no base
-span are added.
+works on sites, the stretches of a text that can hold a candidate (around an at-sign, or digits and their
+separators), cut into atoms (runs of digits, runs of letters, single other characters).  Candidate segments of
+up to LONGEST atoms are scored as wholes, by features of all their characters and of what stands beside them, and
+a dynamic program over segment ends and kinds chooses boundaries and kinds together; outside an entity each
+atom is a segment of its own.  No candidate crosses the ends of a site, so sites are decoded one by one; time grows
+with the length of a text, and a site of any length is decoded with scores of its last LONGEST atoms alone.
+The weights are fitted by conditional likelihood (forward and backward sums over all segmentations) on generated
+examples and on a bounded sample of the documents, labelled by the base patterns.  Spans of the field that
+overlap no base span are added.
 
 Defined results: a null text is an empty one and has no span; offsets are code points, ends exclusive; each
 row is judged by itself, so repeated rows give repeated results; other columns are ignored.
@@ -19,21 +21,29 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
-#: Atoms in an entity at most.
+#: Atoms of a candidate, and characters of an atom in it, at most; digits of a number that is no address, at least.
 LONGEST = 24
-#: Documents with a digit or an at-sign that the field is fitted on at most, and their regions.
+LONGEST_ATOM = 64
+LEAST_DIGITS = 7
+#: What the field is fitted on at most: distinct texts, sites in them, characters of such a site; and generated lines.
 SAMPLE_DOCS = 200
-SAMPLE_REGIONS = 150
-GENERATED = 240
+SAMPLE_SITES = 150
+LONGEST_SITE = 120
+#: Scores of feature sets that a field remembers.
+MET = 1 << 15
+GENERATED = 480
 EPOCHS = 6
 RATE = 0.25
 DECAY = 1e-4
@@ -90,70 +100,126 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-# --- regions and atoms ---------------------------------------------------------------------------------
+# --- sites and atoms -----------------------------------------------------------------------------------
 
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.DOTALL)
+_NUMERIC = re.compile(r"[+(]{0,3}[0-9][0-9 ().+-]*")
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches between white space that hold a digit or an at-sign, with what is joined to them by one blank."""
-    done = 0
-    while m := _TRIGGER.search(text, done):
-        a = m.start()
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        if a - 1 > done and text[a - 1] == " " and text[a - 2] in "+()0123456789":
-            a -= 1
-            while a > done and not text[a - 1].isspace():
-                a -= 1
-        b = m.end()
-        while True:
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            if b + 1 < len(text) and text[b] == " " and text[b + 1] in "+()0123456789-":
-                b += 1
-                continue
-            break
-        yield a, b
-        done = b
+def _email_sites(text: str) -> Iterator[tuple[int, int]]:
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        end = at + 1
+        while end < len(text) and text[end] in _LOCAL:
+            end += 1
+        yield start, end
+        done, at = at + 1, text.find("@", at + 1)
+
+
+def sites(text: str) -> Iterator[tuple[int, int]]:
+    """The stretches, apart from each other, that can hold a candidate; no candidate crosses their ends."""
+    found = list(_email_sites(text))
+    for m in _NUMERIC.finditer(text):
+        own = m[0].rstrip(" ().+-")
+        if len(own) >= LEAST_DIGITS and (own.count(".") >= 3 or len(_digits(own)) >= LEAST_DIGITS):
+            found.append((m.start(), m.start() + len(own)))
+    found.sort()
+    held: tuple[int, int] | None = None
+    for a, b in found:
+        if held and a <= held[1]:
+            held = held[0], max(held[1], b)
+        else:
+            if held:
+                yield held
+            held = a, b
+    if held:
+        yield held
 
 
 def atoms(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [m.span() for m in _ATOM.finditer(text, a, b)]
 
 
+def candidates(text: str, cut: Sequence[tuple[int, int]], j: int) -> Iterator[int]:
+    """The atoms, backwards, with which a candidate that ends with atom j - 1 may start.
+
+    A candidate has at most LONGEST atoms of at most LONGEST_ATOM characters, ends with an ASCII letter or digit, and
+    either has one at-sign and no blank, or is a number: digits and their separators, LEAST_DIGITS to 19 digits, or
+    four runs of digits with points between.
+    """
+    end = cut[j - 1][1]
+    if not (text[end - 1].isascii() and text[end - 1].isalnum()):
+        return
+    digits = at = points = 0
+    number = mail = True
+    for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+        a, b = cut[i]
+        c = text[a]
+        if b - a > LONGEST_ATOM:
+            return
+        if "0" <= c <= "9":
+            digits += b - a
+            number = number and digits <= 19
+        elif c == "@":
+            at, number = at + 1, False
+        elif c.isalpha():
+            number, mail = False, mail and text[a:b].isascii()
+        elif c in " ()":
+            mail = False
+        elif c in "_%":
+            number = False
+        elif c == ".":
+            points += 1
+        elif c not in "+-":
+            return
+        mail = mail and at <= 1
+        if not (number or mail):
+            return
+        starts = c.isalnum()
+        if number and (starts or c in "+(") and (digits >= LEAST_DIGITS or (starts and points == 3 and j - i == 7)):
+            yield i
+        elif mail and at == 1 and starts:
+            yield i
+
+
 # --- features ------------------------------------------------------------------------------------------
 
 _CUES = {"email": ("mail", "contact"), "ip": ("ip", "host", "addr"), "card": ("card", "visa", "pay"), "phone": ("tel", "phone", "call", "fax", "mob")}
 
 
+def _is_digit(c: str) -> bool:
+    """One of 0-9: other scripts' digits and superscripts are no digits here."""
+    return "0" <= c <= "9"
+
+
 def _beside(c: str) -> str:
-    return "^" if not c else "d" if c.isdigit() else "a" if c.isalpha() else "_" if c.isspace() else c if c in "+@.-(" else "p"
+    return "^" if not c else "d" if _is_digit(c) else "a" if c.isalpha() else "_" if c.isspace() else c if c in "+@.-(" else "p"
 
 
 def segment_features(text: str, a: int, b: int) -> list[str]:
     """Features of a whole candidate span."""
     s = text[a:b]
     digits = _digits(s)
-    letters = sum(c.isalpha() for c in s)
+    letters = sum(map(str.isalpha, s))
     n = len(digits)
     f = [f"n{min(n, 20)}", f"l{min(letters, 3)}", f"f{_beside(s[0])}", f"e{_beside(s[-1])}", f"b{_beside(text[a - 1 : a])}", f"a{_beside(text[b : b + 1])}"]
     local, at, domain = s.partition("@")
     if at:
         f.append("at" if local and "." in domain and _DOMAIN.fullmatch(domain) and set(local) <= _LOCAL else "bad-at")
-    if not letters and not at:
+    elif not letters:
         parts = s.split(".")
-        if len(parts) == 4 and all(p.isdigit() for p in parts):
+        if len(parts) == 4 and all(p and len(p) == len(_digits(p)) for p in parts):
             f.append("quad" if all(len(p) < 4 and int(p) < 256 for p in parts) else "bad-quad")
         if 14 <= n <= 19 and set(s) <= set("0123456789 -"):
             f.append("luhn" if luhn(digits) else "no-luhn")
         if s[0] == "+" and 10 <= n <= 15:
             f.append("plus-digits")
-        if not n:
-            f.append("no-digit")
-        f.append("seps" + "".join(sorted({c for c in s if not c.isdigit()}))[:6])
-    if any(c.isspace() and c != " " for c in s):
-        f.append("break")
+        groups = re.findall(r"[0-9]+", s)
+        f.append("seps" + "".join(sorted({c for c in s if not _is_digit(c)}))[:6])
+        f.append("groups" + "-".join(str(min(len(g), 5)) for g in groups[-3:]) + ("" if len(groups) < 4 else "+"))
     if n and letters:
         f.append("mixed")
     before = text[max(0, a - 16) : a].lower()
@@ -163,7 +229,7 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
 
 def atom_feature(text: str, a: int, b: int) -> str:
     c = text[a]
-    return f"o{'d' if c.isdigit() else 'a' if c.isalpha() else _beside(c)}{min(b - a, 9)}"
+    return f"o{_beside(c)}{min(b - a, 9)}"
 
 
 # --- the field -----------------------------------------------------------------------------------------
@@ -171,7 +237,7 @@ def atom_feature(text: str, a: int, b: int) -> str:
 
 @dataclass
 class Lattice:
-    """All segments of a region: atom ends, and for each its features."""
+    """All candidates of a short site, for the fit: atom numbers, features, and which end at each atom."""
 
     n: int
     spans: list[tuple[int, int]]
@@ -182,16 +248,29 @@ class Lattice:
 def lattice(text: str, cut: list[tuple[int, int]]) -> Lattice:
     spans, features, by_end = [], [], [[] for _ in range(len(cut) + 1)]
     for j in range(1, len(cut) + 1):
-        for i in range(max(0, j - LONGEST), j):
-            first, last = text[cut[i][0]], text[cut[j - 1][1] - 1]
-            if first.isspace() or last.isspace() or not (last.isalnum() or last == "-"):
-                continue  # no entity starts or ends so
+        for i in candidates(text, cut, j):
             by_end[j].append(len(spans))
             spans.append((i, j))
             features.append(segment_features(text, cut[i][0], cut[j - 1][1]))
     return Lattice(len(cut), spans, features, by_end)
 
 
+class _Atoms(Sequence):
+    """The atoms of a site as two arrays of 32-bit numbers."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.starts, self.ends = array("i"), array("i")
+        for m in _ATOM.finditer(text, a, b):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, k: int) -> tuple[int, int]:
+        return self.starts[k], self.ends[k]
+
+
 class Field:
     """Weights of (kind, feature), of an atom outside entities, and of each pair of neighbouring kinds."""
 
@@ -200,6 +279,7 @@ class Field:
         self.w = np.zeros((0, len(KINDS)))
         self.outside: dict[str, float] = {}
         self.pair = np.zeros((OTHER + 1, OTHER + 1))
+        self.met: dict[tuple[str, ...], list[float]] = {}
 
     def _ids(self, features: list[str], grow: bool) -> list[int]:
         if grow:
@@ -218,6 +298,17 @@ class Field:
                 out[k] = self.w[ids].sum(axis=0)
         return out
 
+    def score(self, features: list[str]) -> list[float]:
+        """The score of one candidate for each kind; few sets of features are met again and again."""
+        key = tuple(features)
+        found = self.met.get(key)
+        if found is None:
+            if len(self.met) >= MET:
+                self.met.clear()
+            ids = self._ids(features, False)
+            found = self.met[key] = self.w[ids].sum(axis=0).tolist() if ids else [0.0] * len(KINDS)
+        return found
+
     def _forward(self, lat: Lattice, score: np.ndarray, out: list[float], best: bool):
         """Log sums (or maxima with back pointers) over segmentations that end at each atom with each kind."""
         a = np.full((lat.n + 1, OTHER + 1), -np.inf)
@@ -242,18 +333,35 @@ class Field:
                         a[j, y] = top[0] + math.log(sum(math.exp(x[0] - top[0]) for x in found))
         return a, back
 
-    def decode(self, text: str, cut: list[tuple[int, int]]) -> list[Span]:
-        lat = lattice(text, cut)
-        if not lat.spans:
-            return []
-        a, back = self._forward(lat, self.scores(lat), [self.outside.get(atom_feature(text, *c), 0.0) for c in cut], True)
-        found, j, y = [], lat.n, int(a[lat.n].argmax())
+    def decode(self, text: str, a: int, b: int) -> list[Span]:
+        """The best segmentation of a site.  Scores are kept for the last LONGEST atoms alone, and 26 bytes an atom."""
+        cut = _Atoms(text, a, b)
+        n, kinds = len(cut), len(KINDS)
+        pair, memory = self.pair.tolist(), LONGEST + 1
+        length, before = np.zeros((n + 1, OTHER + 1), np.int8), np.full((n + 1, OTHER + 1), OTHER, np.int8)
+        lowest = float("-inf")
+        value = [lowest] * kinds + [0.0]
+        into: list = [None] * memory  # of each kept atom: the best way into each kind, and from which kind
+        for j in range(n + 1):
+            if j:
+                best, p = into[(j - 1) % memory][OTHER]
+                value = [lowest] * kinds + [best + self.outside.get(atom_feature(text, *cut[j - 1]), 0.0)]
+                length[j, OTHER], before[j, OTHER] = 1, p
+                for i in candidates(text, cut, j):
+                    found = self.score(segment_features(text, cut[i][0], cut[j - 1][1]))
+                    for y in range(kinds):
+                        reach, p = into[i % memory][y]
+                        if reach + found[y] > value[y]:
+                            value[y] = reach + found[y]
+                            length[j, y], before[j, y] = j - i, p
+            into[j % memory] = [max((value[p] + pair[p][y], p) for p in range(OTHER + 1)) for y in range(OTHER + 1)]
+        out, j, y = [], n, max(range(OTHER + 1), key=value.__getitem__)
         while j > 0:
-            i, p, _ = back[j, y]
+            i = j - int(length[j, y])
             if y != OTHER:
-                found.append((KINDS[y], cut[i][0], cut[j - 1][1]))
-            j, y = i, p
-        return found[::-1]
+                out.append((KINDS[y], cut[i][0], cut[j - 1][1]))
+            j, y = i, int(before[j, y])
+        return out[::-1]
 
     def step(self, text: str, cut: list[tuple[int, int]], gold: list[Span], rate: float) -> None:
         """One ascent of the log likelihood of a region's labels."""
@@ -300,6 +408,7 @@ class Field:
                 outside[names[at]] = outside.get(names[at], 0.0) + 1
             pair[last, y] -= 1
             at, last = end, y
+        self.met.clear()
         self.w *= 1 - rate * DECAY
         for k in np.flatnonzero(np.abs(change).max(axis=1) > 1e-6) if len(change) else ():
             np.add.at(self.w, self._ids(lat.features[k], False), rate * change[k])
@@ -338,13 +447,29 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
         "card": card,
         "phone": phone,
     }
-    plain = [lambda: number(rng.randint(1, 8)), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}", lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(32))}"', lambda: f"${number(3)}.{number(2)}", lambda: number(16), lambda: f"{number(2)}:{number(2)}", lambda: f"@{word()}", lambda: f"v{number(1)}.{number(1)}", lambda: f"{number(3)}.{number(3)}.{number(4)}.{number(3)}9"]
+    plain = [
+        lambda: number(rng.randint(1, 13)),
+        lambda: number(16),
+        lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" + rng.choice(["", f" {number(2)}:{number(2)}", f" - {rng.randint(1900, 2030)}"]),
+        lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}",
+        lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)),
+        lambda: f"{number(3)}.{number(3)}.{number(4)}.{number(3)}9",
+        lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(32))}"',
+        lambda: f"${number(3)}.{number(2)}",
+        lambda: f"{number(2)}:{number(2)}",
+        lambda: rng.choice([" ", ".", "-"]).join(number(rng.randint(1, 2)) for _ in range(rng.randint(5, 9))),
+        lambda: " ".join(number(5) for _ in range(rng.randint(2, 4))),
+        lambda: f"@{word()}",
+        lambda: f"{word()}@{word()}",
+        lambda: f"{word()[:1]}@{word()[:1]}@{word()}",
+        lambda: f"v{number(1)}.{number(1)}",
+    ]
     out = []
     for k in range(n):
         kind = KINDS[k % 8] if k % 8 < 4 else None
         s = kinds[kind]() if kind else rng.choice(plain)()
-        if not kind and (luhn(_digits(s)) and len(_digits(s)) == 16):
-            s = s[:-1]
+        if not kind and luhn(_digits(s)) and 14 <= len(_digits(s)) <= 19 and base_spans(s):
+            s = s[:-1] + str((int(s[-1]) + 1) % 10)
         before = " ".join(word() for _ in range(rng.randint(0, 3))) + rng.choice(["", "", " tel:", " mail:", " card"])
         text = f"{before} {s}{rng.choice(['', '.', ','])} {word()}"
         at = len(before) + 1
@@ -352,26 +477,31 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def fit(texts: list[str], seed: int = 7) -> Field:
-    """A field fitted on generated lines and on the regions of these texts, labelled by the base patterns."""
-    rows = []
+def training_sites(text: str) -> list[tuple[str, int, list[Span]]]:
+    """The short sites of a document with some text before and after: that text, the site's place in it, labels.
+
+    Labels are the base spans.  A site without one counts as no entity only if it is a single run of digits, since
+    a number in groups may be an entity that the base patterns miss.
+    """
+    base, out = without_overlap(base_spans(text)), []
+    for a, b in sites(text):
+        own = [s for s in base if a <= s[1] and s[2] <= b]
+        if b - a <= LONGEST_SITE and (own or _digits(text[a:b]) == text[a:b]):
+            shift = max(0, a - 20)
+            out.append((text[shift : b + 5], a - shift, b - shift, [(k, x - shift, y - shift) for k, x, y in own]))
+    return out
+
+
+def fit(found: list[tuple[str, int, int, list[Span]]], seed: int = 7) -> Field:
+    """A field fitted on generated lines and on these sites of documents (text, start, end, labels)."""
+    rows = [(text, atoms(text, a, b), gold) for text, a, b, gold in found]
     for text, gold in generated(GENERATED, seed):
-        rows += [(text, atoms(text, a, b), gold) for a, b in regions(text)]
-    found = []
-    for text in texts:
-        base = without_overlap(base_spans(text))
-        for a, b in regions(text):
-            if b - a <= 200 and len(found) < SAMPLE_REGIONS:
-                near = text[max(0, a - 20) : b + 5]
-                shift = max(0, a - 20)
-                found.append((near, atoms(near, a - shift, b - shift), [(k, x - shift, y - shift) for k, x, y in base if a <= x and y <= b]))
-    rows += found
+        rows += [(text, atoms(text, a, b), gold) for a, b in sites(text)]
     field, rng = Field(), random.Random(seed)
     for epoch in range(EPOCHS):
         rng.shuffle(rows)
         for text, cut, gold in rows:
-            if len(cut) <= 60:
-                field.step(text, cut, gold, RATE / (1 + epoch))
+            field.step(text, cut, gold, RATE / (1 + epoch))
     return field
 
 
@@ -380,13 +510,22 @@ def all_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     if not _TRIGGER.search(text):
         return base
     added = []
-    covered = without_overlap(base)
-    for a, b in regions(text):
-        cut = atoms(text, a, b)
-        own = [s for s in covered if s[1] < b and s[2] > a]
+    covered, first = without_overlap(base), 0
+    for a, b in sites(text):
+        while first < len(covered) and covered[first][2] <= a:
+            first += 1
+        last = first
+        while last < len(covered) and covered[last][1] < b:
+            last += 1
+        own = covered[first:last]
         if own and own[0][1] <= a and own[0][2] >= b:
             continue
-        added += [s for s in field.decode(text, cut) if all(s[2] <= x[1] or s[1] >= x[2] for x in own)]
+        at = 0
+        for s in field.decode(text, a, b):
+            while at < len(own) and own[at][2] <= s[1]:
+                at += 1
+            if at == len(own) or own[at][1] >= s[2]:
+                added.append(s)
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -405,17 +544,37 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def fitted(docs: DataFrame) -> Field:
-    """A field fitted on at most SAMPLE_DOCS documents, those of the smallest text hashes.
+def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_sites: int = SAMPLE_SITES) -> Field:
+    """A field fitted on at most sample_sites sites of at most sample_docs distinct texts, those of the smallest hashes.
 
-    The bound on the hash is found first, without the texts, so that no task sends more than a few of them.
+    A bound on the hash keeps all but some dozen times as many rows from being moved; it is widened until it holds
+    enough distinct texts or all of them.  Only sites of at most LONGEST_SITE characters reach the driver.
     """
-    holds = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("_h"))
-    last = holds.select("_h").orderBy("_h").limit(SAMPLE_DOCS).agg(F.max("_h")).first()[0]
-    if last is None:
-        return fit([])
-    # Repeated texts share a hash, so each is taken once.
-    return fit([r.text for r in holds.filter(F.col("_h") <= last).dropDuplicates(["_h"]).orderBy("_h").collect()])
+    rows, share = docs.count(), 1.0
+    if rows > 64 * sample_docs:
+        share = 64 * sample_docs / rows
+    while True:
+        bound = F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else F.lit((1 << 63) - 1)
+        holds = docs.select("text", F.xxhash64("text").alias("_h")).filter((F.col("_h") <= bound) & F.col("text").rlike("[0-9@]"))
+        chosen = written(holds.dropDuplicates(["_h"]).orderBy("_h").limit(sample_docs), "pii-sample")
+        if share >= 1 or chosen.count() >= sample_docs:
+            break
+        share = min(1.0, 64 * share)
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for n, (near, a, b, gold) in enumerate(training_sites(text)):
+                    for column, x in zip(out, (h, n, near, a, b, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in gold]), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), span), strict=True)], ["h", "n", "near", "a", "b", "gold"])
+
+    told = chosen.mapInArrow(cut, "h long, n int, near string, a int, b int, gold array<struct<kind:string,start:int,end:int>>")
+    return fit([(r.near, r.a, r.b, [tuple(g) for g in r.gold]) for r in told.orderBy("n", "h").limit(sample_sites).collect()])
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
