@@ -1,108 +1,165 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Texts become words (runs of letters and digits, lower case).  Each fixed mask is laid over every word
-position; the hash of the words it keeps, the others being ignored, is looked up among the same hashes of the
-benchmark.  A bit table of fixed size drops nearly all positions first; an equi-join finds the hits.  Around the hits an
-overlap is verified on its diagonal (document position minus item position): the words known to be equal are
-those some hit covers, an overlap ends where MOST_GAP words in a row are not covered, and it counts with at
-least LEAST_WORDS equal words (or LEAST_SHARE of a shorter item) and LEAST_SHARE of its words equal.
-
-Defined results: null and blank texts have no words and match nothing; items of fewer words than the shortest
-mask match nothing; items of the same words are one, named by the smallest item_id; rows that repeat a doc_id
-are one document; rows without doc_id are never reported or removed; other columns are ignored.
+Texts become words (runs of letters and digits, lower case; in scripts written without blanks each character is a
+word).  Each fixed mask is laid over every word position; the hash of the words it keeps, the others being
+ignored, is looked up among the same hashes of the benchmark.  A bit table drops nearly all positions first; an
+equi-join of what is left finds the hits.  A position whose seed stands a few words before too (a repeated word or
+phrase) is no hit, in documents and items alike, so that repetitions meet once, where they begin, and not each with
+each.
+
+Each hit gives a diagonal (document position minus item position).  There the words themselves are compared: an
+overlap is a stretch of equal words that ends where MOST_GAP words in a row differ, and it counts with at least
+LEAST_WORDS equal words (or LEAST_TENTHS of a shorter item's) and LEAST_TENTHS of its words equal.
+
+Items shorter than the shortest mask are looked up whole, by the hash of all their words.
+
+Defined results: null and blank texts have no words and match nothing; items of the same words are matched once and
+all reported; rows that repeat a doc_id are scanned each and reported as one, by the row with the most;
+rows without doc_id or item_id are never reported or removed; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import written
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("110111", "1101011")
 LEAST_WORDS = 10
-LEAST_SHARE = 0.7
+LEAST_TENTHS = 7
 MOST_GAP = 4
-#: Size of the bit table, whatever the benchmark's size.
-TABLE_BITS = 22
+#: A seed that stands up to so many words before as well is a repetition.
+REPEATED_WITHIN = 8
+#: Bits of the table for each seed of the benchmark, and the logarithms of its least and most bits.  Beyond the most
+#: it drops fewer positions and the join gets more, with the same result.
+BITS_A_SEED = 512
+TABLE_BITS = (22, 27)
+#: Letters of scripts that are written without blanks (Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2FFFF}]"
+SHORTEST = min(map(len, MASKS))
+
+
+def _bare(text: str) -> str:
+    """SQL of the words of a text with one blank between."""
+    plain = rf"trim(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+', ' '))"
+    unspaced = UNSPACED.replace("\\", "\\\\")
+    return f"CASE WHEN {text} RLIKE '{unspaced}' THEN trim(regexp_replace(regexp_replace({plain}, '({unspaced})', ' $1 '), ' +', ' ')) ELSE {plain} END"
 
 
 def _word_hashes(text: str) -> str:
-    bare = rf"trim(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+', ' '))"
-    return f"transform(split({bare}, ' '), w -> xxhash64(w))"
+    return f"transform(split({_bare(text)}, ' '), w -> xxhash64(w))"
 
 
-def _seed(mask: str) -> str:
+def _seeds(mask: str) -> str:
+    """SQL of the seeds of a mask at all positions of _h."""
     kept = ", ".join(f"get(_h, i + {k})" for k, m in enumerate(mask) if m == "1")
-    return f"xxhash64({kept})"
+    return f"CASE WHEN size(_h) >= {len(mask)} THEN transform(sequence(0, size(_h) - {len(mask)}), i -> xxhash64({kept})) ELSE CAST(array() AS array<bigint>) END"
+
+
+def _first_met(seeds: Column, i: Column) -> Column:
+    """Whether the seed at i is no repetition."""
+    return reduce(and_, (~F.get(seeds, i - p).eqNullSafe(F.get(seeds, i)) for p in range(1, REPEATED_WITHIN + 1)))
+
+
+def _with_seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """Adds _s0, _s1 …: the seeds of each mask at each position of _h."""
+    return df.select("*", *[F.expr(_seeds(mask)).alias(f"_s{k}") for k, mask in enumerate(masks)])
+
 
+def _hits(masks: list[str], holds: Callable[[Column], Column] | None = None) -> Column:
+    """Structs (mask, pos, seed) of the positions whose seed holds and is no repetition."""
 
-def _seeds(df: DataFrame) -> DataFrame:
-    """Adds _s0, _s1 …: the hash of each mask at each position of _h."""
-    for k, mask in enumerate(MASKS):
-        df = df.withColumn(f"_s{k}", F.expr(f"CASE WHEN size(_h) >= {len(mask)} THEN transform(sequence(0, size(_h) - {len(mask)}), i -> {_seed(mask)}) ELSE CAST(array() AS array<bigint>) END"))
-    return df
+    def of(k: int) -> Column:
+        s = F.col(f"_s{k}")
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(places, lambda i: (holds(F.get(s, i)) if holds else F.lit(True)) & _first_met(s, i))
+        return F.transform(kept, lambda i: F.struct(F.lit(k).alias("mask"), i.alias("pos"), F.get(s, i).alias("seed")))
 
+    return F.concat(*map(of, range(len(masks))))
 
-def _positions(seeds: str, where: str = "true") -> str:
-    return f"CASE WHEN size({seeds}) > 0 THEN filter(sequence(0, size({seeds}) - 1), i -> {where}) ELSE CAST(array() AS array<int>) END"
 
+def distinct_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, _h), the word hashes of items of different words, and (item, item_id), the items that have them."""
+    named = benchmark.filter("item_id IS NOT NULL").select("item_id", F.expr(_bare("text")).alias("_t")).filter("_t != ''").select("item_id", F.expr("transform(split(_t, ' '), w -> xxhash64(w))").alias("_h"))
+    items = written(named.groupBy("_h").agg(F.min("item_id").alias("item")), "items")
+    return items, named.join(items, "_h").select("item", "item_id")
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """(mask, seed, item_id, item_pos, item_words) of the benchmark."""
-    items = benchmark.select("item_id", F.expr(_word_hashes("text")).alias("_h"))
-    items = items.groupBy("_h").agg(F.min("item_id").alias("item_id"))
-    parts = []
-    for k in range(len(MASKS)):
-        found = _seeds(items).select("item_id", F.size("_h").alias("item_words"), F.posexplode(f"_s{k}").alias("item_pos", "seed"))
-        parts.append(found.select(F.lit(k).alias("mask"), "seed", "item_id", "item_pos", "item_words"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+def item_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(mask, seed, item, item_pos) of the items, and the masks: the fixed ones, then one for each short length met."""
+    short = sorted(r.n for r in items.select(F.size("_h").alias("n")).filter(f"n < {SHORTEST}").distinct().collect())
+    masks = [*MASKS, *("1" * n for n in short)]
+    # A short item has its own mask alone, and no longer one has it.
+    own = " OR ".join([f"(x.mask < {len(MASKS)} AND size(_h) >= {SHORTEST})", *(f"(x.mask = {len(MASKS) + k} AND size(_h) = {n})" for k, n in enumerate(short))])
+    found = _with_seeds(items, masks).select("item", "_h", F.monotonically_increasing_id().alias("_row"), F.explode(_hits(masks)).alias("x"))
+    return written(found.filter(own).select("x.mask", "x.seed", "item", F.col("x.pos").alias("item_pos")), "item-seeds"), masks
 
-def _bit_table(seeds: DataFrame) -> DataFrame:
-    """One row: an array of longs with the bit of every seed set."""
-    words = 1 << (TABLE_BITS - 6)
-    bits = seeds.groupBy(F.expr(f"CAST(shiftright(seed, 6) & {words - 1} AS BIGINT)").alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(seed & 63 AS INT)))").alias("bits"))
-    whole = seeds.sparkSession.range(words).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+
+def _probes(seed: Column, bits: int) -> tuple[Column, Column]:
+    low = F.lit((1 << bits) - 1).cast("long")
+    return seed.bitwiseAND(low), F.shiftright(seed, 32).bitwiseAND(low)
+
+
+def _bit_table(seeds: DataFrame, bits: int) -> DataFrame:
+    """One row: an array of longs with two bits of every seed set."""
+    places = seeds.select(F.explode(F.array(*_probes(F.col("seed"), bits))).alias("b"))
+    bitmap = places.groupBy(F.expr("CAST(shiftright(b, 6) AS BIGINT)").alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(b & 63 AS INT)))").alias("bits"))
+    whole = seeds.sparkSession.range(1 << (bits - 6)).join(bitmap, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     return whole.agg(F.expr("transform(array_sort(collect_list(struct(id, bits))), x -> x.bits)").alias("table"))
 
 
+def _islands() -> str:
+    """SQL of the overlaps of _h and _ih on the diagonals _d: (doc_word, item_word, n_words, n_equal)."""
+    equal = "CASE WHEN least(size(_h), size(_ih) + d) > greatest(0, d) THEN filter(sequence(greatest(0, d), least(size(_h), size(_ih) + d) - 1), p -> get(_h, p) = get(_ih, p - d)) ELSE CAST(array() AS array<int>) END"
+    first = f"filter(sequence(0, size(x.e) - 1), k -> k = 0 OR get(x.e, k) - get(x.e, k - 1) > {MOST_GAP})"
+    ended = f"transform(filter(transform(_d, d -> struct(d AS d, {equal} AS e)), x -> size(x.e) > 0), x -> struct(x.d AS d, x.e AS e, {first} AS f))"
+    until = "coalesce(get(y.f, m + 1), size(y.e))"
+    island = f"struct(get(y.e, get(y.f, m)) AS doc_word, get(y.e, get(y.f, m)) - y.d AS item_word, get(y.e, {until} - 1) - get(y.e, get(y.f, m)) + 1 AS n_words, {until} - get(y.f, m) AS n_equal)"
+    return f"flatten(transform({ended}, y -> transform(sequence(0, size(y.f) - 1), m -> {island})))"
+
+
+def row_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(row, doc_id, item_id, doc_word, item_word, n_words, n_equal): verified overlaps, positions from 0; row numbers rows of docs."""
+    items, names = distinct_items(benchmark)
+    seeds, masks = item_seeds(items)
+    bits = max(TABLE_BITS[0], min(TABLE_BITS[1], (BITS_A_SEED * seeds.count()).bit_length()))
+    df = docs.filter("doc_id IS NOT NULL").select("doc_id", F.expr(_word_hashes("text")).alias("_h"))
+    one = lambda p: F.call_function("shiftright", F.get("_bits", F.shiftright(p, 6).cast("int")), p.cast("int").bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1
+    hits = _hits(masks, lambda seed: reduce(and_, map(one, _probes(seed, bits))))
+    # The table's column comes last, as it is copied with each row that passes on.
+    seeded = _with_seeds(df, masks).withColumn("_bits", _bit_table(seeds, bits).scalar())
+    # Spark would move the filter below the columns it uses and repeat their expressions, but for a column beside
+    # them that is not deterministic.
+    held = written(seeded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "_h", hits.alias("_hits")).filter("row >= 0 AND size(_hits) > 0"), "hits")
+    hits = held.select("row", F.explode("_hits").alias("x")).select("row", "x.mask", "x.pos", "x.seed")
+    diagonals = hits.join(seeds, ["mask", "seed"]).select("row", "item", (F.col("pos") - F.col("item_pos")).alias("d"))
+    # A document has at most as many diagonals with an item as both have words.
+    met = diagonals.groupBy("row", "item").agg(F.collect_set("d").alias("_d"))
+    met = met.join(held.select("row", "doc_id", "_h"), "row").join(items.withColumnRenamed("_h", "_ih"), "item")
+    found = met.select("row", "doc_id", "item", F.size("_ih").alias("_n"), F.explode(F.expr(_islands())).alias("x")).select("row", "doc_id", "item", "_n", "x.*")
+    enough = (F.col("n_equal") >= LEAST_WORDS) | (10 * F.col("n_equal") >= LEAST_TENTHS * F.col("_n"))
+    found = found.filter(enough & (10 * F.col("n_equal") >= LEAST_TENTHS * F.col("n_words")))
+    return found.join(names, "item").select("row", "doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_equal): verified overlaps, positions from 0."""
-    seeds = benchmark_seeds(benchmark)
-    table = _bit_table(seeds)
-    df = docs.filter("doc_id IS NOT NULL").select("doc_id", F.expr(_word_hashes("text")).alias("_h"))
-    df = _seeds(df).drop("_h").withColumn("_bits", table.scalar())
-    at = f"shiftright(get({{s}}, i), 6) & {(1 << (TABLE_BITS - 6)) - 1}"
-    found = []
-    for k in range(len(MASKS)):
-        s = f"_s{k}"
-        hit = f"shiftright(get(_bits, CAST({at.format(s=s)} AS INT)), CAST(get({s}, i) & 63 AS INT)) & 1 = 1"
-        found.append(f"transform({_positions(s, hit)}, i -> struct({k} AS mask, i AS pos, get({s}, i) AS seed))")
-    hits = df.select("doc_id", F.expr(f"explode(concat({', '.join(found)}))").alias("x")).select("doc_id", "x.mask", "x.pos", "x.seed")
-    met = hits.join(seeds, ["mask", "seed"]).select("doc_id", "item_id", "item_words", "mask", "pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-    covered = F.element_at(F.array(*[F.array(*[F.lit(k) for k, m in enumerate(mask) if m == "1"]) for mask in MASKS]), F.col("mask") + 1)
-    equal = met.select("doc_id", "item_id", "item_words", "diagonal", F.explode(F.transform(covered, lambda k: k + F.col("pos"))).alias("pos")).distinct()
-    key = ["doc_id", "item_id", "item_words", "diagonal"]
-    in_order = Window.partitionBy(*key).orderBy("pos")
-    opens = (F.col("pos") - F.lag("pos").over(in_order)) > MOST_GAP
-    islands = equal.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("_island", F.sum("_opens").over(in_order))
-    whole = islands.groupBy(*key, "_island").agg(F.min("pos").alias("doc_word"), F.max("pos").alias("_last"), F.count("*").cast("int").alias("n_equal"))
-    whole = whole.withColumn("n_words", F.col("_last") - F.col("doc_word") + 1).withColumn("item_word", F.col("doc_word") - F.col("diagonal"))
-    enough = (F.col("n_equal") >= LEAST_WORDS) | (F.col("n_equal") >= LEAST_SHARE * F.col("item_words"))
-    return whole.filter(enough & (F.col("n_equal") >= LEAST_SHARE * F.col("n_words"))).select("doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal")
+    return row_overlaps(docs, benchmark).drop("row")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_overlaps, n_equal, n_words): the overlaps of each document with each item; n_equal and n_words are of the longest."""
-    best = F.max(F.struct("n_equal", "n_words"))
-    return overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_overlaps"), best.alias("b")).select("doc_id", "item_id", "n_overlaps", "b.n_equal", "b.n_words")
+    per_row = row_overlaps(docs, benchmark).groupBy("row", "doc_id", "item_id").agg(F.count("*").alias("n"), F.max(F.struct("n_equal", "n_words")).alias("b"))
+    return per_row.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_overlaps"), F.max("b").alias("b")).select("doc_id", "item_id", "n_overlaps", "b.n_equal", "b.n_words")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that overlap an item."""
-    found = overlaps(docs, benchmark).select("doc_id").distinct()
+    found = row_overlaps(docs, benchmark).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate as dc
 from . import license_scan as ls
 from . import quality_rules as qr
 
@@ -47,4 +48,32 @@ def license_sql() -> str:
     SELECT doc_id, licenses, n_rules, n_sentences FROM told JOIN (SELECT row, max(n) AS n_sentences FROM found GROUP BY row) USING (row)"""
 
 
-ORACLES = {"op5_license_sentences": license_sql(), "op8_line_quality": quality_sql()}
+def decontamination_sql() -> str:
+    """Seeds are lists of words here, so no hash, bit table or skipped position is shared with the query."""
+    plain = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+    bare = rf"trim(regexp_replace(regexp_replace({plain}, '({dc.UNSPACED})', ' \1 ', 'g'), ' +', ' ', 'g'))"
+    mask = lambda m: f"[{', '.join(f'w[i + {k + 1}]' for k, x in enumerate(m) if x == '1')}]"
+    of = lambda t, key: " UNION ALL ".join([
+        *(f"SELECT {n} AS mask, {key}, i, {mask(m)} AS s FROM (SELECT {key}, w, unnest(range(0, len(w) - {len(m) - 1})) AS i FROM {t} WHERE len(w) >= {len(m)})" for n, m in enumerate(dc.MASKS)),
+        f"SELECT {len(dc.MASKS)} + n AS mask, {key}, i, w[i + 1:i + n] AS s FROM (SELECT {key}, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM {t} JOIN short ON {'len(w) >= n' if t == 'docs' else 'len(w) = n'})",
+    ])
+    once = lambda key: " AND ".join(f"s IS DISTINCT FROM lag(s, {p}) OVER (PARTITION BY mask, {key} ORDER BY i)" for p in range(1, dc.REPEATED_WITHIN + 1))
+    return rf"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, string_split({bare}, ' ') AS w FROM documents WHERE doc_id IS NOT NULL),
+    named AS MATERIALIZED (SELECT item_id, string_split(t, ' ') AS w FROM (SELECT item_id, {bare} AS t FROM benchmark WHERE item_id IS NOT NULL) WHERE t <> ''),
+    items AS MATERIALIZED (SELECT min(item_id) AS item, w FROM named GROUP BY w),
+    short AS (SELECT DISTINCT len(w) AS n FROM items WHERE len(w) < {dc.SHORTEST}),
+    ds AS (SELECT mask, row, i, s, {once("row")} AS once FROM ({of("docs", "row")})),
+    js AS (SELECT mask, item, i, s, {once("item")} AS once FROM ({of("items", "item")})),
+    diagonals AS MATERIALIZED (SELECT DISTINCT row, item, ds.i - js.i AS d FROM ds JOIN js USING (mask, s) WHERE ds.once AND js.once),
+    pairs AS (SELECT row, item, d, docs.w AS w, items.w AS v FROM diagonals JOIN docs USING (row) JOIN items USING (item)),
+    equal AS (SELECT row, item, d, len(v) AS n, p FROM (SELECT row, item, d, w, v, unnest(range(greatest(0, d), least(len(w), len(v) + d))) AS p FROM pairs) WHERE w[p + 1] = v[p - d + 1]),
+    marked AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY row, item, d ORDER BY p) > {dc.MOST_GAP}, true) AS opens FROM equal),
+    numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY row, item, d ORDER BY p) AS island FROM marked),
+    islands AS (SELECT row, item, d, n, island, CAST(count(*) AS INT) AS n_equal, CAST(max(p) - min(p) + 1 AS INT) AS n_words FROM numbered GROUP BY ALL),
+    good AS (SELECT * FROM islands WHERE (n_equal >= {dc.LEAST_WORDS} OR 10 * n_equal >= {dc.LEAST_TENTHS} * n) AND 10 * n_equal >= {dc.LEAST_TENTHS} * n_words),
+    per_row AS (SELECT row, item, count(*) AS k, max({{'n_equal': n_equal, 'n_words': n_words}}) AS b FROM good GROUP BY row, item)
+    SELECT doc_id, item_id, max(k) AS n_overlaps, max(b).n_equal AS n_equal, max(b).n_words AS n_words
+    FROM per_row JOIN (SELECT row, doc_id FROM docs) USING (row) JOIN (SELECT item, item_id FROM named JOIN items USING (w)) USING (item) GROUP BY doc_id, item_id"""
+
+
+ORACLES = {"op4_spaced_seeds": decontamination_sql(), "op5_license_sentences": license_sql(), "op8_line_quality": quality_sql()}
