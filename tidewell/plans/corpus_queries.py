@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
 from tidewell.operators import bpe, corpus
-from tidewell.sources import shards
+from tidewell.sources import shards, storage
 
 from . import fixtures as fx
 from .registry import query
@@ -109,8 +108,7 @@ def context_crop(spark, sf_dir):
 
 def scratch(spark) -> str:
     """A folder all executors share, for files that a query writes and reads back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-")
-    return f"{base.rstrip('/')}/tidewell-shard-{uuid.uuid4().hex}"
+    return f"{storage.shared_dir(spark)}/tidewell-shard-{uuid.uuid4().hex}"
 
 
 @query("token_shard_scan", f"WITH {STREAM} SELECT token, count(*) AS cnt, min(o) AS first_offset FROM t GROUP BY 1")

@@ -31,7 +31,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions with an order of lines: file name, then offset of the row in it."""
-    rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").option("maxPartitionBytes", "1g").json(path)
+    rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
     return rows.select("id", "output", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"))
 
 

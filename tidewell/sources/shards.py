@@ -1,6 +1,6 @@
 """Token shards: headerless little-endian unsigned 16-bit ids, as a Spark data source.
 
-``spark.read.format("token_shard").load(path)`` gives (offset, token), cut by byte ranges; writing takes rows
+``spark.read.format("token_shard").load(storage.qualified(spark, path))`` gives (offset, token), cut by byte ranges; writing takes rows
 (offset, token) sorted within partitions and leaves a file a task, named so that their order is the order of
 first offsets.
 """
@@ -12,20 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from .storage import filesystem, publish
 
 #: Bytes that a read task takes.
 RANGE = 8 << 20
 
 
-def filesystem(path: str):
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Range(InputPartition):
     name: str
@@ -62,33 +56,64 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int64) + part.offset + at), pa.array(own)], ["offset", "token"])
 
 
-class Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+@dataclass
+class Written(WriterCommitMessage):
+    own: str | None
+    first: int
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import numpy as np
 
+class Writer(DataSourceArrowWriter):
+    """Each task writes a file under a name of its own; the commit of the whole job gives them their names, in a folder
+    that must hold no shard yet unless the job overwrites."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+
+    def write(self, batches: Iterator) -> Written:
         fs, folder = filesystem(self.path)
         fs.create_dir(folder, recursive=True)
-        held: list[int] = []
         first = out = None
         own = f"{folder}/_{uuid.uuid4().hex}"
-        for row in rows:
-            if first is None:
-                first = row.offset
-                out = fs.open_output_stream(own)
-            if not 0 <= row.token <= 65535:
-                raise ValueError(f"token id {row.token} beyond 16 bits")
-            held.append(row.token)
-            if len(held) >= 1 << 16:
-                out.write(np.array(held, "<u2").tobytes())
-                held = []
-        if out is not None:
-            out.write(np.array(held, "<u2").tobytes())
-            out.close()
-            fs.move(own, f"{folder}/shard-{first:020d}.bin")
-        return WriterCommitMessage()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("token").to_numpy(zero_copy_only=False)
+            if tokens.min() < 0 or tokens.max() > 65535:
+                raise ValueError("token id beyond 16 bits")
+            if out is None:
+                first, out = batch.column("offset")[0].as_py(), fs.open_output_stream(own)
+            out.write(tokens.astype("<u2").tobytes())
+        if out is None:
+            return Written(None, 0)
+        out.close()
+        return Written(own, first)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs as pfs
+
+        fs, folder = filesystem(self.path)
+        fs.create_dir(folder, recursive=True)
+        old = [f.path for f in fs.get_file_info(pfs.FileSelector(folder)) if f.path.endswith(".bin")]
+        if old and not self.overwrite:
+            self.abort(messages)
+            raise ValueError(f"{self.path} holds shards already")
+        for name in old:
+            fs.delete_file(name)
+        for m in messages:
+            if m and m.own:
+                publish(fs, m.own, f"{folder}/shard-{m.first:020d}.bin")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, _ = filesystem(self.path)
+        for m in messages:
+            if m and m.own:
+                fs.delete_file(m.own)
+
+
+def _resolved(path: str) -> str:
+    """The path with a scheme.  Python data sources are planned outside the driver's process, so a path without one is
+    resolved beforehand, by qualified(); one that was not is local."""
+    return path if ":" in path.split("/", 1)[0] else f"file:{path}"
 
 
 class TokenShards(DataSource):
@@ -100,10 +125,10 @@ class TokenShards(DataSource):
         return "offset long, token int"
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(_resolved(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"])
+        return Writer(_resolved(self.options["path"]), overwrite)
 
 
 def register(spark: SparkSession) -> None:
