@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.storage import shared_dir
+
 #: ASCII white space, the separator of words in every operator here.
 SPACE = r"\x20\x09-\x0D"
 #: The same six characters as a SQL string literal for trim().
@@ -22,17 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidewell-{what}-{uuid.uuid4().hex}"
 
@@ -45,14 +35,6 @@ def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that df does not have, for working columns beside the caller's own."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
 def split_words(text: Column | str) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none for null and blank texts."""
     c = F.col(text) if isinstance(text, str) else text
@@ -60,12 +42,6 @@ def split_words(text: Column | str) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
 
 
-def lower_ascii(text: Column | str) -> Column:
-    """Lower-cases A-Z alone."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

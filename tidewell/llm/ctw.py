@@ -37,8 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.sources.storage import filesystem, publish
+
 from .common import fresh_path, id_hash_mod, parallelism, written
-from .sstable import filesystem, publish
 
 DEPTH = 5
 #: Nodes of at least this depth are mixed in parallel groups; those above by the driver.

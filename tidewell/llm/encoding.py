@@ -7,6 +7,7 @@ their characters; long runs are encoded anew each time.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -14,8 +15,9 @@ import struct
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of runs kept at once in a Python worker, and the longest run kept.
-KEPT_CHARS = 8_000_000
+#: Characters of runs, and of their letters and marks, kept at once in a Python worker, and the longest kept.
+KEPT_CHARS = 5_000_000
+KEPT_PIECE_CHARS = 4_000_000
 LONGEST_KEPT = 64
 
 
@@ -63,24 +65,40 @@ class Encoder:
         self.mark, self.mark_text = next((i, x.content) for i, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
         self.kept: dict[bytes, bytes] = {}
         self.chars = 0
+        self.pieces: dict[str, bytes] = {}
+        self.piece_chars = 0
+        self.packed: list[bytes] = []
         self.simple = _splits_simply(self.tokenizer)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.dtype("<u4"))
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of lower-cased letters, or of marks; runs share them, so they have a bounded store of their own."""
+        plain = piece if piece.isascii() else "".join([_ALPHABET[b] for b in piece.encode()])
+        if not self.packed:
+            self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size() + 1)]
+        packed = self.packed
+        ids = b"".join([packed[x.id] for x in self.tokenizer.model.tokenize(plain)])
+        if self.piece_chars < KEPT_PIECE_CHARS and len(piece) <= LONGEST_KEPT:
+            self.pieces[piece] = ids
+            self.piece_chars += len(piece)
+        return ids
+
     def _simple_ids(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """The ids of runs that need no cutting, from the merges alone."""
-        new, tokenize = {}, self.tokenizer.model.tokenize
+        new, match, known = {}, _SIMPLE.fullmatch, self.pieces.get
         for run in runs:
-            m = _SIMPLE.fullmatch(run.decode())
+            m = match(run.decode())
             if m:
-                letters = m[1].lower()
-                if letters and not letters.isascii():
-                    letters = "".join([_ALPHABET[b] for b in letters.encode()])
-                ids = [x.id for x in tokenize(letters)] if letters else []
-                if m[2]:
-                    ids += [x.id for x in tokenize(m[2])]
-                new[run] = struct.pack(f"<{len(ids)}I", *ids)
+                letters, marks = m.groups()
+                ids = b""
+                if letters:
+                    letters = letters.lower()
+                    ids = known(letters) or self._piece(letters)
+                if marks:
+                    ids += known(marks) or self._piece(marks)
+                new[run] = ids
         return new
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
@@ -96,6 +114,16 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text; none for null."""
+        # Many small objects and no cycles are made here, so the collector would only walk the stores.
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [x.split() if x else [] for x in texts]
         met = set().union(*split)
         missing = list(met.difference(self.kept))

@@ -16,11 +16,13 @@ A key is the doc_id as eight big-endian bytes with its sign bit flipped, so byte
 without a doc_id has the empty key, which comes first.  Look-ups ask the Bloom filter, then search the sparse
 index and the restarts of one block by halves.
 
-Shards are written by the executors with pyarrow's file systems into the folder all of them share; a file
-gets its name only when it is whole, so a repeated or lost task leaves no torn shard.
+Texts are encoded first, so that ids and not texts are ordered by key.  Their bytes tell the number of ranges; a
+range is written as one shard after another, none of more than SHARD_BYTES or SHARD_DOCS, by the executors with pyarrow's file systems
+into the folder all of them share.  A file gets its name only when it is whole, so a repeated or lost task leaves
+no torn shard.  The manifest has each shard's first and last key, which a look-up asks first.
 
 Defined results: a null text has no ids but the end id; rows that repeat a doc_id are kept, in the order of
-their texts; an empty table has no shard; other columns are ignored.
+a hash of their ids, and may be parted among ranges; an empty table has no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.sources.storage import filesystem, publish, qualified
+
 from .common import fresh_path, parallelism, written
 from .encoding import encoder
 
 MAGIC = b"TWSST001"
 BLOCK_BYTES = 1 << 18
+#: A shard ends with the document that reaches one of these; a range of keys is made for so many bytes.
+SHARD_BYTES = 128 << 20
+SHARD_DOCS = 500_000
+LEAST_RANGE = 4 << 20
 RESTART_EVERY = 16
 BITS_PER_KEY = 10
 PROBES = 7
@@ -92,25 +100,6 @@ def _probes(key: bytes, bits: int) -> list[int]:
     return [(a + k * b) % bits for k in range(PROBES)]
 
 
-def filesystem(path: str):
-    """The pyarrow file system of a path or URI, and the path in it."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-    return fs.LocalFileSystem(), path
-
-
-def publish(fs, own: str, name: str) -> None:
-    """Gives a whole file its name.  Another attempt of the same task may have done so; its file is the same."""
-    try:
-        fs.move(own, name)
-    except OSError:
-        if not fs.get_file_info(name).is_file:
-            raise
-        fs.delete_file(own)
-
-
 class ShardWriter:
     def __init__(self, out):
         import zstandard
@@ -127,6 +116,9 @@ class ShardWriter:
         self.before = self.docs, self.ids
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        self.add_packed(key, pack_ids(ids))
+
+    def add_packed(self, key: bytes, value: bytes) -> None:
         if self.keys and key < self.keys[-1]:
             raise ValueError("keys must ascend")
         shared = 0
@@ -136,13 +128,12 @@ class ShardWriter:
                 shared += 1
         else:
             self.restarts.append(len(self.block))
-        value = pack_ids(ids)
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last, self.entries = key, self.entries + 1
         if not self.keys or self.keys[-1] != key:
             self.keys.append(key)
         self.docs += 1
-        self.ids += len(ids)
+        self.ids += (len(value) - 1) // value[0]
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -238,38 +229,68 @@ class ShardReader:
         return None
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shards: int) -> DataFrame:
-    """Writes docs (doc_id, text) and returns the manifest (shard, path, n_docs, n_ids), a row for each shard."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(doc_id, ids, n_bytes, h, row), written: the packed ids of each row with the end id, their hash and a row number."""
 
-    def write(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        task = TaskContext.get()
-        fs, folder = filesystem(path)
-        name, out, own = f"{folder}/shard-{task.partitionId():06d}.sst", None, None
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4")
+        encode, end = encoder(vocabulary).encode, struct.pack("<I", end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                if not part.num_rows:
-                    continue
-                if out is None:
-                    fs.create_dir(folder, recursive=True)
-                    own = f"{name}.{task.taskAttemptId()}"
-                    out = fs.open_output_stream(own)
-                    writer = ShardWriter(out)
                 texts = part.column(1).cast(pa.large_binary()).to_pylist()
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    writer.add(key_of(doc_id), np.concatenate([np.frombuffer(ids, "<u4"), end]))
-        if out is not None:
+                ids = [pack_ids(np.frombuffer(x + end, "<u4")) for x in encode(texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return written(found.select("doc_id", "ids", F.octet_length("ids").cast("long").alias("n_bytes"), F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")), "encoded")
+
+
+def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, ranges: int | None = None, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """Writes docs (doc_id, text) and returns the manifest (shard, part, path, first_id, last_id, n_docs, n_ids), a row
+    for each shard; (shard, part) is their order."""
+    spark = docs.sparkSession
+    ids, path = encoded(docs, vocabulary, end_id), qualified(spark, path)
+    if ranges is None:
+        total = ids.agg(F.sum("n_bytes")).first()[0] or 0
+        ranges = max(1, -(-total // shard_bytes), min(parallelism(spark), total // LEAST_RANGE))
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, part = TaskContext.get(), 0
+        shard = task.partitionId()
+        fs, folder = filesystem(path)
+        out = writer = first = last = None
+        own = f"{folder}/shard-{shard:06d}.{task.taskAttemptId()}"
+
+        def closed() -> pa.RecordBatch:
             writer.close()
             out.close()
-            publish(fs, own, name)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [f"{path}/shard-{task.partitionId():06d}.sst"], "n_docs": [writer.docs], "n_ids": [writer.ids]})
+            name = f"shard-{shard:06d}-{part:06d}.sst"
+            publish(fs, own, f"{folder}/{name}")
+            longs = {"first_id": [first], "last_id": [last], "n_docs": [writer.docs], "n_ids": [writer.ids]}
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "path": [f"{path}/{name}"]} | {k: pa.array(v, pa.int64()) for k, v in longs.items()})
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return written(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "manifest")
+        for batch in batches:
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if writer is None:
+                    fs.create_dir(folder, recursive=True)
+                    out = fs.open_output_stream(own)
+                    writer, first = ShardWriter(out), doc_id
+                writer.add_packed(key_of(doc_id), value)
+                last = doc_id
+                if writer.at + len(writer.block) >= shard_bytes or writer.docs >= shard_docs:
+                    yield closed()
+                    writer, part = None, part + 1
+        if writer is not None:
+            yield closed()
+
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    dealt = ids.select("doc_id", "ids", "h", "row").repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return written(dealt.mapInArrow(write, "shard int, part int, path string, first_id long, last_id long, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -293,15 +314,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             rows = [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
 
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"), "shard")
-    spread = placed.repartition(max(1, parallelism(manifest.sparkSession)), "shard").select("path", "start")
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard
+    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    spread = placed.repartition(max(1, parallelism(manifest.sparkSession)), "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> np.ndarray | None:
-    """The ids of one document, by its shards' filters and indexes alone."""
-    for row in manifest.orderBy("shard").select("path").toLocalIterator():
+    """The ids of one document: the manifest's key ranges leave few shards, then their filters and indexes are asked."""
+    holds = F.col("first_id").isNull() if doc_id is None else (F.coalesce(F.col("first_id") <= doc_id, F.lit(True)) & (F.col("last_id") >= doc_id))
+    for row in manifest.filter(holds).orderBy("shard", "part").select("path").toLocalIterator():
         fs, name = filesystem(row.path)
         with fs.open_input_file(name) as file:
             found = ShardReader(file).get(doc_id)
@@ -310,6 +332,5 @@ def lookup(manifest: DataFrame, doc_id: int | None) -> np.ndarray | None:
     return None
 
 
-def digest(docs: DataFrame, vocabulary: str, end_id: int = 1, shards: int | None = None) -> DataFrame:
-    spark = docs.sparkSession
-    return read_shards(write_shards(docs, fresh_path(spark, "shards"), vocabulary, end_id, shards or parallelism(spark)))
+def digest(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
+    return read_shards(write_shards(docs, fresh_path(docs.sparkSession, "shards"), vocabulary, end_id))
