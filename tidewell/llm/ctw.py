@@ -9,9 +9,10 @@ a decision's probability is the same mixture of the estimates of all depths alon
 
     p(d) = w(d) * kt(d) + (1 - w(d)) * p(d + 1),   w = Pe / (Pe + product of children),
 
-so a text's log probability is a sum over its bytes, whatever the order of the documents.
+so a text's log probability is a sum over its bytes, whatever the order of the documents; bits_per_byte is its code
+length over its coded bytes, the end byte among them.
 
-How it runs.  Documents are written once in chunks.  Each chunk yields its distinct keys: contexts with their
+How it runs.  Documents are written once in chunks of some CHUNK_BYTES, whatever the size of an input partition.  Each chunk yields its distinct keys: contexts with their
 byte (DEPTH + 1 bytes in a long) and hashes of its words, with training counts; these are what the cluster
 shuffles.  Nodes below depth SPLIT are mixed in groups of one depth-SPLIT context; sums over these give the few
 nodes above (at most 2**24 at any input).  Every key's value goes back to the chunks that asked for it, as
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.sources.storage import filesystem, publish
+from tidewell.sources.storage import filesystem, publish, qualified
 
 from .common import fresh_path, id_hash_mod, parallelism, written
 
@@ -49,6 +50,8 @@ SMOOTHING = 0.1
 #: Bytes of text, and rows of nodes, that are worked on at once.
 TOGETHER = 1 << 22
 ROWS_TOGETHER = 1 << 18
+#: Bytes of text in a chunk, but for its last document; a chunk's keys and values are held by one task.
+CHUNK_BYTES = 16 << 20
 _WORD = 1 << 63
 
 
@@ -136,6 +139,28 @@ class _Keys:
         return self.parts[0]
 
 
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, doc_id, train, text): docs in chunks, numbered within each input partition."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        first, before = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if first is None:
+                first = batch.column(0)[0].as_py() << 32
+            sizes = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes) + before
+            chunk = (ends - sizes) // chunk_bytes + first
+            before = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns[1:]], ["chunk", "doc_id", "train", "text"])
+
+    return docs.select(F.spark_partition_id().cast("long").alias("chunk"), "doc_id", "train", "text").mapInArrow(run, "chunk long, doc_id long, train boolean, text string")
+
+
 def chunk_keys(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(chunk, key, n): distinct keys of each chunk, with counts from training texts (0: met elsewhere only)."""
 
@@ -148,7 +173,7 @@ def chunk_keys(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
             k, n = keys.result()
             for a in range(0, len(k), 1 << 17):
                 own = k[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at, np.int32)), pa.array(own), pa.array(n[a : a + (1 << 17)])], ["chunk", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at, np.int64)), pa.array(own), pa.array(n[a : a + (1 << 17)])], ["chunk", "key", "n"])
 
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary())
@@ -161,7 +186,7 @@ def chunk_keys(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
         if keys:
             yield from told()
 
-    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk int, key long, n long")
+    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk long, key long, n long")
 
 
 # --- the tree ------------------------------------------------------------------------------------------
@@ -330,12 +355,12 @@ def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
 
         def put() -> dict:
             k, v = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
-            name = f"{folder}/chunk-{at:08d}"
+            name = f"{folder}/chunk-{at:016x}"
             data = zstandard.ZstdCompressor(level=1).compress(k.tobytes() + v.tobytes())
             with fs.open_output_stream(f"{name}.{attempt}") as out:
                 out.write(struct.pack("<Q", len(k)) + data)
             publish(fs, f"{name}.{attempt}", name)
-            return {"chunk": pa.array([at], pa.int32()), "words": [words], "train_tokens": [total]}
+            return {"chunk": pa.array([at], pa.int64()), "words": [words], "train_tokens": [total]}
 
         for batch in batches:
             chunk = batch.column(0).to_numpy()
@@ -358,7 +383,7 @@ def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
     words = keys.filter("key < 0").select("chunk", "key", F.sum("n").over(over).cast("double").alias("value"), (F.row_number().over(over.orderBy("chunk")) == 1).alias("first"), "n")
     contexts = keys.filter("key >= 0").join(values, "key").select("chunk", "key", "value", F.lit(False).alias("first"), "n")
     dealt = words.unionByName(contexts).repartition(parallelism(spark), "chunk").sortWithinPartitions("chunk", "key")
-    return written(dealt.mapInArrow(run, "chunk int, words long, train_tokens long"), "values")
+    return written(dealt.mapInArrow(run, "chunk long, words long, train_tokens long"), "values")
 
 
 class _Values:
@@ -395,7 +420,7 @@ class _Values:
 
 
 def score_chunks(chunks: DataFrame, path: str, total: int, distinct: int, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every document in chunks."""
+    """(doc_id, n_tokens, n_known, base_score, score, bits_per_byte) of every document in chunks."""
 
     def scored(own: _Values, texts: list[bytes | None]) -> list[np.ndarray]:
         split = [tokens(t) for t in texts]
@@ -407,21 +432,23 @@ def score_chunks(chunks: DataFrame, path: str, total: int, distinct: int, depth:
         logs = np.log10((counts + SMOOTHING) / (total + SMOOTHING * (distinct + 1)))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         keys, at = context_keys([b" ".join(w) for w in split], depth)
-        return [sizes, np.add.reduceat((counts > 0).astype(np.int64)[flat], starts), np.add.reduceat(logs[flat], starts), np.add.reduceat(own.contexts(keys), at)]
+        score = np.add.reduceat(own.contexts(keys), at)
+        coded = np.diff(np.append(at, len(keys)))
+        return [sizes, np.add.reduceat((counts > 0).astype(np.int64)[flat], starts), np.add.reduceat(logs[flat], starts), score, -score * math.log2(10) / coded]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         fs, folder = filesystem(path)
         at, own = None, None
-        names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+        names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
         for batch in batches:
             chunk, texts = batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary())
             a = 0
             while a < len(chunk):
                 if chunk[a] != at:
                     at, own = chunk[a], None
-                    with fs.open_input_file(f"{folder}/chunk-{at:08d}") as file:
+                    with fs.open_input_file(f"{folder}/chunk-{at:016x}") as file:
                         own = _Values(file.read())
                 held, size, b = [], 0, a
                 while b < len(chunk) and chunk[b] == at and (size < TOGETHER or b == a):
@@ -431,23 +458,23 @@ def score_chunks(chunks: DataFrame, path: str, total: int, distinct: int, depth:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *(pa.array(x) for x in scored(own, held))], names)
                 a = b
 
-    return chunks.select("chunk", "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return chunks.select("chunk", "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(id_hash_mod(doc_id, 10) == 0, F.lit(False))
 
 
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The digest of every document; fits on those that are not held out."""
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     chunk_path = fresh_path(spark, "chunks")
-    docs.select(F.spark_partition_id().alias("chunk"), doc_id.alias("doc_id"), (~held_out(doc_id)).alias("train"), "text").write.option("compression", "zstd").parquet(chunk_path)
-    chunks = spark.read.schema("chunk int, doc_id long, train boolean, text string").parquet(chunk_path)
+    chunked(docs.select(doc_id.alias("doc_id"), (~held_out(doc_id)).alias("train"), "text"), chunk_bytes).write.option("compression", "zstd").parquet(chunk_path)
+    chunks = spark.read.schema("chunk long, doc_id long, train boolean, text string").parquet(chunk_path)
     keys = written(chunk_keys(chunks, depth), "keys", "zstd")
-    path = fresh_path(spark, "values")
+    path = qualified(spark, fresh_path(spark, "values"))
     totals = write_values(keys, byte_values(keys, depth), path).agg(F.sum("words"), F.sum("train_tokens")).first()
     distinct, total = totals[0] or 0, totals[1] or 0
     found = score_chunks(chunks, path, total, distinct, depth)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -6,8 +6,8 @@ centroids, found by spherical k-means on its training vectors; the language of t
 cosine is the prediction.  A text farther from it than nearly all training texts of that language is marked
 as rejected.
 
-The fit uses at most SAMPLE documents a language, those of the smallest id hashes, from the training folds;
-every document is predicted.
+The fit uses at most SAMPLE documents a language, those of the smallest id hashes, from the training folds; their
+vectors are made and clustered by the executors.  Every document is predicted.
 
 Defined results: texts that are null or have no letter are `und` with score 0 and rejected; a null lang is
 never learned from; without any training row every text is `und`; ties go to the language that sorts first;
@@ -18,13 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_hash_mod
+from .common import id_hash_mod, written
 
 FEATURE_BITS = 13
 FEATURES = 1 << FEATURE_BITS
@@ -124,40 +126,13 @@ def _clusters(v: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c
 
 
-def fit(rows: list[tuple[str, bytes]]) -> Model | None:
-    """rows: language and text."""
-    rows = [r for r in rows if r[1].strip()]
-    if not rows:
-        return None
-    languages = sorted({r[0] for r in rows})
-    seen, texts = np.zeros(FEATURES), [r[1] for r in rows]
-    parts = []
-    for at in range(0, len(rows), 256):
-        c = counts(texts[at : at + 256])
-        seen += (c > 0).sum(axis=0)
-        parts.append(np.log1p(c).astype(np.float32))
-    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 0.1
-    v = _unit(np.concatenate(parts) * idf)
-    del parts
-    own = np.array([languages.index(r[0]) for r in rows])
-    # Long texts come nearer to any centroid than short ones, so each language's clusters are found on all of its lengths.
-    centroids, owner, least = [], [], []
-    for k in range(len(languages)):
-        mine = v[own == k]
-        c = _clusters(mine, CENTROIDS, k)
-        centroids.append(c)
-        owner += [k] * len(c)
-        least.append(np.quantile((mine @ c.T).max(axis=1), REJECTED))
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(least))
-
-
 def held_out(doc_id: Column) -> Column:
     return id_hash_mod(doc_id, 4) == 2
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, text) of at most sample documents a language that are not held out."""
-    told = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    """(lang, k, text) of at most sample documents a language that are not held out and not blank; k orders them."""
+    told = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\S")).filter(~held_out(F.col("doc_id")))
     # A bound on the hash, with room to spare, leaves few rows of each language to be moved and ranked.  The sizes
     # are one number for each language that the model will hold.
     sizes = {r.lang: r.n for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -165,8 +140,68 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     for lang, n in sizes.items():
         bound = F.when(F.col("lang") == lang, 1e9 * (2 * sample + 200) / n).otherwise(bound)
     near = told.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000_000)).alias("_h")).filter(F.col("_h") < bound)
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text")))
-    return ranked.filter(F.col("_k") <= sample).select("lang", "text")
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text")))
+    return ranked.filter(F.col("k") <= sample).select("lang", "k", "text")
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """(lang, k, slots, counts) of rows (lang, k, text): the slots that are not empty and ln(1 + count) in each, packed."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = np.log1p(counts(part.column(2).cast(pa.large_binary()).to_pylist()))
+                slots = [np.flatnonzero(x) for x in found]
+                packed = [[x.astype("<u2").tobytes() for x in slots], [v[x].astype("<f4").tobytes() for v, x in zip(found, slots, strict=True)]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in packed)], ["lang", "k", "slots", "counts"])
+
+    return rows.select("lang", "k", "text").mapInArrow(run, "lang string, k int, slots binary, counts binary")
+
+
+def _document_counts(found: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of vectors, and of those that have each slot: one row a batch is summed here."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen, n = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            for slots in batch.column(0).to_pylist():
+                seen[np.frombuffer(slots, "<u2")] += 1
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([seen.tobytes()])], ["n", "seen"])
+
+    n, seen = 0, np.zeros(FEATURES, np.int64)
+    for r in found.select("slots").mapInArrow(run, "n long, seen binary").toLocalIterator():
+        n, seen = n + r.n, seen + np.frombuffer(r.seen, np.int64)
+    return n, seen
+
+
+def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """The model.  Each language is fitted by a task of its own on at most sample vectors; the driver holds centroids alone."""
+    found = written(vectors(training_rows(docs, sample)), "language-vectors")
+    n, seen = _document_counts(found)
+    if not n:
+        return None
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 0.1
+
+    def cluster(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        v = np.zeros((len(rows), FEATURES), np.float32)
+        for own, slots, values in zip(v, rows["slots"], rows["counts"], strict=True):
+            own[np.frombuffer(slots, "<u2")] = np.frombuffer(values, "<f4")
+        v = _unit(v * idf)
+        # Long texts come nearer to any centroid than short ones, so the clusters are found on all lengths.
+        c = _clusters(v, CENTROIDS, 0)
+        return pd.DataFrame({"lang": [key[0]], "least": [float(np.quantile((v @ c.T).max(axis=1), REJECTED))], "centroids": [c.astype("<f4").tobytes()]})
+
+    rows = sorted(found.groupBy("lang").applyInPandas(cluster, "lang string, least double, centroids binary").collect())
+    centroids = [np.frombuffer(r.centroids, "<f4").reshape(-1, FEATURES) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in centroids])
+    return Model([r.lang for r in rows], idf, np.concatenate(centroids), owner, np.array([r.least for r in rows]))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -194,6 +229,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    model = fit([(r.lang, r.text.encode()) for r in training_rows(docs).collect()])
-    found = identify(docs, model)
+    found = identify(docs, fitted(docs))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -75,42 +75,50 @@ def clean_text(text: Column) -> Column:
     return F.when(text.isNotNull(), F.array_join(F.filter(_lines(text), lambda x: ~line_fails(x)), "\n"))
 
 
-def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """Adds the columns of the rules under names with _q_ in front."""
+def _prefix(docs: DataFrame) -> str:
+    """What no column of docs begins with, for working columns beside them."""
+    out = "_q_"
+    while any(c.lower().startswith(out) for c in docs.columns):
+        out = f"_{out}"
+    return out
+
+
+def _measured(docs: DataFrame, text: str, q: str) -> DataFrame:
+    """Adds the columns of the rules under names with q in front."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_q_h", F.transform(split_words(t), lambda w: F.xxhash64(w)))
-    df = df.withColumn("_q_n_words", F.size("_q_h").cast("long"))
-    windows = f"CASE WHEN size(_q_h) >= {WINDOW} THEN transform(sequence(0, size(_q_h) - {WINDOW}), i -> {_window_hash('_q_h')}) END"
-    df = df.withColumn("_q_win", F.expr(windows)).drop("_q_h")
-    df = df.withColumn("_q_dup", F.expr("coalesce(size(array_distinct(_q_win)) < size(_q_win), false)"))
+    df = docs.withColumn(f"{q}h", F.transform(split_words(t), lambda w: F.xxhash64(w)))
+    df = df.withColumn(f"{q}n_words", F.size(f"{q}h").cast("long"))
+    windows = f"CASE WHEN size({q}h) >= {WINDOW} THEN transform(sequence(0, size({q}h) - {WINDOW}), i -> {_window_hash(f'{q}h')}) END"
+    df = df.withColumn(f"{q}win", F.expr(windows)).drop(f"{q}h")
+    df = df.withColumn(f"{q}dup", F.expr(f"coalesce(size(array_distinct({q}win)) < size({q}win), false)"))
     # Only documents that repeat a window pay for the sort.
-    df = df.withColumn("_q_sorted", F.expr("CASE WHEN _q_dup THEN array_sort(transform(_q_win, (x, i) -> struct(x AS h, i AS i))) END")).drop("_q_win")
-    twice = "(j > 0 AND get(_q_sorted, j).h = get(_q_sorted, j - 1).h) OR (j + 1 < size(_q_sorted) AND get(_q_sorted, j).h = get(_q_sorted, j + 1).h)"
-    df = df.withColumn("_q_pos", F.expr(f"CASE WHEN _q_dup THEN array_sort(transform(filter(sequence(0, size(_q_sorted) - 1), j -> {twice}), j -> get(_q_sorted, j).i)) END")).drop("_q_sorted")
-    covered = f"aggregate(sequence(0, size(_q_pos) - 1), 0L, (a, j) -> a + least({WINDOW}, coalesce(get(_q_pos, j + 1) - get(_q_pos, j), {WINDOW})))"
-    df = df.withColumn("_q_repeat", F.expr(f"CASE WHEN _q_dup THEN {covered} ELSE 0L END")).drop("_q_pos", "_q_dup")
-    df = df.withColumn("_q_lines", F.filter(_lines(F.col(text)), lambda x: x.rlike(f"[^{SPACE}]")))
+    df = df.withColumn(f"{q}sorted", F.expr(f"CASE WHEN {q}dup THEN array_sort(transform({q}win, (x, i) -> struct(x AS h, i AS i))) END")).drop(f"{q}win")
+    twice = f"(j > 0 AND get({q}sorted, j).h = get({q}sorted, j - 1).h) OR (j + 1 < size({q}sorted) AND get({q}sorted, j).h = get({q}sorted, j + 1).h)"
+    df = df.withColumn(f"{q}pos", F.expr(f"CASE WHEN {q}dup THEN array_sort(transform(filter(sequence(0, size({q}sorted) - 1), j -> {twice}), j -> get({q}sorted, j).i)) END")).drop(f"{q}sorted")
+    covered = f"aggregate(sequence(0, size({q}pos) - 1), 0L, (a, j) -> a + least({WINDOW}, coalesce(get({q}pos, j + 1) - get({q}pos, j), {WINDOW})))"
+    df = df.withColumn(f"{q}repeat", F.expr(f"CASE WHEN {q}dup THEN {covered} ELSE 0L END")).drop(f"{q}pos", f"{q}dup")
+    df = df.withColumn(f"{q}lines", F.filter(_lines(F.col(text)), lambda x: x.rlike(f"[^{SPACE}]")))
     return df.select(
         *docs.columns,
-        F.monotonically_increasing_id().alias("_q_row"),
-        "_q_n_words",
-        F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("_q_word_chars"),
-        F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("_q_n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("_q_n_dup_lines"),
-        F.col("_q_repeat").alias("_q_n_repeat_words"),
-        F.aggregate("_q_lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("_q_all_chars"),
-        F.aggregate("_q_lines", F.lit(0).cast("long"), lambda a, x: a + F.when(line_fails(x), F.length(x)).otherwise(0)).alias("_q_lost_chars"),
+        F.monotonically_increasing_id().alias(f"{q}row"),
+        f"{q}n_words",
+        F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias(f"{q}word_chars"),
+        F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias(f"{q}n_symbols"),
+        (F.size(f"{q}lines") - F.size(F.array_distinct(f"{q}lines"))).cast("long").alias(f"{q}n_dup_lines"),
+        F.col(f"{q}repeat").alias(f"{q}n_repeat_words"),
+        F.aggregate(f"{q}lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias(f"{q}all_chars"),
+        F.aggregate(f"{q}lines", F.lit(0).cast("long"), lambda a, x: a + F.when(line_fails(x), F.length(x)).otherwise(0)).alias(f"{q}lost_chars"),
     )
 
 
-def _base_failed() -> Column:
+def _base_failed(q: str) -> Column:
     # Spark moves a filter below the columns it uses and repeats their expressions there, many times over; it
     # leaves it above a column that is not deterministic, as the row number (never negative) is.
-    return (F.col("_q_row") < 0) | (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
+    return (F.col(f"{q}row") < 0) | (F.col(f"{q}n_words") < 20) | (100 * F.col(f"{q}n_repeat_words") > 30 * F.col(f"{q}n_words"))
 
 
-def _kept(most_lost: int) -> Column:
-    return ~_base_failed() & (100 * F.col("_q_lost_chars") <= most_lost * F.col("_q_all_chars"))
+def _kept(q: str, most_lost: int) -> Column:
+    return ~_base_failed(q) & (100 * F.col(f"{q}lost_chars") <= most_lost * F.col(f"{q}all_chars"))
 
 
 def judge(docs: DataFrame, text: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
@@ -118,14 +126,16 @@ def judge(docs: DataFrame, text: str = "text", most_lost: int = MOST_LOST) -> Da
 
     docs must not have columns of these names; select what is needed first.
     """
-    measures = [F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")]
-    return _measured(docs, text).select(*docs.columns, *measures, _base_failed().alias("base_failed"), _kept(most_lost).alias("kept"))
+    q = _prefix(docs)
+    measures = [F.col(f"{q}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")]
+    return _measured(docs, text, q).select(*docs.columns, *measures, _base_failed(q).alias("base_failed"), _kept(q, most_lost).alias("kept"))
 
 
 def clean(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
     """The documents that are kept, without their failing lines; n_chars, where there is one, is the new length."""
-    df = _measured(docs, "text").filter(_kept(most_lost))
-    df = df.withColumn("text", F.when(F.col("_q_lost_chars") > 0, clean_text(F.col("text"))).otherwise(F.col("text"))).select(*docs.columns)
+    q = _prefix(docs)
+    df = _measured(docs, "text", q).filter(_kept(q, most_lost))
+    df = df.withColumn("text", F.when(F.col(f"{q}lost_chars") > 0, clean_text(F.col("text"))).otherwise(F.col("text"))).select(*docs.columns)
     return df.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else df
 
 
