@@ -48,9 +48,9 @@ def test_pairs_and_windows_of_a_stream(spark):
     docs = [(0, [1, 2]), (5, [3]), (6, [4, 5, 6, 7]), (9, [8])]
     df = spark.createDataFrame(docs, "pos long, ids array<int>")
     assert sorted((r.x, r.y) for r in corpus.next_pairs(df).collect()) == [(k, k + 1) for k in range(1, 8)]
-    got = corpus.windows(corpus.token_stream(df), 3).orderBy("start").collect()
+    got = corpus.windows(df, 3).orderBy("start").collect()
     assert [(r.start, r.x, r.y) for r in got] == [(0, [1, 2, 3], [2, 3, 4]), (3, [4, 5, 6], [5, 6, 7])]
-    for r in corpus.batches(corpus.token_stream(df), corpus.random_starts(spark, 8, 3, 20, "s"), 3).collect():
+    for r in corpus.batches(df, corpus.random_starts(spark, 8, 3, 20, "s"), 3).collect():
         assert 0 <= r.start <= 3 and r.x == list(range(r.start + 1, r.start + 4)) and r.y == [x + 1 for x in r.x]
     with pytest.raises(ValueError):
         corpus.random_starts(spark, 4, 3, 1, "s")

@@ -17,8 +17,14 @@ BLOCK = 100_000
 
 
 def sum_before(df: DataFrame, value: str, name: str, pos: str = "pos", block: int = BLOCK) -> DataFrame:
-    """Adds the sum of value over all earlier positions.  Only one sum a block is ordered in one task."""
-    df = df.withColumn("_block", F.floor(F.col(pos) / block))
+    """Adds the sum of value over all earlier positions.
+
+    Positions are cut into ranges of one width, as many as give each some block rows if positions lie evenly, however
+    far apart; only one sum a range is ordered in one task.
+    """
+    seen = df.agg(F.min(pos).alias("low"), F.max(pos).alias("high"), F.count("*").alias("n"))
+    width = seen.select(F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / block))).alias("width"))
+    df = df.withColumn("_block", F.floor(F.col(pos) / width.scalar()))
     totals = df.groupBy("_block").agg(F.sum(value).alias("_t"))
     before = totals.select("_block", F.coalesce(F.sum("_t").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.sum(value).over(Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
@@ -79,15 +85,14 @@ def append_end(ids: Column, end_id: int = 0) -> Column:
     return F.concat(ids, F.array(F.lit(end_id).cast("int")))
 
 
-def checked_uint16(token: Column) -> Column:
-    """The token, or an error if two bytes cannot hold it."""
-    return F.when(token.between(0, 65535), token).otherwise(F.raise_error(F.lit("token id beyond 16 bits")))
+def placed(ids: DataFrame) -> DataFrame:
+    """(pos, before, n): where each document (pos, ids) stands in the stream of all, and its size."""
+    return sum_before(ids.select("pos", F.size("ids").cast("long").alias("n")), "n", "before").select("pos", "before", "n")
 
 
 def token_stream(ids: DataFrame) -> DataFrame:
     """(offset, token) of documents (pos, ids), one after another."""
-    sized = sum_before(ids.select("pos", F.size("ids").cast("long").alias("n")), "n", "before").select("pos", "before")
-    rows = ids.join(sized, "pos").select("before", F.posexplode("ids").alias("k", "token"))
+    rows = ids.join(placed(ids).select("pos", "before"), "pos").select("before", F.posexplode("ids").alias("k", "token"))
     return rows.select((F.col("before") + F.col("k")).alias("offset"), "token")
 
 
@@ -101,12 +106,30 @@ def next_pairs(ids: DataFrame) -> DataFrame:
     return pairs.select("p.x", "p.y").filter("y IS NOT NULL")
 
 
-def windows(tokens: DataFrame, length: int) -> DataFrame:
-    """(start, x, y): consecutive whole windows of a stream (offset, token), y one place later."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "token"))), lambda s: s["token"].cast("long"))
-    x = tokens.groupBy(F.floor(F.col("offset") / length).alias("w")).agg(ordered.alias("x"))
-    after = tokens.filter(F.col("offset") % length == 0).select((F.col("offset") / length - 1).cast("long").alias("w"), F.col("token").cast("long").alias("next"))
-    return x.join(after, "w").select((F.col("w") * length).alias("start"), "x", F.concat(F.slice("x", 2, length - 1), F.array("next")).alias("y"))
+def _joined(pieces: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """keys, start, x, y of pieces (keys, start, at, ids) that make up length + 1 tokens each; shorter ones go."""
+    whole = pieces.groupBy(*keys, "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"])).cast("array<long>").alias("t"))
+    return whole.filter(F.size("t") == length + 1).select(*keys, "start", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
+
+
+def _piece(start: Column, length: int) -> list[Column]:
+    """What a document (before, n, ids) has of the length + 1 tokens from start: its place, and the ids."""
+    at = F.greatest(start, F.col("before"))
+    end = F.least(start + length + 1, F.col("before") + F.col("n"))
+    return [at.alias("at"), F.slice("ids", (at - F.col("before") + 1).cast("int"), (end - at).cast("int")).alias("ids")]
+
+
+def windows(ids: DataFrame, length: int) -> DataFrame:
+    """(start, x, y): consecutive whole windows of the stream of documents (pos, ids), y one place later.
+
+    Each document is cut at the windows' borders, so a window gathers some arrays and not its tokens one by one; a
+    piece has one token of the next window, for y.
+    """
+    rows = ids.join(placed(ids), "pos").filter("n > 0")
+    first = F.greatest(F.lit(0), F.floor((F.col("before") - 1) / length))
+    last = F.floor((F.col("before") + F.col("n") - 1) / length)
+    cut = rows.select("before", "n", "ids", F.explode(F.sequence(first, last)).alias("w")).withColumn("start", F.col("w") * length)
+    return _joined(cut.select("start", *_piece(F.col("start"), length)), [], length)
 
 
 def random_starts(spark, n_tokens: int, length: int, batch: int, seed: str) -> DataFrame:
@@ -117,9 +140,12 @@ def random_starts(spark, n_tokens: int, length: int, batch: int, seed: str) -> D
     return spark.range(batch).select(F.col("id").alias("i"), F.pmod(drawn, F.lit(n_tokens - length - 1)).alias("start"))
 
 
-def batches(tokens: DataFrame, starts: DataFrame, length: int) -> DataFrame:
-    """(i, start, x, y) of the windows at the drawn starts."""
-    wanted = starts.select("i", "start", F.explode(F.sequence(F.col("start"), F.col("start") + length)).alias("offset"))
-    grouped = wanted.join(tokens, "offset").groupBy("i", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "token"))).alias("t"))
-    ids = F.transform("t", lambda s: s["token"].cast("long"))
-    return grouped.select("i", "start", F.slice(ids, 1, length).alias("x"), F.slice(ids, 2, length).alias("y"))
+def batches(ids: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+    """(i, start, x, y) of the windows at the drawn starts in the stream of documents (pos, ids).
+
+    The starts are one batch, whose size is a parameter, so they are sent to the documents' places; only documents
+    that a window meets are read whole.
+    """
+    meets = (F.col("before") <= F.col("start") + length) & (F.col("before") + F.col("n") > F.col("start"))
+    met = placed(ids).join(F.broadcast(starts), meets)
+    return _joined(met.join(ids, "pos").select("i", "start", *_piece(F.col("start"), length)), ["i"], length)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -38,10 +36,21 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top - F.element_at(logits, target + 1)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def gelu(vectors: pd.Series) -> pd.Series:
-    """x * Phi(x); there is no error function in the JVM's function set."""
-    return vectors.map(lambda v: None if v is None else [0.5 * x * (1 + math.erf(x / math.sqrt(2))) for x in v])
+#: Terms of the error function's series, enough for all |x| below ERF_ONE; from there on it is 1 to double precision.
+ERF_TERMS, ERF_ONE = 120, 6.0
+_ERF = [1 / math.gamma(n + 1.5) for n in range(ERF_TERMS)]
+
+
+def erf(x: Column) -> Column:
+    """The error function: exp(-x^2) times the sum of x^(2n+1) / gamma(n + 3/2), all terms of one sign."""
+    most = F.least(F.abs(x), F.lit(ERF_ONE))
+    series = F.aggregate(F.array(*map(F.lit, reversed(_ERF))), F.lit(0.0), lambda s, c: s * most * most + c)
+    return F.signum(x) * F.when(most >= ERF_ONE, 1.0).otherwise(F.exp(-most * most) * most * series)
+
+
+def gelu(vector: Column) -> Column:
+    """x * Phi(x) of every element."""
+    return F.transform(vector, lambda x: 0.5 * x * (1 + erf(x / math.sqrt(2))))
 
 
 def embed(tokens: DataFrame, table: DataFrame, positions: DataFrame) -> DataFrame:
@@ -51,23 +60,39 @@ def embed(tokens: DataFrame, table: DataFrame, positions: DataFrame) -> DataFram
     return tokens.join(by_token, "token").join(by_pos, "pos").select("seq", "pos", add(F.col("tv"), F.col("pv")).alias("v"))
 
 
-def causal_attention(rows: DataFrame) -> DataFrame:
-    """(seq, pos, out) of rows (seq, pos, q, k, v): each position sees itself and those before it in its sequence."""
+def causal_attention(rows: DataFrame, width: int) -> DataFrame:
+    """(seq, pos, out) of rows (seq, pos, q, k, v), v of width numbers: each position sees itself and those before it
+    in its sequence.
+
+    The pairs of a sequence are its square by nature.  They are summed dimension by dimension in one pass by the
+    key that their softmax was taken over, so nothing is exploded or gathered.
+    """
     queries = rows.select("seq", F.col("pos").alias("qp"), "q")
     keys = rows.select("seq", F.col("pos").alias("kp"), "k", "v")
     met = queries.join(keys, "seq").filter("kp <= qp")
-    scored = met.withColumn("s", dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double")))
+    scored = met.select("seq", "qp", "v", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double"))).alias("s"))
     w = Window.partitionBy("seq", "qp")
-    weighted = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(w))).withColumn("p", F.col("e") / F.sum("e").over(w))
-    cells = weighted.select("seq", "qp", "p", F.posexplode("v").alias("d", "x"))
-    summed = cells.groupBy("seq", "qp", "d").agg(F.sum(F.col("p") * F.col("x")).alias("x"))
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"])
-    return summed.groupBy("seq", F.col("qp").alias("pos")).agg(vector.alias("out"))
+    weighted = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
+    sums = [F.sum(F.col("e") * F.get("v", F.lit(d))) / F.sum("e") for d in range(width)]
+    return weighted.groupBy("seq", "qp").agg(F.array(*sums).alias("out")).select("seq", F.col("qp").alias("pos"), "out")
+
+
+#: Rows of the tied table that one block of it holds.
+HEAD_BLOCK = 1024
 
 
-def lm_head(hidden: DataFrame, table: DataFrame) -> DataFrame:
-    """(seq, token, logit): every hidden vector against every vector of the tied table of its length; dense by nature."""
-    return hidden.join(table.select(F.col("id").alias("token"), "v"), F.size("h") == F.size("v")).select("seq", "token", dot(F.col("h"), F.col("v")).alias("logit"))
+def lm_head(hidden: DataFrame, table: DataFrame, block: int = HEAD_BLOCK) -> DataFrame:
+    """(seq, token, logit): every hidden vector against every vector of the tied table; dense by nature.
+
+    The table is dealt into blocks of some block rows; each hidden vector goes to every block once, by the block's
+    number, and meets all its rows there.
+    """
+    n = table.count()
+    blocks = max(1, -(-n // block))
+    dealt = table.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct(F.col("id").alias("token"), "v")).alias("rows"))
+    sent = hidden.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    each = sent.join(dealt, "b").select("seq", "h", F.explode("rows").alias("r"))
+    return each.select("seq", "r.token", dot(F.col("h"), F.col("r.v")).alias("logit"))
 
 
 def clip_by_norm(rows: DataFrame, value: str, limit: float) -> DataFrame:

@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def confidence_totals(grades: DataFrame, confidence: str, bins: int) -> DataFrame:
-    """(bin, n, em): counts and sums by confidence bin, from the surest."""
-    b = F.least(F.lit(bins - 1), F.floor((1 - F.col(confidence)) * bins)).cast("int")
-    return grades.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.sum("em").alias("em"))
+#: Hexadecimal digits of a drawn order that make a bin: 4,096 bins.
+BIN_DIGITS = 3
+
+
+def held_back(rows: DataFrame, best: Column, share: float, drawn: Column) -> DataFrame:
+    """Adds phase: 'anneal' for the first floor(share * rows) of the best rows by their drawn hexadecimal order.
+
+    Ranks are exact and no task orders more than a bin: rows are ranked in bins of their first digits, after those of
+    earlier bins.
+    """
+    told = rows.withColumn("_best", F.coalesce(best, F.lit(False))).withColumn("_order", drawn).withColumn("_bin", F.substring("_order", 1, BIN_DIGITS))
+    sizes = told.groupBy("_bin").agg(F.count_if("_best").alias("_own"), F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bin
+    placed = sizes.select("_bin", F.coalesce(F.sum("_own").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    # Only the best are ranked; the others need no order.
+    best_rows, others = told.filter("_best"), told.filter("NOT _best").select(*rows.columns, F.lit("main").alias("phase"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy("_order"))
+    ranked = best_rows.join(placed, "_bin").withColumn("_k", rank)
+    return ranked.select(*rows.columns, F.when(F.col("_k") <= F.floor(F.col("_all") * F.lit(share)), "anneal").otherwise("main").alias("phase")).unionByName(others)
 
 
 def risk_coverage(grades: DataFrame, confidence: str, points: tuple[float, ...], key: str = "id") -> DataFrame:
@@ -45,7 +60,7 @@ def type_agreement(question: Column, answer: Column) -> Column:
 def majority(votes: DataFrame, key: str = "id", value: str = "ans") -> DataFrame:
     """(key, value, votes, share): the value most often given; of several the smallest."""
     counts = votes.groupBy(key, value).agg(F.count("*").alias("votes"))
-    best = counts.groupBy(key).agg(F.sum("votes").alias("_all"), F.max_by(F.struct(value, "votes"), F.struct("votes")).alias("b"), F.max("votes").alias("_m"))
+    best = counts.groupBy(key).agg(F.sum("votes").alias("_all"), F.max("votes").alias("_m"))
     tied = counts.join(best.select(key, "_m", "_all"), key).filter("votes = _m")
     return tied.groupBy(key).agg(F.min(value).alias(value), F.max("votes").alias("votes"), F.max("_all").alias("_all")).select(key, value, "votes", F.round(F.col("votes") / F.col("_all"), 6).alias("share"))
 

@@ -82,7 +82,7 @@ _SHA = "sha256(array_to_string({}, ' '))"
   SELECT x.w * {WINDOW} AS start, {_SHA.format('x')} AS x_sha256, {_SHA.format('y')} AS y_sha256 FROM x JOIN y USING (w) WHERE len(x) = {WINDOW} AND len(y) = {WINDOW}""")
 def token_windows(spark, sf_dir):
     told = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
-    return corpus.windows(corpus.token_stream(ids(spark, sf_dir)), WINDOW).select("start", told("x").alias("x_sha256"), told("y").alias("y_sha256"))
+    return corpus.windows(ids(spark, sf_dir), WINDOW).select("start", told("x").alias("x_sha256"), told("y").alias("y_sha256"))
 
 
 BATCH, LENGTH, SEED = 16, 64, "batch"
@@ -92,9 +92,8 @@ BATCH, LENGTH, SEED = 16, 64, "batch"
   SELECT i, start, array_to_string(list(token ORDER BY o) FILTER (WHERE o < start + {LENGTH}), ' ') AS x, array_to_string(list(token ORDER BY o) FILTER (WHERE o > start), ' ') AS y
   FROM starts JOIN t ON o BETWEEN start AND start + {LENGTH} GROUP BY i, start""")
 def random_batch(spark, sf_dir):
-    tokens = corpus.token_stream(ids(spark, sf_dir))
     n = fx.docs(spark, sf_dir).agg(F.sum(F.octet_length("text") + 1)).first()[0]
-    found = corpus.batches(tokens, corpus.random_starts(spark, n, LENGTH, BATCH, SEED), LENGTH)
+    found = corpus.batches(ids(spark, sf_dir), corpus.random_starts(spark, n, LENGTH, BATCH, SEED), LENGTH)
     return found.select("i", "start", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"), F.array_join(F.col("y").cast("array<string>"), " ").alias("y"))
 
 
@@ -197,9 +196,14 @@ def special_ids(spark, sf_dir):
 TRAINED = 600
 
 
+#: Bytes of text that the trainer reads, from the first documents on.
+TRAINED_BYTES = 2_000_000_000
+
+
 def trained(spark, sf_dir):
-    """Merges of the whole table; the distinct pieces of a byte-budgeted sample fit on the driver."""
-    rows = bpe.word_counts(fx.docs(spark, sf_dir)).toLocalIterator()
+    """Merges of a byte-budgeted sample, whose distinct pieces fit on the driver."""
+    docs = fx.docs(spark, sf_dir)
+    rows = bpe.word_counts(docs.join(corpus.byte_budget_prefix(docs, TRAINED_BYTES).select("pos"), "pos")).toLocalIterator()
     return bpe.train({r.piece.encode(): r.cnt for r in rows}, TRAINED)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewell.functions import text
 from tidewell.operators import gate, selection, validator
@@ -82,9 +81,7 @@ def eval_hygiene(spark, sf_dir):
 def phase_mix(spark, sf_dir):
     """A share of 15 per cent, of the best quality, is held back for the second phase."""
     rows = fx.table(spark, sf_dir, "documents").select("doc_id").join(fx.table(spark, sf_dir, "labels"), "doc_id")
-    n = rows.agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.partitionBy("quality").orderBy(F.sha2(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")), 256)))
-    return rows.withColumn("k", k).withColumn("n", n.scalar()).select("doc_id", F.when((F.col("quality") == 1) & (F.col("k") <= F.floor(F.col("n") * 0.15)), "anneal").otherwise("main").alias("phase"))
+    return selection.held_back(rows, F.col("quality") == 1, 0.15, F.sha2(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")), 256)).select("doc_id", "phase")
 
 
 @query("cost_per_verified", fx.gate_sql("SELECT CAST(sum(length(output)) AS BIGINT) AS cost, count(*) FILTER (WHERE v0_pass AND answered) AS verified, round(sum(length(output))::DOUBLE / nullif(count(*) FILTER (WHERE v0_pass AND answered), 0), 6) AS cost_each FROM flags"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidewell.operators import numeric, sampling
+from tidewell.operators import model, numeric, sampling
 
 from . import fixtures as fx
 from .registry import query
@@ -131,7 +132,10 @@ def residual_add(spark, sf_dir):
     return y.withColumn("x", _rounded(F.col("x")))
 
 
-@query("gelu")
+_ERF = "sign({0}) * CASE WHEN abs({0}) >= 6 THEN 1.0::DOUBLE WHEN {0} = 0 THEN 0 ELSE exp(-{0} * {0}) * list_sum(list_transform(range(120), lambda n: exp((2 * n + 1) * ln(abs({0})) - lgamma(n + 1.5::DOUBLE)))) END"
+
+
+@query("gelu", f"WITH {LOGITS} SELECT seq AS id, token AS d, round(0.5::DOUBLE * logit * (1 + {_ERF.format('(logit / sqrt(2::DOUBLE))')}), {DIGITS}) + 0.0 AS x FROM l")
 def gelu(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", F.posexplode(numeric.gelu(F.col("v"))).alias("d", "x")).withColumn("x", _rounded(F.col("x")))
 
@@ -148,6 +152,10 @@ _EMBED = f"""{V}, turns AS (SELECT conv_id AS seq, turn AS pos, length(text) % {
 em AS (SELECT seq, pos, list_transform(list_zip(a.v, b.v), lambda z: z[1] + z[2]) AS v FROM turns JOIN v a ON a.id = token JOIN v b ON b.id = pos)"""
 
 
+def _width(spark, sf_dir) -> int:
+    return vectors(spark, sf_dir).agg(F.max(F.size("v"))).first()[0] or 0
+
+
 def _embedded(spark, sf_dir):
     table = vectors(spark, sf_dir).select("id", "v")
     n = fx.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
@@ -166,7 +174,7 @@ def embedding_lookup(spark, sf_dir):
   SELECT seq, qp AS pos, CAST(i - 1 AS INTEGER) AS d, round(sum(p * v[i]), 4) + 0.0 AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p) GROUP BY 1, 2, 3""")
 def causal_attention(spark, sf_dir):
     rows = _embedded(spark, sf_dir).select("seq", "pos", F.col("v").alias("q"), F.col("v").alias("k"), "v")
-    return numeric.causal_attention(rows).select("seq", "pos", F.posexplode("out").alias("d", "x")).withColumn("x", _rounded(F.col("x"), 4))
+    return numeric.causal_attention(rows, _width(spark, sf_dir)).select("seq", "pos", F.posexplode("out").alias("d", "x")).withColumn("x", _rounded(F.col("x"), 4))
 
 
 @query("lm_head_logits", f"""WITH {V}, h AS (SELECT label AS seq, list(m ORDER BY i) AS h FROM (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM v) GROUP BY 1, 2) GROUP BY 1)
@@ -176,3 +184,84 @@ def lm_head_logits(spark, sf_dir):
     cells = vectors(spark, sf_dir).select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
     means = cells.groupBy(F.col("label").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("h"))
     return numeric.lm_head(means, vectors(spark, sf_dir)).withColumn("logit", _rounded(F.col("logit"), 4))
+
+
+# A model of one layer and two heads.  Its tables of tokens and positions are the first numbers of the embeddings; its
+# other weights are sines of their place, so both engines have them.
+TINY = model.Config(vocab_size=64, block_size=8, layers=1, heads=2, width=8)
+#: Phase of each matrix.
+_PHASES = {"qkv": 1, "attended": 2, "wide": 3, "narrow": 4}
+
+
+def _tiny(spark, sf_dir, config: model.Config = TINY) -> model.Weights:
+    rows = vectors(spark, sf_dir).filter(F.col("id") < config.vocab_size).orderBy("id").collect()
+    table = np.array([r.v[: config.width] for r in rows])
+    w = model.initial(config) | {"tokens": table, "positions": table[: config.block_size] / 2}
+    for name, phase in _PHASES.items():
+        for k in range(config.layers):
+            n, m = w[f"{k}.{name}.weight"].shape
+            w[f"{k}.{name}.weight"] = 0.3 * np.sin(phase + 31.0 * np.arange(n)[:, None] + 17.0 * np.arange(m)[None, :])
+    return w
+
+
+def _sequences(spark, sf_dir, config: model.Config = TINY):
+    turns = fx.table(spark, sf_dir, "conversations").filter(F.col("turn") < config.block_size)
+    token = (F.length("text") % config.vocab_size).cast("int").alias("token")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", token))), lambda s: s["token"])
+    return turns.groupBy(F.col("conv_id").alias("seq")).agg(ordered.alias("ids"))
+
+
+_D, _HEAD = TINY.width, TINY.width // TINY.heads
+_TABLE = f"table_ AS (SELECT vec_id AS id, i - 1 AS d, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, {_D + 1})) AS i FROM embeddings WHERE vec_id < {TINY.vocab_size}))"
+
+
+def _matrix(name: str, rows: int, columns: int) -> str:
+    return f"w_{name} AS (SELECT i, j, 0.3::DOUBLE * sin({_PHASES[name]} + 31.0::DOUBLE * i + 17.0::DOUBLE * j) AS w FROM range({rows}) a(i), range({columns}) b(j))"
+
+
+def _normed(name: str, source: str) -> str:
+    return f"{name} AS (SELECT seq, pos, d, (x - avg(x) OVER p) / sqrt(var_pop(x) OVER p + 1e-5::DOUBLE) AS x FROM {source} WINDOW p AS (PARTITION BY seq, pos))"
+
+
+def _times(name: str, source: str, matrix: str, of: str = "x") -> str:
+    return f"{name} AS (SELECT seq, pos, j AS d, sum({of} * w) AS x FROM {source} JOIN w_{matrix} ON i = d GROUP BY seq, pos, j)"
+
+
+_FORWARD = f"""{_TABLE}, {_matrix("qkv", _D, 3 * _D)}, {_matrix("attended", _D, _D)}, {_matrix("wide", _D, 4 * _D)}, {_matrix("narrow", 4 * _D, _D)},
+  ids AS (SELECT conv_id AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, length(text) % {TINY.vocab_size} AS token FROM conversations WHERE turn < {TINY.block_size}),
+  x0 AS (SELECT seq, pos, t.d, t.x + p.x / 2 AS x FROM ids JOIN table_ t ON t.id = token JOIN table_ p ON p.id = pos AND p.d = t.d),
+  {_normed("n1", "x0")}, {_times("qkv", "n1", "qkv")},
+  parts AS (SELECT seq, pos, d // {_D} AS part, (d % {_D}) // {_HEAD} AS head, d % {_HEAD} AS e, x FROM qkv),
+  s AS (SELECT q.seq, q.head, q.pos AS qp, k.pos AS kp, sum(q.x * k.x) / sqrt({_HEAD}::DOUBLE) AS s FROM parts q JOIN parts k ON q.part = 0 AND k.part = 1 AND q.seq = k.seq AND q.head = k.head AND q.e = k.e AND k.pos <= q.pos GROUP BY ALL),
+  e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, head, qp)) AS e FROM s), a AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, head, qp) AS p FROM e),
+  mixed AS (SELECT a.seq, a.qp AS pos, a.head * {_HEAD} + v.e AS d, sum(a.p * v.x) AS x FROM a JOIN parts v ON v.part = 2 AND v.seq = a.seq AND v.head = a.head AND v.pos = a.kp GROUP BY ALL),
+  {_times("att", "mixed", "attended")}, x1 AS (SELECT seq, pos, d, x0.x + att.x AS x FROM x0 JOIN att USING (seq, pos, d)),
+  {_normed("n2", "x1")}, {_times("wide", "n2", "wide")}, active AS (SELECT seq, pos, d, 0.5::DOUBLE * x * (1 + {_ERF.format("(x / sqrt(2::DOUBLE))")}) AS x FROM wide),
+  {_times("narrow", "active", "narrow")}, x2 AS (SELECT seq, pos, d, x1.x + narrow.x AS x FROM x1 JOIN narrow USING (seq, pos, d)), {_normed("last", "x2")}"""
+
+
+@query("forward_pass", f"WITH {_FORWARD} SELECT seq, CAST(pos AS INTEGER) AS pos, CAST(id AS INTEGER) AS token, round(sum(last.x * table_.x), 4) + 0.0 AS logit FROM last JOIN table_ USING (d) GROUP BY seq, pos, id")
+def forward_pass(spark, sf_dir):
+    """Logits of all conversations: tables, attention of two heads, the wide layer, residuals, norms and the tied head."""
+    found = model.logits(_sequences(spark, sf_dir), _tiny(spark, sf_dir), TINY)
+    return found.select("seq", "pos", F.posexplode("logits").alias("token", "logit")).withColumn("logit", _rounded(F.col("logit"), 4))
+
+
+#: Without layers the next id hangs on the last one and its place alone, so SQL can list all draws beforehand.
+FLAT = model.Config(vocab_size=64, block_size=8, layers=0, heads=2, width=8)
+NEW_IDS, TEMPERATURE, TOP_K = 12, 0.8, 5
+
+
+@query("generate", f"""WITH RECURSIVE {_TABLE}, x0 AS (SELECT t.id AS seq, p.id AS pos, t.d, t.x + p.x / 2 AS x FROM table_ t JOIN table_ p ON p.id < {FLAT.block_size} AND p.d = t.d), {_normed("n", "x0")},
+  l AS (SELECT seq AS token, pos, id AS next, sum(n.x * table_.x) / {TEMPERATURE}::DOUBLE AS l FROM n JOIN table_ USING (d) GROUP BY ALL),
+  k AS (SELECT *, exp(l - max(l) OVER (PARTITION BY token, pos)) AS e FROM l QUALIFY rank() OVER (PARTITION BY token, pos ORDER BY l DESC) <= {TOP_K}),
+  c AS (SELECT token, pos, next, sum(e) OVER (PARTITION BY token, pos ORDER BY next) / sum(e) OVER (PARTITION BY token, pos) AS c FROM k),
+  g AS (SELECT conv_id AS seq, 0 AS step, CASE WHEN conv_id % 5 = 0 THEN [0] ELSE list(CAST(length(text) % {FLAT.vocab_size} AS INTEGER) ORDER BY turn) END AS ids FROM conversations WHERE turn < {FLAT.block_size} GROUP BY conv_id
+    UNION ALL SELECT seq, step + 1, list_append(ids, CAST(next AS INTEGER)) FROM (SELECT g.seq, g.step, g.ids, min(c.next) AS next FROM g JOIN c ON c.token = g.ids[-1] AND c.pos = least(len(g.ids), {FLAT.block_size}) - 1
+      AND c.c >= CAST('0x' || substr(md5('draw:' || g.seq || ':' || g.step), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE WHERE g.step < {NEW_IDS} GROUP BY g.seq, g.step, g.ids))
+  SELECT seq, array_to_string(ids, ' ') AS ids FROM g WHERE step = {NEW_IDS}""")
+def generate(spark, sf_dir):
+    """Twelve ids after each conversation; a fifth of the prompts is empty and starts from the end-of-text id."""
+    prompts = _sequences(spark, sf_dir, FLAT).select("seq", F.when(F.col("seq") % 5 != 0, F.col("ids")).alias("ids"))
+    found = model.generate(prompts, _tiny(spark, sf_dir, FLAT), FLAT, NEW_IDS, TEMPERATURE, TOP_K, "draw")
+    return found.select("seq", F.array_join("ids", " ").alias("ids"))
