@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
-from tidewell.operators import bpe, corpus, evalset, numeric, sampling
+from tidewell.operators import bpe, corpus, evalset, model, numeric, sampling
 from tidewell.sources import jsonl, shards
 from tidewell.streaming import ingest
 
@@ -169,3 +169,76 @@ def test_streamed_chunks_equal_the_batch(spark, tmp_path):
     want = corpus.route_chunks(corpus.flush_chunks(sizes, 20_000), 50_000)
     order = ["chunk_id", "n_docs", "n_tokens", "split"]
     assert sorted(ingest.chunks(spark, str(tmp_path / "out"), 50_000).select(*order).collect()) == sorted(want.select(*order).collect())
+
+
+def test_tokenizer_file_is_read_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("pos"), "text")
+    merges = bpe.train({r.piece.encode(): r.cnt for r in bpe.word_counts(docs).collect()}, 700)
+    told = bpe.to_json(merges)
+    assert bpe.from_json(told) == merges
+    own = Tokenizer.from_str(told)
+    assert bpe.from_json(own.to_str()) == merges and own.token_to_id(bpe.SPECIALS[0]) == 0
+    texts = {r.pos: r.text for r in docs.collect()}
+    for r in bpe.encode(docs, merges).collect():
+        assert r.ids == own.encode(texts[r.pos], add_special_tokens=False).ids
+        assert own.decode(r.ids) == texts[r.pos]
+    for bad in (told.replace("<|endoftext|>", "<|other|>"), told.replace('"id": 0,', '"id": 9,')):
+        with pytest.raises(ValueError):
+            bpe.from_json(bad)
+
+
+def test_forward_pass_by_loops(spark, tmp_path):
+    c = model.Config(vocab_size=11, block_size=6, layers=2, heads=3, width=6)
+    w = {k: v + (0.3 if v.ndim == 1 else 0) for k, v in model.initial(c, 3).items()}
+    ids = [4, 0, 10, 4, 7]
+
+    def normed(x, k):
+        m = sum(x) / len(x)
+        s = math.sqrt(sum((y - m) ** 2 for y in x) / len(x) + 1e-5)
+        return [(y - m) / s * float(a) + float(b) for y, a, b in zip(x, w[f"{k}.scale"], w[f"{k}.shift"], strict=True)]
+
+    times = lambda x, k: [sum(x[i] * float(w[f"{k}.weight"][i, j]) for i in range(len(x))) + float(w[f"{k}.bias"][j]) for j in range(w[f"{k}.bias"].shape[0])]
+    xs = [[float(a + b) for a, b in zip(w["tokens"][t], w["positions"][n], strict=True)] for n, t in enumerate(ids)]
+    for layer in range(c.layers):
+        qkv = [times(normed(x, f"{layer}.norm1"), f"{layer}.qkv") for x in xs]
+        seen = []
+        for n in range(len(xs)):
+            out = []
+            for h in range(c.heads):
+                part = lambda m, which, h=h: qkv[m][which * 6 + 2 * h : which * 6 + 2 * h + 2]
+                e = [math.exp(sum(a * b for a, b in zip(part(n, 0), part(m, 1), strict=True)) / math.sqrt(2)) for m in range(n + 1)]
+                out += [sum(e[m] * part(m, 2)[d] for m in range(n + 1)) / sum(e) for d in range(2)]
+            seen.append(times(out, f"{layer}.attended"))
+        xs = [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(xs, seen, strict=True)]
+        wide = [[0.5 * y * (1 + math.erf(y / math.sqrt(2))) for y in times(normed(x, f"{layer}.norm2"), f"{layer}.wide")] for x in xs]
+        xs = [[a + b for a, b in zip(x, times(y, f"{layer}.narrow"), strict=True)] for x, y in zip(xs, wide, strict=True)]
+    want = [[sum(a * float(b) for a, b in zip(normed(x, "norm"), t, strict=True)) for t in w["tokens"]] for x in xs]
+    got = model.forward(ids, w, c)
+    assert np.allclose(got, want)
+    assert model.loss(got, [1, 2, 3, 4, 5]) == pytest.approx(np.mean([math.log(sum(map(math.exp, z))) - z[k + 1] for k, z in enumerate(want)]))
+    model.save(spark, str(tmp_path / "at" / "best.npz"), w, c, 7)
+    again, config, step = model.load(spark, str(tmp_path / "at" / "best.npz"))
+    assert (config, step) == (c, 7) and all((again[k] == w[k]).all() for k in w)
+    for bad in ([], ids * 2):
+        with pytest.raises(ValueError):
+            model.forward(bad, w, c)
+    with pytest.raises(ValueError):
+        model.Config(width=10, heads=3)
+
+
+def test_initial_weights_and_empty_prompts(spark):
+    c = model.Config(vocab_size=50, block_size=4, layers=2, heads=2, width=64)
+    w = model.initial(c, 1)
+    assert np.std(w["0.wide.weight"]) == pytest.approx(0.02, rel=0.05) and np.std(w["1.narrow.weight"]) == pytest.approx(0.01, rel=0.05)
+    assert sum(v.size for v in w.values()) == sum(math.prod(s) for s in c.shapes().values())
+    prompts = spark.createDataFrame([(1, []), (2, None), (3, [5, 6, 7, 8, 9])], "seq long, ids array<int>")
+    got = {r.seq: r.ids for r in model.generate(prompts, w, c, 3, top_k=4, end_id=0).collect()}
+    assert [got[k][: len(p)] for k, p in ((1, [0]), (2, [0]), (3, [5, 6, 7, 8, 9]))] == [[0], [0], [5, 6, 7, 8, 9]] and [len(got[k]) for k in (1, 2, 3)] == [4, 4, 8]
+
+
+def test_sums_before_far_apart_positions(spark):
+    rows = [(k * 10**12 + 5, k) for k in range(300)]
+    got = corpus.sum_before(spark.createDataFrame(rows, "pos long, n long"), "n", "b", block=50).orderBy("pos").collect()
+    assert [r.b for r in got] == [sum(range(k)) for k in range(300)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import bpe, corpus, evalset, gate, validator
-from tidewell.sources import jsonl, shards
+from tidewell.sources import jsonl, shards, storage
 
 
 def credential(names: Iterable[str]) -> str | None:
@@ -25,12 +25,24 @@ def credential(names: Iterable[str]) -> str | None:
     return next((v for n in names if (v := os.environ.get(n))), None)
 
 
-def save_merges(spark: SparkSession, merges: list[tuple[int, int, int, int]], path: str) -> None:
-    spark.createDataFrame(merges, "rank int, left int, right int, new_id int").coalesce(1).write.mode("overwrite").parquet(path)
+def _tokenizer_file(spark: SparkSession, path: str) -> str:
+    path = storage.qualified(spark, path)
+    return path if path.endswith(".json") else f"{path}/tokenizer.json"
 
 
-def load_merges(spark: SparkSession, path: str) -> list[tuple[int, int, int, int]]:
-    return [tuple(r) for r in spark.read.parquet(path).select("rank", "left", "right", "new_id").orderBy("rank").collect()]
+def save_tokenizer(spark: SparkSession, merges: list[tuple[int, int, int, int]], path: str) -> None:
+    """Writes tokenizer.json in a folder, or the named .json file, as the tokenizers library reads it."""
+    fs, name = storage.filesystem(_tokenizer_file(spark, path))
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(name) as out:
+        out.write(bpe.to_json(merges).encode())
+
+
+def load_tokenizer(spark: SparkSession, path: str) -> list[tuple[int, int, int, int]]:
+    """The merges of a tokenizer file."""
+    fs, name = storage.filesystem(_tokenizer_file(spark, path))
+    with fs.open_input_stream(name) as file:
+        return bpe.from_json(file.read().decode())
 
 
 def _documents(spark: SparkSession, path: str, budget: int) -> DataFrame:
@@ -59,12 +71,12 @@ def run_evalset(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_train(spark: SparkSession, a: argparse.Namespace) -> None:
     words = bpe.word_counts(_documents(spark, a.documents, int(a.sample_gb * 1e9)))
     merges = bpe.train({r.piece.encode(): r.cnt for r in words.toLocalIterator()}, a.vocab_size, a.min_frequency)
-    save_merges(spark, merges, a.out)
+    save_tokenizer(spark, merges, a.out)
     print(json.dumps({"merges": len(merges), "vocab_size": len(bpe.SPECIALS) + 256 + len(merges)}))
 
 
 def run_tokenize(spark: SparkSession, a: argparse.Namespace) -> None:
-    merges = load_merges(spark, a.merges)
+    merges = load_tokenizer(spark, a.merges)
     found = bpe.encode(_documents(spark, a.documents, int(a.sample_gb * 1e9)), merges)
     ids = found.select("pos", corpus.append_end(F.col("ids")).alias("ids"))
     ids.write.mode("overwrite").parquet(f"{a.out}/ids")
@@ -76,7 +88,7 @@ def run_tokenize(spark: SparkSession, a: argparse.Namespace) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for split in ("train", "val"):
         stream = corpus.token_stream(ids.join(splits.filter(F.col("split") == split), "pos").select("pos", "ids"))
-        stream.repartitionByRange(n, "offset").sortWithinPartitions("offset").write.format("token_shard").mode("append").option("path", f"{a.out}/{split}").save()
+        stream.repartitionByRange(n, "offset").sortWithinPartitions("offset").write.format("token_shard").mode("overwrite").option("path", storage.qualified(spark, f"{a.out}/{split}")).save()
     meta = corpus.shard_meta(routed, len(bpe.SPECIALS) + 256 + len(merges))
     meta.coalesce(1).write.mode("overwrite").json(f"{a.out}/meta")
     print(meta.toJSON().first())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -163,5 +164,60 @@ def encode(docs: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFram
     return docs.select("pos").join(encoded, "pos", "left").select("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+# --- the tokenizer as a file ---------------------------------------------------------------------------
+
+#: Ids that two bytes hold.
+MOST_IDS = 1 << 16
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level files: its own where it prints, else the next from 256 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in printing else next(spare)) for b in range(256)]
+
+
+def to_json(merges: list[tuple[int, int, int, int]], specials: tuple[str, ...] = SPECIALS) -> str:
+    """The tokenizer in the JSON format of the tokenizers library: digits one by one, then byte-level pieces and merges."""
+    if len(specials) + 256 + len(merges) > MOST_IDS:
+        raise ValueError("more ids than two bytes hold")
+    base = len(specials)
+    names = {k: x for k, x in enumerate(specials)} | {base + b: c for b, c in enumerate(_byte_characters())}
+    pairs = []
+    for _, a, b, new in merges:
+        pairs.append([names[a], names[b]])
+        names[new] = names[a] + names[b]
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    told = {
+        "version": "1.0",
+        "truncation": None,
+        "padding": None,
+        "added_tokens": [{"id": k, "content": x} | flags for k, x in enumerate(specials)],
+        "normalizer": None,
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, level]},
+        "post_processor": None,
+        "decoder": level,
+        "model": {"type": "BPE", "vocab": {x: k for k, x in names.items()}, "merges": pairs},
+    }
+    return json.dumps(told, ensure_ascii=False, indent=1)
+
+
+def from_json(told: str, specials: tuple[str, ...] = SPECIALS) -> list[tuple[int, int, int, int]]:
+    """The merges of a byte-level tokenizer file.  Its special tokens must be these, first and in this order; its end-of-text
+    id is then 0."""
+    found = json.loads(told)
+    vocab, base = found["model"]["vocab"], len(specials)
+    own = {x["content"]: x["id"] for x in found.get("added_tokens", [])}
+    if any(own.get(x) != k for k, x in enumerate(specials)):
+        raise ValueError(f"the file's first special tokens are not {', '.join(specials)}")
+    if any(vocab.get(c) != base + b for b, c in enumerate(_byte_characters())):
+        raise ValueError("the file's bytes do not follow its special tokens")
+    if len(vocab) > MOST_IDS:
+        raise ValueError("more ids than two bytes hold")
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in found["model"]["merges"]]
+    return [(rank, vocab[a], vocab[b], vocab[a + b]) for rank, (a, b) in enumerate(pairs)]
+
+
 def special_ids(spark) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SPECIALS)), "id int, token string")
