@@ -207,12 +207,24 @@ def trained(spark, sf_dir):
     return bpe.train({r.piece.encode(): r.cnt for r in rows}, TRAINED)
 
 
-@query("bpe_train")
+_BASE = len(bpe.SPECIALS)
+#: Every step has all distinct pieces with their ids; what a pair has become is written out as in the toy trainer.
+_TRAINED = f"""words AS (SELECT piece, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY 1),
+r AS (SELECT 0 AS step, piece, cnt, list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda h: CAST('0x' || h AS INTEGER) + {_BASE}) AS l, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b FROM words
+  UNION ALL (WITH cur AS (SELECT * FROM r WHERE step < {TRAINED - 256 - _BASE}),
+    best AS (SELECT a, b FROM (SELECT l[i] AS a, l[i + 1] AS b, sum(cnt) AS n FROM (SELECT l, cnt, unnest(range(1, len(l))) AS i FROM cur) GROUP BY 1, 2) WHERE n >= 2 ORDER BY n DESC, a, b LIMIT 1)
+    SELECT step + 1, piece, cnt, CAST(regexp_split_to_array(trim(replace(' ' || array_to_string(l, '  ') || ' ', ' ' || best.a || '  ' || best.b || ' ', ' ' || {256 + _BASE} + step || ' ')), ' +') AS INTEGER[]), best.a, best.b FROM cur, best))"""
+
+
+@query("bpe_train", f'WITH RECURSIVE {_TRAINED} SELECT DISTINCT step - 1 AS rank, a AS "left", b AS "right", {255 + _BASE} + step AS new_id FROM r WHERE step > 0')
 def bpe_train(spark, sf_dir):
     return spark.createDataFrame(trained(spark, sf_dir), "rank int, left int, right int, new_id int")
 
 
-@query("bpe_encode")
+@query("bpe_encode", f"""WITH RECURSIVE {_TRAINED}, done AS (SELECT piece, l FROM r WHERE step = (SELECT max(step) FROM r)),
+  cut AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {_PIECES} AS p FROM documents)),
+  whole AS (SELECT doc_id, flatten(list(l ORDER BY i)) AS ids FROM (SELECT doc_id, i, l FROM cut JOIN done ON piece = p[i]) GROUP BY doc_id)
+  SELECT d.doc_id AS pos, CAST(coalesce(len(ids), 0) AS INTEGER) AS n, sha256(coalesce(array_to_string(ids, ' '), '')) AS ids_sha256 FROM documents d LEFT JOIN whole USING (doc_id)""")
 def bpe_encode(spark, sf_dir):
     return bpe.encode(fx.docs(spark, sf_dir), trained(spark, sf_dir)).select("pos", F.size("ids").alias("n"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
 
