@@ -30,6 +30,27 @@ def layer_norm(df: DataFrame, column: str, out: str, eps: float = 1e-5) -> DataF
     return df.withColumn(out, F.zip_with("_c", F.array_repeat(deviation, F.size("_c")), lambda x, d: x / d)).drop("_c")
 
 
+def rms_norm(vector: Column, eps: float = 1e-5) -> Column:
+    """The vector over the root of its mean square."""
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x) / F.size(vector)
+    return F.zip_with(vector, F.array_repeat(F.sqrt(square + eps), F.size(vector)), lambda x, r: x / r)
+
+
+def swiglu(gate: Column, value: Column) -> Column:
+    """gate * sigmoid(gate) * value, element by element."""
+    return F.zip_with(gate, value, lambda g, v: g / (1 + F.exp(-g)) * v)
+
+
+def rotate(vector: Column, pos: Column, base: float = 10000.0) -> Column:
+    """Rotary positions: element k and its partner half the width on turn by pos * base^(-2k / width)."""
+    half = (F.size(vector) / 2).cast("int")
+    places = F.transform(F.array_repeat(pos.cast("double"), half), lambda p, k: p * F.pow(F.lit(base), -2.0 * k / (2 * half)))
+    pairs = F.arrays_zip(F.slice(vector, F.lit(1), half).alias("a"), F.slice(vector, half + 1, half).alias("b"), places.alias("t"))
+    first = F.transform(pairs, lambda z: z["a"] * F.cos(z["t"]) - z["b"] * F.sin(z["t"]))
+    second = F.transform(pairs, lambda z: z["a"] * F.sin(z["t"]) + z["b"] * F.cos(z["t"]))
+    return F.concat(first, second)
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """logsumexp(logits) less the target's logit; target counts from 0."""
     top = F.array_max(logits)

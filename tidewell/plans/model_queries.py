@@ -126,6 +126,27 @@ def layer_norm(spark, sf_dir):
     return n.select("id", F.posexplode("y").alias("d", "x")).withColumn("x", _rounded(F.col("x")))
 
 
+@query("rms_norm", f"""WITH {LOGITS}, n AS (SELECT *, sqrt(avg(logit * logit) OVER (PARTITION BY seq) + 1e-5::DOUBLE) AS r FROM l) SELECT seq AS id, token AS d, round(logit / r, {DIGITS}) + 0.0 AS x FROM n""")
+def rms_norm(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.posexplode(numeric.rms_norm(F.col("v"))).alias("d", "x")).withColumn("x", _rounded(F.col("x")))
+
+
+@query("swiglu", f"WITH {V} SELECT id, i - 1 AS d, round(v[i] / (1 + exp(-v[i])) * list_reverse(v)[i], {DIGITS}) + 0.0 AS x FROM (SELECT *, unnest(CAST(range(1, len(v) + 1) AS INTEGER[])) AS i FROM v)")
+def swiglu(spark, sf_dir):
+    y = vectors(spark, sf_dir).select("id", F.posexplode(numeric.swiglu(F.col("v"), F.reverse("v"))).alias("d", "x"))
+    return y.withColumn("x", _rounded(F.col("x")))
+
+
+_TURN = "(id % 97) * pow(10000.0::DOUBLE, -2.0::DOUBLE * ((i - 1) % (len(v) // 2)) / len(v))"
+
+
+@query("rope", f"""WITH {V} SELECT id, i - 1 AS d, round(CASE WHEN i <= len(v) // 2 THEN v[i] * cos({_TURN}) - v[i + len(v) // 2] * sin({_TURN}) ELSE v[i - len(v) // 2] * sin({_TURN}) + v[i] * cos({_TURN}) END, 4) + 0.0 AS x
+  FROM (SELECT *, unnest(CAST(range(1, len(v) + 1) AS INTEGER[])) AS i FROM v)""")
+def rope(spark, sf_dir):
+    y = vectors(spark, sf_dir).select("id", F.posexplode(numeric.rotate(F.col("v"), F.col("id") % 97)).alias("d", "x"))
+    return y.withColumn("x", _rounded(F.col("x"), 4))
+
+
 @query("residual_add", f"WITH {V} SELECT id, i - 1 AS d, round(v[i] + list_reverse(v)[i], {DIGITS}) + 0.0 AS x FROM (SELECT *, unnest(CAST(range(1, len(v) + 1) AS INTEGER[])) AS i FROM v)")
 def residual_add(spark, sf_dir):
     y = vectors(spark, sf_dir).select("id", F.posexplode(numeric.add(F.col("v"), F.reverse("v"))).alias("d", "x"))
