@@ -244,7 +244,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-    return written(found.select("doc_id", "ids", F.octet_length("ids").cast("long").alias("n_bytes"), F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")), "encoded")
+    return written(found.select("doc_id", "ids", F.octet_length("ids").cast("long").alias("n_bytes"), F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")), "encoded", "zstd")
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, ranges: int | None = None, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
