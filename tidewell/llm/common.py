@@ -50,3 +50,19 @@ def id_hash_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of doc_id as text, modulo n: the fold of a document."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.encode(c.cast("string"), "UTF-8")) % n
+
+
+#: A key is hot with one of so many parts of all rows, and with at least so many rows.
+HOT_PARTS, HOT_ROWS = 1000, 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """rows joined with table on key; table has one row a key, and times in it is the number of rows that have it.
+
+    Hot keys, of which there are at most HOT_PARTS, have their rows of the table broadcast, so that no task gets all
+    rows of one key; the other keys are shuffled.
+    """
+    hot = f"{times} >= {max(HOT_ROWS, total // HOT_PARTS)}"
+    few = F.broadcast(table.filter(hot))
+    rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.filter(f"NOT ({hot})"), key))

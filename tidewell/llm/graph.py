@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(both.filter("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of u, and u itself, is linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(down, least, "u", "n", total).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the links (u, v): label is the least node that can be reached.
 
     Each round is written to the shared folder, so a lost executor costs no earlier round, and rounds stop
-    when the links no longer change.  No node's links are ever gathered in one row.
+    when the links no longer change.  No node's links are ever gathered in one row, nor a large hub's in one task.
     """
     edges = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
         seen = mark
-        large = _large_star(edges).filter("u != v").distinct()
-        edges = written(_small_star(large).filter("u != v").distinct(), "links")
+        large = _large_star(edges, mark[0]).filter("u != v").distinct()
+        edges = written(_small_star(large, mark[0]).filter("u != v").distinct(), "links")

@@ -22,7 +22,7 @@ from itertools import combinations, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 from .graph import components
 
 SHINGLE = 3
@@ -148,11 +148,12 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     fps = written(fingerprints(docs), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     labels = written(components(links(nodes.select("fp"))), "labels")
-    linked = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(linked.join(least, "label").select("fp", "component_id"), "fp")
+    linked = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", "copies", F.coalesce("label", "fp").alias("label"))
+    sizes = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    named = join_hot(linked, sizes, "label", "nodes", nodes.count()).select("fp", "copies", "component_id")
+    return join_hot(fps, written(named, "components"), "fp", "copies", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
