@@ -205,14 +205,14 @@ def _places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces; reads cut more than once, so it should be a written table."""
+    """Adds sequence_id and offset to pieces with a number of each row; reads cut more than once, so it should be a written table."""
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row a length
     places = _places(plan(counts, capacity))
     salts = max(counts.values(), default=0) // NUMBERED_TOGETHER + 1
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "_salt").orderBy("row")
     numbered = salted.withColumn("_own", F.row_number().over(own)).join(firsts, ["length", "_salt"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     numbered = numbered.select(*names, (F.col("_first") + F.col("_own") - 1).alias("number"))
@@ -232,4 +232,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def digest(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(pieces(docs, vocabulary, end_id, capacity), "pieces"), capacity)
+    # The rows' numbers deal equal pieces evenly too.
+    return pack(written(pieces(docs, vocabulary, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
