@@ -165,7 +165,7 @@ def test_quality_scores_equal_a_plain_model(spark):
     """The query's scores by sets of grams, dictionaries and the same training order."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
-    rows = nbsvm.training_rows(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"), nbsvm.held_out).collect()
+    rows = nbsvm.training_rows(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"), nbsvm.held_out).orderBy("place", "doc_id").collect()
     assert sorted((r.text, r.label) for r in rows) == sorted((docs[i], q) for i, q in labels.items() if i in docs and zlib.crc32(str(i).encode()) % 5)
     hashed = lambda b: nbsvm.Features._hash(b)
 

@@ -143,7 +143,12 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[bytes], labels: list[int]) -> Model:
     features = Features()
-    rows, y = [features.slots(t) for t in texts], np.array(labels, np.int64)
+    return fit_slots([features.slots(t) for t in texts], labels)
+
+
+def fit_slots(rows: list[np.ndarray], labels: list[int]) -> Model:
+    """The model of rows given by their distinct slots, ascending."""
+    y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, math.log(max(1e-6, share) / max(1e-6, 1 - share)))
@@ -165,11 +170,30 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> DataFrame:
-    """(text, label) of at most sample labelled documents that are not held out, by the hash of their id."""
+    """(place, doc_id, text, label) of the rows of at most sample labelled documents that are not held out, by the hash
+    of their id."""
     told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    order = F.xxhash64("doc_id", F.lit(11))
-    chosen = told.filter(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(order, "doc_id", "text").limit(sample).select("text", "label")
+    place = F.xxhash64("doc_id", F.lit(11))
+    chosen = told.filter(~held_out(F.col("doc_id"))).orderBy(place, "doc_id").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(place.alias("place"), "doc_id", "text", "label")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of at most sample rows.  Executors make their slots, so no text reaches the driver, and no row is larger
+    than the table of slots."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        features = Features()
+        for batch in batches:
+            slots = [features.slots(t.as_py()).astype("<i4").tobytes() for t in batch.column(3).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 4)), pa.array(slots, pa.binary())], ["place", "doc_id", "h", "label", "slots"])
+
+    rows = training_rows(docs, labels, held_out, sample).select("place", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", F.col("label").cast("int").alias("label"))
+    made = rows.mapInArrow(run, "place long, doc_id long, h long, label int, slots binary")
+    kept = made.orderBy("place", "doc_id", "h").limit(sample).collect()
+    return fit_slots([np.frombuffer(r.slots, "<i4") for r in kept], [r.label for r in kept])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,6 +216,5 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = training_rows(docs, labels, held_out).collect()
-    model = fit([(r.text or "").encode() for r in rows], [r.label for r in rows])
-    return classify(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    found = classify(docs, fitted(docs, labels))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
