@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that
 is written as Parquet in the shared folder and reread as the next one's docs.
+
+Defined results: null, empty and blank texts have no word, so the first stage rejects them; rows that repeat a doc_id
+are judged one by one by the first stage, and then stay or go together; rows without doc_id pass near dedup and
+decontamination, which name documents by it, and are packed like others; further columns are carried along, whatever
+their names, up to the last stage; an empty table gives an empty one.  A text of any length is judged whole.
 """
 
 from __future__ import annotations
