@@ -51,7 +51,7 @@ SMOOTHING = 0.1
 TOGETHER = 1 << 22
 ROWS_TOGETHER = 1 << 18
 #: Bytes of text in a chunk, but for its last document; a chunk's keys and values are held by one task.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 _WORD = 1 << 63
 
 
