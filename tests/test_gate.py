@@ -31,7 +31,7 @@ def altered(**change) -> str:
 #: For each label, outputs that must get it, whatever the gold answers are.
 FAILING = {
     "not_json": ["", None, "It carries forty cars.", altered()[:-1], f"Answer: {altered()}", f"{altered()} {altered()}", "{'ok': true}"],
-    "bad_schema": ["[]", "true", "7", '"ok"', told(), told(ok="true"), told(ok=0), told(ok=None), told(ok=False, ans="noon"), told(ok=False, ev="at noon"), told(ok=True), altered(ans=None), altered(ev=None), altered(ans=40), altered(ev=["carries forty cars"]), altered(why="x"), altered(ok=False)],
+    "bad_schema": ["[]", "true", "7", '"ok"', told(), told(ok="true"), told(ok=0), told(ok=None), told(ok=False, ans="noon"), told(ok=False, ev="at noon"), told(ok=True), altered(ans=None), altered(ev=None), altered(ans=40), altered(ev=["carries forty cars"]), altered(why="x"), altered(ok=False), '{"ok": NaN}', "-Infinity", '{"ok": true, "ok": 1}'],
     "empty_field": [altered(ans=""), altered(ev=" "), altered(ans="\t\n"), altered(ans="", ev="not there")],
     "ev_not_in_doc": [altered(ev="carries  forty cars"), altered(ev="Carries forty cars"), altered(ans="fifty", ev="carries fifty cars"), altered(ans="elsewhere", ev="It sank.")],
     "ans_not_in_ev": [altered(ans="noon"), altered(ans="Forty cars"), altered(ans="forty cars and"), altered(ans="not there")],
@@ -46,6 +46,7 @@ PASSING = [
     (altered(ans="a post van", ev="and a post van."), ["bus", "Post van!"], 1.0, 1.0, True),
     (altered(ans="cars", ev="forty cars"), GOLDS, 0.0, 2 / 3, True),
     (altered(ans="noon", ev="at noon"), GOLDS, 0.0, 0.0, True),
+    ('{"ok": false, "ans": "x", "ok": true, "ans": "forty cars", "ev": "forty cars"}', GOLDS, 1.0, 1.0, True),
 ]
 
 
@@ -66,11 +67,12 @@ def test_labels_and_grades(spark):
 
 def test_json_as_a_strict_parser_has_it(spark):
     rng = random.Random(1)
-    bodies = ['{"ok": false}', "[1, 2]", '"x"', "12", "null", "tru", "{'a': 1}", '{"a": 1,}', '{"a": "x\\u00e9"}', '{"a" 1}', "[", "{}", "]"]
+    bodies = ['{"ok": false}', "[1, 2]", '"x"', "12", "null", "tru", "{'a': 1}", '{"a": 1,}', '{"a": "x\\u00e9"}', '{"a" 1}', "[", "{}", "]", "NaN", '{"a": -Infinity, "b": "NaN"}', '{"a": 1, "a": [NaN]}', "1NaN", "--Infinity", '"Infinity']
     texts = list({a + b + c for b in bodies for a in ("", " ", "x", "[", '{"r":') for c in ("", "\n", " x", "}", "]", "}}", "] [", " {}", "} ]", ",1")})
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = dict(df.select("id", strict_json.is_json(F.col("t"))).collect())
+    strict_json.take_last_key(spark)
+    got = dict(df.select("id", strict_json.is_json(strict_json.plain(F.col("t")))).collect())
 
     def strict(t):
         try:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tidewell.functions import strict_json
+
 _WHITE = r"[\\s\\x1c-\\x1f\\x85\\p{Z}]"
 _WORD = r"[\\p{L}\\p{N}_]"
 
@@ -38,6 +40,7 @@ def _type_of(field: str) -> str:
     return f"schema_of_variant(try_variant_get(try_parse_json(t), '$.{field}', 'variant'))"
 
 
+_NO_NUMBER = strict_json.NO_NUMBER.replace("\\", "\\\\")
 _STRINGS = f"{_type_of('ans')} = 'STRING' AND {_type_of('ev')} = 'STRING'"
 _BLANK = "NOT {} RLIKE '[^\\\\s\\\\x1c-\\\\x1f\\\\x85\\\\p{{Z}}]'"
 
@@ -49,6 +52,7 @@ FUNCTIONS = {
     "word_f1": f"(p ARRAY<STRING>, g ARRAY<STRING>) RETURNS DOUBLE RETURN {_f1('p', 'g')}",
     "token_f1": "(a STRING, b STRING) RETURNS DOUBLE RETURN word_f1(answer_words(a), answer_words(b))",
     "exact_match": "(a STRING, b STRING) RETURNS DOUBLE RETURN CAST(normalize_answer(a) = normalize_answer(b) AS DOUBLE)",
+    "plain_json": f"(t STRING) RETURNS STRING RETURN CASE WHEN contains(t, 'NaN') OR contains(t, 'Infinity') THEN regexp_replace(t, '{_NO_NUMBER}', '0') ELSE t END",
     "is_strict_json": """(t STRING) RETURNS BOOLEAN RETURN coalesce(size(try_variant_get(try_parse_json(concat('[', t, ']')), '$', 'array<variant>')) = 1
       AND map_keys(try_variant_get(try_parse_json(concat('{"r":', t, '}')), '$', 'map<string,variant>')) = array('r'), false)""",
     "v0_fields": f"""(t STRING) RETURNS {_FIELDS} RETURN CASE WHEN is_strict_json(t) THEN named_struct('json', true, 'names', array_sort(array_distinct(json_object_keys(t))),
@@ -56,16 +60,17 @@ FUNCTIONS = {
     "v0_label": f"""(f {_FIELDS}, document STRING) RETURNS STRING RETURN CASE WHEN f IS NULL THEN 'not_json' WHEN f.ok IS NULL OR f.names IS NULL THEN 'bad_schema' WHEN NOT f.ok AND f.names = array('ok') THEN NULL
       WHEN NOT f.ok OR f.names <> array('ans', 'ev', 'ok') OR f.ans IS NULL THEN 'bad_schema' WHEN {_BLANK.format('f.ans')} OR {_BLANK.format('f.ev')} THEN 'empty_field'
       WHEN NOT contains(document, f.ev) THEN 'ev_not_in_doc' WHEN NOT contains(f.ev, f.ans) THEN 'ans_not_in_ev' END""",
-    "v0_check": "(output STRING, document STRING) RETURNS STRING RETURN v0_label(v0_fields(coalesce(output, '')), document)",
+    "v0_check": "(output STRING, document STRING) RETURNS STRING RETURN v0_label(v0_fields(plain_json(coalesce(output, ''))), document)",
     "v0_grade": f"""(failure STRING, f {_FIELDS}, answers ARRAY<STRING>) RETURNS {_GRADE} RETURN named_struct('v0_pass', failure IS NULL, 'v0_failure', failure,
       'answered', failure IS NULL AND coalesce(f.ok, false), 'answerable_correct', failure IS NULL AND coalesce(f.ok, false) = (size(answers) > 0),
       'em', CASE WHEN failure IS NULL AND f.ok AND size(answers) > 0 THEN CAST(exists(transform(answers, y -> {_normal('y')}), y -> y = {_normal('f.ans')}) AS DOUBLE) ELSE 0.0D END,
       'f1', CASE WHEN failure IS NULL AND f.ok AND size(answers) > 0 THEN array_max(transform(transform(answers, y -> {_normal('y')}), y -> {_f1(_words(_normal('f.ans')), _words('y'))})) ELSE 0.0D END,
       'gold_answerable', size(answers) > 0)""",
-    "grade": f"(output STRING, document STRING, answers ARRAY<STRING>) RETURNS {_GRADE} RETURN v0_grade(v0_check(output, document), v0_fields(coalesce(output, '')), answers)",
+    "grade": f"(output STRING, document STRING, answers ARRAY<STRING>) RETURNS {_GRADE} RETURN v0_grade(v0_check(output, document), v0_fields(plain_json(coalesce(output, ''))), answers)",
 }
 
 
 def register(spark: SparkSession) -> None:
+    strict_json.take_last_key(spark)
     for name, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

@@ -17,7 +17,8 @@ FAILURES = ("not_json", "bad_schema", "empty_field", "ev_not_in_doc", "ans_not_i
 
 def parsed(df: DataFrame, output: str = "output") -> DataFrame:
     """Adds _json, _keys, _ok, _ans, _ev: what the tests need of an output, once."""
-    raw = F.coalesce(F.col(output), F.lit(""))
+    strict_json.take_last_key(df.sparkSession)
+    raw = strict_json.plain(F.coalesce(F.col(output), F.lit("")))
     df = df.withColumn("_raw", raw).withColumn("_json", strict_json.is_json(F.col("_raw")))
     held = F.when(F.col("_json"), F.col("_raw"))
     df = df.withColumn("_keys", strict_json.keys(held))
