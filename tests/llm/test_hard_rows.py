@@ -10,12 +10,12 @@ import zlib
 
 import numpy as np
 import pytest
-import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.conftest import SF, SMALL
+from tests.conftest import SMALL
 from tests.llm.test_operators import ODD, brute_ids, odd
-from tidewell.llm import ctw, decontaminate, langid, license_scan, nbsvm, pii, quality_rules, queries, sstable
+from tidewell.llm import common, ctw, decontaminate, langid, license_scan, nbsvm, pii, quality_rules, queries, simhash, sstable
 from tidewell.llm.encoding import vocabulary_path
 from tidewell.sources import storage
 
@@ -217,6 +217,24 @@ def test_languages_equal_a_plain_nearest_centroid(spark):
         assert got[r.doc_id].lang_pred == model.languages[model.owner[best]] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4
 
 
+# --- hot keys ---
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(90)] + [(99, 1)], "key long, x int")
+    table = rows.filter("key < 50").groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("m"))
+    got = common.join_hot(rows, table, "key", "n", 91)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table, "key").collect())) and got.count() == 90
+
+
+def test_groups_are_the_same_with_hot_fingerprints(spark, monkeypatch):
+    docs = odd(spark).unionByName(odd(spark, [(k, f"the same words again and again {k % 2}") for k in range(100, 160)]))
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str) == want
+
+
 # --- shards, chunks, shared folder ---
 
 
