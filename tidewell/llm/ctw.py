@@ -52,6 +52,9 @@ TOGETHER = 1 << 22
 ROWS_TOGETHER = 1 << 18
 #: Bytes of text in a chunk, but for its last document; a chunk's keys and values are held by one task.
 CHUNK_BYTES = 32 << 20
+#: Keys and chunks that a task takes, beyond the session's number of shuffle partitions.
+KEYS_A_TASK = 16_000_000
+CHUNKS_A_TASK = 8
 _WORD = 1 << 63
 
 
@@ -315,7 +318,9 @@ def _grouped(keys: DataFrame, depth: int) -> DataFrame:
     spark = keys.sparkSession
     total = keys.filter("key >= 0").groupBy("key").agg(F.sum("n").alias("n"))
     group = F.shiftright("key", 8 * (depth - SPLIT) + 8)
-    return total.repartition(parallelism(spark), group).sortWithinPartitions("key").mapInArrow(run, "key long, p binary, zeros double, ones double, weighted double")
+    # Tasks of a bounded size: keys without the chunk are no more than these.
+    tasks = max(parallelism(spark), keys.count() // KEYS_A_TASK)
+    return total.repartition(tasks, group).sortWithinPartitions("key").mapInArrow(run, "key long, p binary, zeros double, ones double, weighted double")
 
 
 def byte_values(keys: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -382,7 +387,8 @@ def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
     over = Window.partitionBy("key")
     words = keys.filter("key < 0").select("chunk", "key", F.sum("n").over(over).cast("double").alias("value"), (F.row_number().over(over.orderBy("chunk")) == 1).alias("first"), "n")
     contexts = keys.filter("key >= 0").join(values, "key").select("chunk", "key", "value", F.lit(False).alias("first"), "n")
-    dealt = words.unionByName(contexts).repartition(parallelism(spark), "chunk").sortWithinPartitions("chunk", "key")
+    chunks = keys.agg(F.count_distinct("chunk")).first()[0]
+    dealt = words.unionByName(contexts).repartition(max(parallelism(spark), chunks // CHUNKS_A_TASK), "chunk").sortWithinPartitions("chunk", "key")
     return written(dealt.mapInArrow(run, "chunk long, words long, train_tokens long"), "values")
 
 
