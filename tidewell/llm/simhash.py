@@ -151,9 +151,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     labels = written(components(links(nodes.select("fp"))), "labels")
     linked = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", "copies", F.coalesce("label", "fp").alias("label"))
-    sizes = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
-    named = join_hot(linked, sizes, "label", "nodes", nodes.count()).select("fp", "copies", "component_id")
-    return join_hot(fps, written(named, "components"), "fp", "copies", fps.count()).select("doc_id", "fp", "component_id")
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = written(linked.join(least, "label").select("fp", "copies", "component_id"), "components")
+    return join_hot(fps, named, "fp", "copies", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
