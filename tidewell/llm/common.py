@@ -66,3 +66,17 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, times: str, total: int
     few = F.broadcast(table.filter(hot))
     rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti")
     return rows.join(few, key).unionByName(rest.join(table.filter(f"NOT ({hot})"), key))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame:
+    """rows joined with table, which has one row a key; keys that many rows share are found by counting them.
+
+    Keys of over one HOT_PARTS-th of all rows, so no more than HOT_PARTS keys, and of at least so many rows, have their
+    row of the table broadcast; the others are shuffled.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_times"))
+    total = counts.agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("t"))
+    hot = counts.filter(F.col("_times") >= F.greatest(F.lit(least), (total.scalar() / HOT_PARTS).cast("long"))).select(*keys)
+    hot = written(table.join(hot, keys, "left_semi"), "hot")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(table, keys))

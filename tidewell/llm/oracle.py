@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import chat_tree as ct
 from . import decontaminate as dc
 from . import license_scan as ls
+from . import phrases as ph
 from . import quality_rules as qr
 
 _SPACE = r"\x20\x09-\x0D"
@@ -76,4 +78,36 @@ def decontamination_sql() -> str:
     FROM per_row JOIN (SELECT row, doc_id FROM docs) USING (row) JOIN (SELECT item, item_id FROM named JOIN items USING (w)) USING (item) GROUP BY doc_id, item_id"""
 
 
-ORACLES = {"op4_spaced_seeds": decontamination_sql(), "op5_license_sentences": license_sql(), "op8_line_quality": quality_sql()}
+def chat_sql() -> str:
+    """The digests from the rows themselves: no tree, token or template is shared with the query, but for the sizes of marks."""
+    probe = ct.PROBE.replace("'", "''")
+    # A doubled backslash, and one more in each mark that a text holds.
+    longer = lambda t: rf"length({t}) + (length({t}) - length(replace({t}, '\', ''))) + (length({t}) - length(replace({t}, '</turn>', ''))) // 7 + (length({t}) - length(replace({t}, '<|', ''))) // 2 + coalesce(list_sum(list_transform(regexp_extract_all({t}, '#{{3,}}'), lambda x: length(x) - 2)), 0)"
+    marks = len(ct.TURN) + len(":\n") + len(ct.TURN_END)
+    return rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{probe}' UNION ALL SELECT -7, 1, 'assistant', '{probe}'),
+    s AS (SELECT *, CASE WHEN role = '{ct.TRAINED_ROLE}' THEN text ELSE '' END AS loss, {longer("text")} + {longer("role")} + (length(role) - length(replace(role, ':', ''))) + {marks} AS size FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+    FROM s GROUP BY conv_id"""
+
+
+def phrases_sql() -> str:
+    """Every occurrence of every phrase, grouped."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    part = lambda a, b: f"array_to_string(w[{a}:{b}], ' ')"
+    return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, m, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, {ph.MOST + 1})) AS m) WHERE len(w) >= m)),
+    f AS MATERIALIZED (SELECT lang, m, array_to_string(g, ' ') AS phrase, g AS w, count(*) AS f FROM g GROUP BY lang, m, g HAVING count(*) >= {ph.LEAST_COUNT}),
+    cuts AS (SELECT lang, phrase, f AS a, k, {part(1, "k")} AS x, {part("k + 1", "m")} AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+    s AS (SELECT c.*, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * {ph.SCALE} // (l.f + r.f) AS BIGINT) AS score FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+    least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS z FROM s),
+    inside AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(f) AS longest FROM (SELECT lang, w, f, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2)) GROUP BY ALL),
+    kept AS (SELECT lang, phrase, a, l, r, score FROM least LEFT JOIN inside USING (lang, phrase) WHERE z = 1 AND NOT coalesce(100 * longest >= {ph.INSIDE_PERCENT} * a, false)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {ph.TOP}"""
+
+
+ORACLES = {"op4_spaced_seeds": decontamination_sql(), "op5_license_sentences": license_sql(), "op8_line_quality": quality_sql(), "op11_chat_prefix_tree": chat_sql(), "op13_suffix_phrases": phrases_sql()}

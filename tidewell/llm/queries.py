@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontaminate, langid, license_scan, nbsvm, packing, pii, quality_rules, simhash, sstable
+from . import chat_tree, ctw, decontaminate, langid, license_scan, nbsvm, packing, phrases, pii, quality_rules, simhash, sstable, whitening
 from .common import documents, table
 from .encoding import vocabulary_path
 from .oracle import ORACLES
@@ -56,6 +56,18 @@ def op10_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(documents(spark, sf_dir), vocabulary_path())
 
 
+def op11_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.digest(chat_tree.with_probe(spark, table(spark, sf_dir, "conversations")))
+
+
+def op12_gramian_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_nb_svm_quality": op2_nb_svm_quality,
@@ -67,4 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_quality": op8_line_quality,
     "op9_context_tree": op9_context_tree,
     "op10_dominance_packing": op10_dominance_packing,
+    "op11_chat_prefix_tree": op11_chat_prefix_tree,
+    "op12_gramian_whitening": op12_gramian_whitening,
+    "op13_suffix_phrases": op13_suffix_phrases,
 }
