@@ -2,8 +2,8 @@
 
 Every word position starts a suffix of at most MOST words within its piece.  Suffixes are counted where they are
 read, shuffled by language and first word, and sorted in reverse; one stack then counts all their prefixes, which are
-all the phrases.  First words with over one HOT_SHARE-th of all words are dealt further by the rest of the suffix, and the
-counts of their phrases are summed afterwards.  Words travel as codes: the CODED most frequent ones at most (a
+all the phrases.  First words with more suffixes than a task's fair share are dealt further by the rest
+of the suffix, and the counts of their phrases are summed afterwards.  Words travel as codes: the CODED most frequent ones at most (a
 table that is sent to all tasks) as two or three bytes, others as they are.  No code begins another, so suffixes that
 share words stand together in the order of their bytes.
 
@@ -16,6 +16,7 @@ stretches of about STRETCH bytes that overlap by MOST - 1 words, so it may be of
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import Counter
@@ -39,8 +40,7 @@ SCALE = 2_000_000
 CODED = 1 << 16
 SHORT_CODES = 1 << 10
 LONGEST_CODED = 64
-HOT_SHARE = 500
-HOT_PARTS = 64
+MOST_HOT = 1 << 14
 STRETCH = 8_000_000
 #: Different words that a task counts before it passes them on.
 COUNTED_TOGETHER = 400_000
@@ -179,8 +179,9 @@ class Codes:
 
 
 def suffixes(docs: DataFrame, codes, hot) -> DataFrame:
-    """(lang, bucket, suffix, n): suffixes counted where they are read; bucket is of language and first word, and of
-    the other words too where the first is hot.  codes and hot, pairs (language, first word), are broadcast."""
+    """(bucket, key, n): suffixes counted where they are read; key is the language's code and the suffix, bucket is of
+    language and first word, and of the other words too where the first is hot.  codes, and hot, the parts of each
+    (language, first word), are broadcast."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,8 +196,7 @@ def suffixes(docs: DataFrame, codes, hot) -> DataFrame:
             pair = np.where((w[:-1] > 0) & (w[1:] > 0), w[:-1] << 32 | w[1:], w[:-1] << 32)
             pairs, p = np.unique(pair, return_inverse=True)
             whole = (w[:-3] > 0) & (w[1:-2] > 0) & (w[2:-1] > 0)
-            none = int(np.searchsorted(pairs, 0)) if len(pairs) and pairs[0] == 0 else 0
-            quad = (p[:-2] << 32 | np.where(whole, p[2:], none))[:own]
+            quad = (p[:-2] << 32 | np.where(whole, p[2:], 0))[:own]  # the pair at 0 is that of a piece's end
             quads, n = np.unique(quad[w[:own] > 0], return_counts=True)
             if not len(quads):
                 continue
@@ -206,70 +206,146 @@ def suffixes(docs: DataFrame, codes, hot) -> DataFrame:
             ids[3] = np.where(ids[2] > 0, ids[3], 0)
             coded = pa.array([b"", *(known.get(x) or x + b" " for x in seen[1:])], pa.binary())
             hashes = np.array([zlib.crc32(x) for x in seen], np.int64)
-            is_hot = np.array([(lang, x) in hot.value for x in seen])
-            rest = (hashes[ids[1]] * 31 + hashes[ids[2]] * 17 + hashes[ids[3]]) % HOT_PARTS
-            bucket = (hashes[ids[0]] + zlib.crc32(lang.encode()) + np.where(is_hot[ids[0]], rest * 0x9E3779B1, 0)) & 0xFFFFF
-            suffix = pc.binary_join_element_wise(*(coded.take(pa.array(x)) for x in ids), pa.scalar(b"", pa.binary()))
+            parts = np.array([hot.value.get((lang, x), 1) for x in seen])
+            rest = (hashes[ids[1]] * 31 + hashes[ids[2]] * 17 + hashes[ids[3]]) % parts[ids[0]]
+            bucket = (hashes[ids[0]] + zlib.crc32(lang.encode()) + rest * 0x9E3779B1) & 0xFFFFF
+            key = pc.binary_join_element_wise(pa.scalar(language_code(lang), pa.binary()), *(coded.take(pa.array(x)) for x in ids), pa.scalar(b"", pa.binary()))
             for a in range(0, len(quads), 100_000):
                 b = min(len(quads), a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * (b - a), pa.string()), pa.array(bucket[a:b], pa.int32()), suffix[a:b], pa.array(n[a:b], pa.int64())], ["lang", "bucket", "suffix", "n"])
-
-    return _texts(docs).mapInArrow(run, "lang string, bucket int, suffix binary, n long")
-
-
-def _prefixes(sorted_suffixes: DataFrame, codes, hot) -> DataFrame:
-    """(lang, phrase, n, whole): counts of all prefixes of suffixes that come by language and in reverse.
-
-    The stack holds the prefixes of the suffix met last with their counts so far; one whose words end leaves it with
-    its count, which goes on to the shorter one below.  Phrases of hot first words, of which other tasks have more, are
-    not whole; whole ones are left out below LEAST_COUNT.
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b], pa.int32()), key[a:b], pa.array(n[a:b], pa.int64())], ["bucket", "key", "n"])
+
+    return _texts(docs).mapInArrow(run, "bucket int, key binary, n long")
+
+
+def language_code(lang: str) -> bytes:
+    """Bytes that begin no other language's."""
+    return lang.encode().replace(b"\0", b"\0\xff") + b"\0\1"
+
+
+def _split_key(key: bytes) -> tuple[str, int]:
+    """The language of a key, and where its suffix begins."""
+    end = key.index(b"\0\1")
+    return key[:end].replace(b"\0\xff", b"\0").decode(), end + 2
+
+
+class _Suffixes:
+    """Keys of one language in a row: where their words end, and how many words each shares with the key before it."""
+
+    #: Bytes of a key that are compared for many keys at once.
+    WIDE = 24
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, begin: int):
+        start, stop = offsets[:-1], offsets[1:]
+        spaces = np.flatnonzero(data == 32)
+        at, ends, words = start + begin, [], np.zeros(len(start), np.int64)
+        for _ in range(MOST):
+            more = at < stop
+            lead = data[np.minimum(at, len(data) - 1)]
+            after = at + np.where(lead >= 0xFC, 3, 2)
+            raw = np.flatnonzero(more & (lead < 0xF8))
+            after[raw] = spaces[np.searchsorted(spaces, at[raw])] + 1
+            at = np.where(more, after, at)
+            words += more
+            ends.append(at - start)
+        self.ends, self.words = ends, words
+        place = start[:, None] + begin + np.arange(self.WIDE)
+        bytes_ = np.where(place < stop[:, None], data[np.minimum(place, len(data) - 1)], 0)
+        differ = bytes_[1:] != bytes_[:-1]
+        equal = begin + np.where(differ.any(axis=1), differ.argmax(axis=1), self.WIDE)
+        both = np.minimum(words[1:], words[:-1])
+        self.shared = np.zeros(len(start), np.int64)
+        for k, end in enumerate(ends):
+            self.shared[1:] += (k < both) & (end[1:] <= equal)
+        # Keys that are equal as far as that, with words beyond.
+        self.unsure = 1 + np.flatnonzero((equal == begin + self.WIDE) & (self.shared[1:] < both))
+
+
+def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
+    """(lang, phrase, n, whole): counts of all prefixes of suffixes (key, n) that come in reverse order.
+
+    The stack holds the counts so far of the prefixes of the suffix met last; one whose words end leaves it with its
+    count, which goes on to the shorter one below.  Phrases of hot first words, of which other tasks have more, are not
+    whole; whole ones are left out below LEAST_COUNT.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ends, hot_codes = codes.value.ends, {(lang, codes.value.table.get(w) or w + b" ") for lang, w in hot.value}
-        at, last, stack, counts = None, b"", [], []
-        out: tuple[list, list, list, list] = ([], [], [], [])
-
-        def pop(depth: int) -> None:
-            while len(stack) > depth:
-                end, n = stack.pop(), counts.pop()
-                if counts:
-                    counts[-1] += n
-                split = (at, last[: stack[0] if stack else end]) in hot_codes
-                if split or n >= LEAST_COUNT:
-                    for column, x in zip(out, (at, last[:end], n, not split), strict=True):
-                        column.append(x)
+        table = codes.value.table
+        split = {language_code(lang) + (table.get(w) or w + b" ") for lang, w in hot.value}
+        ends_of = codes.value.ends
+        stack: list[int] = []
+        lang, begin, last, last_ends, is_hot = None, 0, b"", [], False
+        out: list[tuple] = []
 
         def told():
-            batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], ["lang", "phrase", "n", "whole"])
-            for column in out:
-                column.clear()
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.bool_()]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "phrase", "n", "whole"])
+            out.clear()
             return batch
 
+        def pop(depth: int, key: bytes, ends: list[int]) -> None:
+            while len(stack) > depth:
+                n = stack.pop()
+                if is_hot or n >= LEAST_COUNT:
+                    out.append((lang, key[begin : ends[len(stack)]], n, not is_hot))
+                if stack:
+                    stack[-1] += n
+
         for batch in batches:
-            for lang, suffix, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if lang == at and suffix == last:
-                    counts[-1] += n
-                    continue
-                own = ends(suffix)
-                shared = 0
-                if lang == at:
-                    while shared < len(stack) and shared < len(own) and own[shared] == stack[shared] and suffix[: own[shared]] == last[: own[shared]]:
-                        shared += 1
-                pop(shared)
-                at, last = lang, suffix
-                for end in own[shared:]:
-                    stack.append(end)
-                    counts.append(0)
-                counts[-1] += n
-            if len(out[0]) > 50_000:
+            keys, n = batch.column(0), batch.column(1).to_pylist()
+            if not len(keys):
+                continue
+            offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+            data = np.frombuffer(keys.buffers()[2], np.uint8)
+            a = 0
+            while a < len(keys):
+                key = keys[a].as_py()
+                own, at = _split_key(key)
+                b = len(keys)
+                if not keys[b - 1].as_py().startswith(key[:at]):  # keys of a language stand together
+                    b = a + bisect.bisect_left(range(a, b), True, key=lambda k: not keys[k].as_py().startswith(key[:at]))
+                if own != lang:
+                    pop(0, last, last_ends)
+                    lang, begin, last, last_ends = own, at, b"", []
+                found = _Suffixes(data, offsets[a : b + 1], begin)
+                shared, words = found.shared.tolist(), found.words.tolist()
+                ends = list(zip(*(e.tolist() for e in found.ends), strict=True))
+                whole = keys.slice(a, b - a)
+                first_ends = [begin + e for e in ends_of(key[begin:])]
+                shared[0] = sum(x == y and key[:x] == last[:x] for x, y in zip(first_ends, last_ends, strict=False))
+                for k in found.unsure.tolist():
+                    one, two = whole[k].as_py(), whole[k - 1].as_py()
+                    shared[k] = sum(x == y and one[:x] == two[:x] for x, y in zip(ends[k][: words[k]], ends[k - 1][: words[k - 1]], strict=False))
+                before, before_ends = last, last_ends
+                for k in range(b - a):
+                    s, depth = shared[k], len(stack)
+                    if s < depth:
+                        # Only prefixes that are told need their words.
+                        if is_hot or stack[-1] >= LEAST_COUNT or sum(stack[s:]) >= LEAST_COUNT:
+                            if k:
+                                before, before_ends = whole[k - 1].as_py(), ends[k - 1]
+                            pop(s, before, before_ends)
+                        else:
+                            n_up = sum(stack[s:])
+                            del stack[s:]
+                            if stack:
+                                stack[-1] += n_up
+                    if not s:
+                        is_hot = bool(split) and whole[k].as_py()[: ends[k][0]] in split
+                    more = words[k] - s
+                    if more:
+                        stack.extend([0] * more)
+                    stack[-1] += n[a + k]
+                last, last_ends = whole[b - a - 1].as_py(), list(ends[-1][: words[-1]])
+                a = b
+            if len(out) > 50_000:
                 yield told()
-        pop(0)
+        pop(0, last, last_ends)
         yield told()
 
-    return sorted_suffixes.mapInArrow(run, "lang string, phrase binary, n long, whole boolean")
+    return sorted_keys.mapInArrow(run, "lang string, phrase binary, n long, whole boolean")
 
 
 def phrase_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -277,11 +353,12 @@ def phrase_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
     counts of the same documents; words is their number."""
     spark = docs.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # One HOT_SHARE-th of all words or more: HOT_SHARE words at most.
-    hot = spark.sparkContext.broadcast({(r.lang, bytes(r.word)) for r in counts.filter(F.col("n") * HOT_SHARE >= max(total, HOT_SHARE * LEAST_COUNT)).collect()})
-    codes = spark.sparkContext.broadcast(Codes(_frequent(counts)))
     tasks = max(parallelism(spark), total // SUFFIXES_A_TASK)
-    dealt = suffixes(docs, codes, hot).repartition(tasks, "bucket").select("lang", "suffix", "n").sortWithinPartitions("lang", F.desc("suffix"))
+    # First words that would fill a task by themselves: MOST_HOT at most.
+    fair = max(LEAST_COUNT, total // min(tasks, MOST_HOT))
+    hot = spark.sparkContext.broadcast({(r.lang, bytes(r.word)): 2 * (r.n * tasks // total + 1) for r in counts.filter(F.col("n") > fair).collect()})
+    codes = spark.sparkContext.broadcast(Codes(_frequent(counts)))
+    dealt = suffixes(docs, codes, hot).repartition(tasks, "bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
     found = written(_prefixes(dealt, codes, hot), "prefixes", "zstd")
     summed = found.filter("NOT whole").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
@@ -302,11 +379,10 @@ def _cuts(first_last: str) -> Column:
     return F.expr(f"transform(sequence(1, words - 1), k -> struct(k AS k, substring_index({first_last}, ' ', k) AS left, substring_index({first_last}, ' ', k - words) AS right))")
 
 
-def scored(phrases: DataFrame) -> DataFrame:
-    """(lang, phrase, words, a, l, r, score) of the phrases of two words or more: the lowest-scoring cut, which is the
-    one after fewest words where several are."""
-    several = phrases.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
-    cuts = several.select("*", F.explode(_cuts("phrase")).alias("c")).select("lang", "phrase", "words", "a", "c.*")
+def scored(phrases: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(lang, phrase, words, a, l, r, score) of chosen phrases (lang, phrase, words, a): the lowest-scoring cut, which is
+    the one after fewest words where several are."""
+    cuts = chosen.select("*", F.explode(_cuts("phrase")).alias("c")).select("lang", "phrase", "words", "a", "c.*")
     part = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     cuts = join_counted(join_counted(cuts, part("left", "l"), ["lang", "left"]), part("right", "r"), ["lang", "right"])
     score = F.expr(f"(CAST(a AS DECIMAL(20,0)) * CAST({SCALE} AS DECIMAL(8,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
@@ -326,7 +402,9 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     counts = written(word_counts(docs), "words", "zstd")
     n = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     phrases = phrase_counts(docs, counts)
-    kept = scored(phrases).join(_inside(phrases), ["lang", "phrase"], "left").filter(F.coalesce(F.col("longest") * 100 < F.col("a") * INSIDE_PERCENT, F.lit(True)))
+    several = phrases.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
+    apart = several.join(_inside(phrases), ["lang", "phrase"], "left").filter(F.coalesce(F.col("longest") * 100 < F.col("a") * INSIDE_PERCENT, F.lit(True)))
+    kept = scored(phrases, written(apart.drop("longest"), "apart"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A language's first phrases are among the first of its parts, so no task sorts a whole language.
     part = F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS))
