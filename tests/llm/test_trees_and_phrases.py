@@ -186,7 +186,7 @@ def brute_phrases(rows, least=30, top=2000):
 def odd_texts():
     rng = random.Random(8)
     words = ["The", "of", "a\x01", "\x00", "é", "x\x0ey", "Q", "zz", "w" * 100, "\u4e2d", "a"]
-    rows = [(lang, " ".join(rng.choice(words) + rng.choice(["", "", "", ".", ",", "\t", "\n", "!"]) for _ in range(rng.randint(0, 120)))) for lang in (None, "en", "", "a\x00b", "a") for _ in range(40)]
+    rows = [(lang, " ".join(rng.choice(words) + rng.choice(["", "", "", ".", ",", "\t", "\n", "!"]) for _ in range(rng.randint(0, 700)))) for lang in (None, "en", "", "a\x00b", "a") for _ in range(40)]
     rows += [("en", "same old story told again. " * 400), ("en", None), ("en", ""), ("en", " \t\n.,"), (None, "the the the the " * 500)]
     return rows
 
