@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,37 +131,92 @@ def train(words: dict[bytes, int], vocab_size: int, min_frequency: int = 2, spec
 
 
 def encode_word(word: bytes, ranks: dict[tuple[int, int], tuple[int, int]], specials: int = len(SPECIALS)) -> list[int]:
-    ids = [specials + b for b in word]
-    while len(ids) > 1:
-        found = min((ranks[p] for p in zip(ids, ids[1:], strict=False) if p in ranks), default=None)
-        if not found:
-            break
-        rank, new = found
-        out, k = [], 0
-        while k < len(ids):
-            if k + 1 < len(ids) and ranks.get((ids[k], ids[k + 1]), (-1, 0))[0] == rank:
-                out.append(new)
-                k += 2
-            else:
-                out.append(ids[k])
-                k += 1
-        ids = out
-    return ids
-
-
-def encode(docs: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFrame:
-    """(pos, ids) of docs (pos, text): each distinct piece is encoded once and joined back."""
-    ranks = {(a, b): (rank, new) for rank, a, b, new in merges}
+    """Ids of one piece: the earliest merge first, from the left.
+
+    Places are linked and merges queued by rank and place, so a piece of any length takes n log n steps.
+    """
+    ids: list[int | None] = [specials + b for b in word]
+    after = list(range(1, len(ids) + 1))
+    before = list(range(-1, len(ids) - 1))
+    queue = [(*ranks[p], k, p) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in ranks]
+    heapq.heapify(queue)
+
+    def offer(k: int) -> None:
+        if k >= 0 and after[k] < len(ids) and (p := (ids[k], ids[after[k]])) in ranks:
+            heapq.heappush(queue, (*ranks[p], k, p))
+
+    while queue:
+        _, new, k, pair = heapq.heappop(queue)
+        if ids[k] is None or after[k] >= len(ids) or (ids[k], ids[after[k]]) != pair:
+            continue
+        gone = after[k]
+        ids[k], ids[gone], after[k] = new, None, after[gone]
+        if after[k] < len(ids):
+            before[after[k]] = k
+        offer(before[k])
+        offer(k)
+    return [x for x in ids if x is not None]
+
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(ids=[encode_word(w.encode(), ranks) for w in p["piece"]])
+def special_pattern(specials: tuple[str, ...] = SPECIALS) -> str:
+    """A pattern of the special tokens: the leftmost, and of several there the longest."""
+    return "|".join(re.sub(r"([^\w\s])", r"\\\1", x) for x in sorted(specials, key=len, reverse=True))
 
-    cut = docs.select("pos", F.posexplode(pieces(F.col("text"))).alias("k", "piece"))
-    ids = cut.select("piece").distinct().mapInPandas(run, "piece string, ids array<int>")
-    joined = cut.join(ids, "piece").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("t"))
-    encoded = joined.select("pos", F.flatten(F.transform("t", lambda s: s["ids"])).alias("ids"))
-    return docs.select("pos").join(encoded, "pos", "left").select("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+def cut(text: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
+    """Pieces of a text in order.  Special tokens are cut out first and stand whole; what lies between two of them is
+    pre-tokenized by itself."""
+    pattern = F.lit(special_pattern(specials))
+    between, met = F.split(text, special_pattern(specials), -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    none = F.array().cast("array<string>")
+    parts = F.flatten(F.transform(between, lambda x, i: F.concat(pieces(x), F.when(i < F.size(met), F.array(F.get(met, i))).otherwise(none))))
+    return F.when(text.rlike(special_pattern(specials)), parts).otherwise(pieces(text))
+
+
+#: Pieces whose ids a task keeps from batch to batch, and the longest that is kept.
+KEPT_PIECES = 300_000
+LONGEST_KEPT = 64
+
+
+def encode(docs: DataFrame, merges: list[tuple[int, int, int, int]], specials: tuple[str, ...] = SPECIALS) -> DataFrame:
+    """(pos, ids) of docs (pos, text), special tokens in texts as their ids; null texts have none.
+
+    Texts stay where they are: each Arrow batch is encoded by itself, each of its distinct pieces once, and a bounded
+    table keeps the pieces met first.
+    """
+    ranks = {(a, b): (rank, new) for rank, a, b, new in merges}
+    base = len(specials)
+    fixed = {x: [k] for k, x in enumerate(specials)}
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        kept: dict[str, list[int]] = dict(fixed)
+        for batch in batches:
+            column = batch.column(1)
+            coded = column.flatten().dictionary_encode()
+            own = []
+            for piece in coded.dictionary.to_pylist():
+                ids = kept.get(piece)
+                if ids is None:
+                    ids = encode_word(piece.encode(), ranks, base)
+                    if len(kept) < KEPT_PIECES and len(piece) <= LONGEST_KEPT:
+                        kept[piece] = ids
+                own.append(ids)
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter((x for ids in own for x in ids), np.int32, int(sizes.sum()))
+            starts = np.cumsum(sizes) - sizes
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            n = sizes[at]
+            ends = np.cumsum(n)
+            places = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[at], n)
+            borders = column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column) else 0)
+            offsets = np.concatenate([[0], ends])[borders]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[places], pa.int32()))], ["pos", "ids"])
+
+    pos = docs.schema["pos"].dataType.simpleString()
+    return docs.select("pos", cut(F.coalesce("text", F.lit("")), specials).alias("p")).mapInArrow(run, f"pos {pos}, ids array<int>")
 
 
 # --- the tokenizer as a file ---------------------------------------------------------------------------

@@ -88,9 +88,12 @@ def token_windows(spark, sf_dir):
 BATCH, LENGTH, SEED = 16, 64, "batch"
 
 
-@query("random_batch", f"""WITH {STREAM}, n AS (SELECT count(*) AS n FROM t), starts AS (SELECT i, CAST('0x' || substr(md5('{SEED}:' || i), 1, 8) AS BIGINT) % (n - {LENGTH} - 1) AS start FROM (SELECT unnest(range({BATCH})) AS i), n)
+RANDOM_BATCH = f"""WITH {STREAM}, n AS (SELECT count(*) AS n FROM t), starts AS (SELECT i, CAST('0x' || substr(md5('{SEED}:' || i), 1, 8) AS BIGINT) % (n - {LENGTH} - 1) AS start FROM (SELECT unnest(range({BATCH})) AS i), n)
   SELECT i, start, array_to_string(list(token ORDER BY o) FILTER (WHERE o < start + {LENGTH}), ' ') AS x, array_to_string(list(token ORDER BY o) FILTER (WHERE o > start), ' ') AS y
-  FROM starts JOIN t ON o BETWEEN start AND start + {LENGTH} GROUP BY i, start""")
+  FROM starts JOIN t ON o BETWEEN start AND start + {LENGTH} GROUP BY i, start"""
+
+
+@query("random_batch", RANDOM_BATCH)
 def random_batch(spark, sf_dir):
     n = fx.docs(spark, sf_dir).agg(F.sum(F.octet_length("text") + 1)).first()[0]
     found = corpus.batches(ids(spark, sf_dir), corpus.random_starts(spark, n, LENGTH, BATCH, SEED), LENGTH)
@@ -121,6 +124,18 @@ def token_shard_scan(spark, sf_dir):
     return read.groupBy("token").agg(F.count("*").alias("cnt"), F.min("offset").alias("first_offset"))
 
 
+@query("shard_batch", RANDOM_BATCH)
+def shard_batch(spark, sf_dir):
+    """A batch drawn from shards: their sizes give the number of tokens, and the windows' offsets are pushed into the scan."""
+    shards.register(spark)
+    path = scratch(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    corpus.token_stream(ids(spark, sf_dir)).repartitionByRange(n, "offset").sortWithinPartitions("offset").write.format("token_shard").mode("append").option("path", path).save()
+    starts = corpus.random_starts(spark, shards.total_tokens(path), LENGTH, BATCH, SEED)
+    found = shards.windows(spark, path, starts, LENGTH)
+    return found.select("i", "start", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"), F.array_join(F.col("y").cast("array<string>"), " ").alias("y"))
+
+
 # --- byte-pair encoding ---
 
 _W = r"\t-\r \x{85}\p{Z}"
@@ -208,8 +223,10 @@ def trained(spark, sf_dir):
 
 
 _BASE = len(bpe.SPECIALS)
-#: Every step has all distinct pieces with their ids; what a pair has become is written out as in the toy trainer.
-_TRAINED = f"""words AS (SELECT piece, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY 1),
+#: Every step has all distinct pieces with their ids; what a pair has become is written out as in the toy trainer.  Texts
+#: after the budget are not learnt from, but their pieces are split by what was learnt, so they stand with a count of 0.
+_TRAINED = f"""told AS (SELECT text, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id {_BEFORE}), 0) < {TRAINED_BYTES} OR doc_id = (SELECT min(doc_id) FROM documents) AS within FROM documents),
+words AS (SELECT piece, CAST(count(*) FILTER (WHERE within) AS BIGINT) AS cnt FROM (SELECT unnest({_PIECES}) AS piece, within FROM told) GROUP BY 1),
 r AS (SELECT 0 AS step, piece, cnt, list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda h: CAST('0x' || h AS INTEGER) + {_BASE}) AS l, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b FROM words
   UNION ALL (WITH cur AS (SELECT * FROM r WHERE step < {TRAINED - 256 - _BASE}),
     best AS (SELECT a, b FROM (SELECT l[i] AS a, l[i + 1] AS b, sum(cnt) AS n FROM (SELECT l, cnt, unnest(range(1, len(l))) AS i FROM cur) GROUP BY 1, 2) WHERE n >= 2 ORDER BY n DESC, a, b LIMIT 1)
@@ -229,6 +246,17 @@ def bpe_encode(spark, sf_dir):
     return bpe.encode(fx.docs(spark, sf_dir), trained(spark, sf_dir)).select("pos", F.size("ids").alias("n"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
 
 
+@query("encode_special_tokens", f"""WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(hex(encode(role || chr(10) || text)), '..'), lambda h: CAST('0x' || h AS INTEGER) + {_BASE}) AS b FROM conversations),
+  l AS (SELECT conv_id, turn, list_concat([{bpe.SPECIALS.index("<|im_start|>")}], list_concat(b, [{bpe.SPECIALS.index("<|im_end|>")}, 10 + {_BASE}])) AS l FROM t)
+  SELECT conv_id AS pos, CAST(sum(len(l)) AS INTEGER) AS n, sha256(string_agg(array_to_string(l, ' '), ' ' ORDER BY turn)) AS ids_sha256 FROM l GROUP BY 1""")
+def encode_special_tokens(spark, sf_dir):
+    """Conversations written out in the chat template and encoded, before any merge: the marks are one id each."""
+    line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    prompts = fx.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("pos")).agg(F.array_join(F.transform(turns, lambda s: s["line"]), "").alias("text"))
+    return bpe.encode(prompts, []).select("pos", F.size("ids").alias("n"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+
+
 @query("tokenizer_roundtrip", "SELECT count(*) AS n, true AS same FROM documents")
 def tokenizer_roundtrip(spark, sf_dir):
     """Whether decoding what was encoded gives every text back."""

@@ -1,5 +1,7 @@
 """Token shards: headerless little-endian unsigned 16-bit ids, as a Spark data source.
 
+Filters on offset are pushed into the scan, which then reads the bytes of what they ask for.
+
 ``spark.read.format("token_shard").load(storage.qualified(spark, path))`` gives (offset, token), cut by byte ranges; writing takes rows
 (offset, token) sorted within partitions and leaves a file a task, named so that their order is the order of
 first offsets.
@@ -11,36 +13,116 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from .storage import filesystem, publish
 
 #: Bytes that a read task takes.
 RANGE = 8 << 20
+#: Stretches of offsets that lie no further apart than so many tokens are read as one.
+NEAR = 256
+#: The file that names the generation of shards that holds.
+CURRENT = "_CURRENT"
 
 
 @dataclass
-class Range(InputPartition):
+class Piece:
+    """size bytes from at of a file, whose first token has this offset."""
+
     name: str
     at: int
     size: int
     offset: int
 
 
+@dataclass
+class Range(InputPartition):
+    pieces: list[Piece]
+
+
+def shard_files(path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the shards that hold, in the order of their offsets."""
+    from pyarrow import fs as pfs
+
+    fs, folder = filesystem(path)
+    generation = ""
+    if fs.get_file_info(f"{folder}/{CURRENT}").is_file:
+        with fs.open_input_file(f"{folder}/{CURRENT}") as file:
+            generation = file.read().decode()
+    found = fs.get_file_info(pfs.FileSelector(folder))
+    return sorted((f.path, f.size) for f in found if f.path.endswith(f"{generation}.bin"))
+
+
+def total_tokens(path: str) -> int:
+    """Tokens of the shards at a qualified path, by the files' sizes."""
+    return sum(size for _, size in shard_files(path)) // 2
+
+
+def _stretches(offsets: list[int]) -> list[tuple[int, int]]:
+    """Stretches [from, to) that hold sorted offsets, near ones together."""
+    out: list[tuple[int, int]] = []
+    for o in offsets:
+        if out and o - out[-1][1] <= NEAR:
+            out[-1] = (out[-1][0], max(out[-1][1], o + 1))
+        else:
+            out.append((o, o + 1))
+    return out
+
+
 class Reader(DataSourceReader):
+    """Comparisons of offset with constants are pushed down, so a window reads its own bytes."""
+
     def __init__(self, path: str):
         self.path = path
+        self.low, self.high = 0, None
+        self.wanted: set[int] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) != ("offset",):
+                yield f
+            elif isinstance(f, (EqualTo, EqualNullSafe, In)):
+                own = set(f.value if isinstance(f, In) else [f.value]) - {None}
+                self.wanted = own if self.wanted is None else self.wanted & own
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                end = f.value + isinstance(f, LessThanOrEqual)
+                self.high = end if self.high is None else min(self.high, end)
+            elif not isinstance(f, IsNotNull):  # an offset is never null
+                yield f
+
+    def holds(self, offset: int) -> bool:
+        return offset >= self.low and (self.high is None or offset < self.high)
 
     def partitions(self) -> list[Range]:
-        from pyarrow import fs as pfs
-
-        fs, folder = filesystem(self.path)
-        files = sorted((f.path, f.size) for f in fs.get_file_info(pfs.FileSelector(folder)) if f.path.endswith(".bin"))
-        out, before = [], 0
-        for name, size in files:
-            out += [Range(name, at, min(RANGE, size - at), before + at // 2) for at in range(0, size, RANGE)]
+        files, before, total = [], 0, 0
+        for name, size in shard_files(self.path):
+            files.append((name, before, size // 2))
             before += size // 2
+        total = before if self.high is None else min(before, self.high)
+        if self.wanted is None:
+            asked = [(self.low, total)] if self.low < total else []
+        else:
+            asked = _stretches(sorted(o for o in self.wanted if self.holds(o) and o < total))
+        pieces, k = [], 0
+        for low, high in asked:
+            while k < len(files) and files[k][1] + files[k][2] <= low:
+                k += 1
+            for name, first, n in files[k:]:
+                if first >= high:
+                    break
+                a, b = max(low, first), min(high, first + n)
+                pieces += [Piece(name, 2 * (at - first), 2 * (min(at + RANGE // 2, b) - at), at) for at in range(a, b, RANGE // 2)]
+        out, size = [], RANGE
+        for p in pieces:
+            if size + p.size > RANGE:
+                out.append(Range([]))
+                size = 0
+            out[-1].pieces.append(p)
+            size += p.size
         return out
 
     def read(self, part: Range) -> Iterator:
@@ -48,12 +130,18 @@ class Reader(DataSourceReader):
         import pyarrow as pa
 
         fs, _ = filesystem(self.path)
-        with fs.open_input_file(part.name) as file:
-            file.seek(part.at)
-            ids = np.frombuffer(file.read(part.size), "<u2")
-        for at in range(0, len(ids), 1 << 16):
-            own = ids[at : at + (1 << 16)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int64) + part.offset + at), pa.array(own)], ["offset", "token"])
+        wanted = None if self.wanted is None else np.array(sorted(self.wanted), np.int64)
+        for p in part.pieces:
+            with fs.open_input_file(p.name) as file:
+                file.seek(p.at)
+                ids = np.frombuffer(file.read(p.size), "<u2")
+            for at in range(0, len(ids), 1 << 16):
+                own = ids[at : at + (1 << 16)].astype(np.int32)
+                offsets = np.arange(len(own), dtype=np.int64) + p.offset + at
+                if wanted is not None:
+                    kept = np.isin(offsets, wanted)
+                    own, offsets = own[kept], offsets[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(offsets), pa.array(own)], ["offset", "token"])
 
 
 @dataclass
@@ -97,11 +185,18 @@ class Writer(DataSourceArrowWriter):
         if old and not self.overwrite:
             self.abort(messages)
             raise ValueError(f"{self.path} holds shards already")
-        for name in old:
-            fs.delete_file(name)
+        # The new generation is whole before CURRENT names it, and the old one goes only then.
+        generation = f"-{uuid.uuid4().hex}"
         for m in messages:
             if m and m.own:
-                publish(fs, m.own, f"{folder}/shard-{m.first:020d}.bin")
+                publish(fs, m.own, f"{folder}/shard-{m.first:020d}{generation}.bin")
+        with fs.open_output_stream(f"{folder}/_{generation}") as out:
+            out.write(generation.encode())
+        if fs.get_file_info(f"{folder}/{CURRENT}").is_file and fs.type_name != "local":
+            fs.delete_file(f"{folder}/{CURRENT}")  # stores that do not replace a file by moving another there
+        fs.move(f"{folder}/_{generation}", f"{folder}/{CURRENT}")
+        for name in old:
+            fs.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = filesystem(self.path)
@@ -132,4 +227,20 @@ class TokenShards(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Names the source in the session, and lets the session push filters into sources of this kind."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenShards)
+
+
+def windows(spark: SparkSession, path: str, starts: DataFrame, length: int) -> DataFrame:
+    """(i, start, x, y) of the windows at starts (i, start), read from the shards at a qualified path.
+
+    Starts are one batch, whose size is a parameter; the offsets of its windows are pushed into the scan.
+    """
+    drawn = starts.select("i", "start").collect()
+    offsets = sorted({o for r in drawn for o in range(r.start, r.start + length + 1)})
+    rows = spark.read.format("token_shard").load(path).filter(F.col("offset").isin(offsets))
+    placed = starts.select("i", "start", F.explode(F.sequence("start", F.col("start") + length)).alias("offset"))
+    tokens = F.array_sort(F.collect_list(F.struct("offset", "token")))
+    whole = F.broadcast(placed).join(rows, "offset").groupBy("i", "start").agg(F.transform(tokens, lambda t: t["token"]).cast("array<long>").alias("t"))
+    return whole.select("i", "start", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))
