@@ -31,6 +31,17 @@ def sum_before(df: DataFrame, value: str, name: str, pos: str = "pos", block: in
     return df.join(before, "_block").withColumn(name, F.col("_before") + F.coalesce(own, F.lit(0))).drop("_block", "_before")
 
 
+def blocked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(block, block_bytes_before, pos, text, first) of docs (pos, text): blocks of positions, the bytes of all texts before each,
+    and whether a document is the first of all.  Blocks come by position alone, so no text is moved."""
+    seen = docs.agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n"))
+    width = seen.select(F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / block))).alias("width"))
+    rows = docs.select(F.floor(F.col("pos") / width.scalar()).alias("block"), "pos", "text")
+    totals = rows.groupBy("block").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("t"))
+    before = totals.select("block", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("block_bytes_before"))
+    return rows.join(before, "block").select("block", "block_bytes_before", "pos", "text", F.coalesce(F.col("pos") == seen.select("low").scalar(), F.lit(False)).alias("first"))
+
+
 def byte_budget_prefix(docs: DataFrame, budget: int) -> DataFrame:
     """(pos, n_bytes, bytes_before) of the documents up to the one that reaches the budget; the first always."""
     sized = docs.select("pos", F.octet_length("text").cast("long").alias("n_bytes"))

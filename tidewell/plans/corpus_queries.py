@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import text
+from tidewell.functions import tables, text
 from tidewell.operators import bpe, corpus
 from tidewell.sources import shards, storage
+from tidewell.streaming import corpus_stream
 
 from . import fixtures as fx
 from .registry import query
@@ -48,6 +49,30 @@ def byte_budget_prefix(spark, sf_dir):
     return corpus.byte_budget_prefix(fx.docs(spark, sf_dir), BUDGET)
 
 
+WITHIN = f"""SELECT doc_id AS pos, sha256(text) AS text_sha256, n_bytes, bytes_before FROM (SELECT doc_id, text, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY doc_id {_BEFORE}), 0) AS BIGINT) AS bytes_before FROM documents)
+  WHERE bytes_before < {BUDGET} OR doc_id = (SELECT min(doc_id) FROM documents)"""
+
+
+def _told(rows):
+    return rows.select("pos", F.sha2("text", 256).alias("text_sha256"), "n_bytes", "bytes_before")
+
+
+@query("text_within", WITHIN)
+def text_within(spark, sf_dir):
+    """The documents of a byte budget by the SQL table function."""
+    return _told(tables.text_within(fx.docs(spark, sf_dir), BUDGET))
+
+
+@query("stream_within", WITHIN)
+def stream_within(spark, sf_dir):
+    """The documents of a byte budget from the streamed corpus, in several micro-batches."""
+    path = scratch(spark)
+    corpus_stream.write(fx.docs(spark, sf_dir), f"{path}/corpus", BUDGET // 8)
+    stream = corpus_stream.read(spark, f"{path}/corpus", BUDGET, BUDGET // 3, f"{path}/progress")
+    corpus_stream.ingest(stream, f"{path}/out", f"{path}/checkpoint")
+    return _told(spark.read.schema(corpus_stream.SCHEMA).parquet(f"{path}/out"))
+
+
 @query("flush_chunks", f'WITH RECURSIVE {CHUNKS} SELECT pos, n_tokens, chunk_id, "full" FROM chunked')
 def flush_chunks(spark, sf_dir):
     return _chunked(spark, sf_dir)
