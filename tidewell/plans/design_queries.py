@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
-from tidewell.operators import gate, selection, validator
+from tidewell.operators import gate, hygiene, mixture, selection, validator
 
 from . import fixtures as fx
 from .registry import query
@@ -84,6 +84,53 @@ def phase_mix(spark, sf_dir):
     return selection.held_back(rows, F.col("quality") == 1, 0.15, F.sha2(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")), 256)).select("doc_id", "phase")
 
 
+#: Hundredths of the documents' and of the conversations' tokens.
+MAIN, ANNEAL, ANNEAL_TASKS, SFT = 55, 12, 20, 60
+
+_PHASES = f"""WITH d AS (SELECT 'doc' AS kind, doc_id AS id, CAST(strlen(text) + 1 AS BIGINT) AS n_tokens, CASE quality WHEN 1 THEN '0' WHEN 0 THEN '1' ELSE '2' END AS best FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+  t AS (SELECT 'task' AS kind, conv_id AS id, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_tokens FROM conversations GROUP BY conv_id),
+  b AS (SELECT (SELECT CAST(sum(n_tokens) AS BIGINT) FROM d) AS docs, (SELECT CAST(sum(n_tokens) AS BIGINT) FROM t) AS tasks),
+  a AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY best || sha256('anneal:doc:' || id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < docs * {ANNEAL} // 100 AS taken FROM d, b),
+  m AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY sha256('main:doc:' || id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < docs * {MAIN} // 100 AS taken_main FROM a WHERE NOT taken),
+  x AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY sha256('anneal:task:' || id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < tasks * {ANNEAL_TASKS} // 100 AS taken FROM t, b),
+  y AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY sha256('sft:task:' || id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < tasks * {SFT} // 100 AS taken_sft FROM x WHERE NOT taken)
+  SELECT kind, id, n_tokens, 'anneal' AS phase FROM a WHERE taken UNION ALL SELECT kind, id, n_tokens, CASE WHEN taken_main THEN 'main' ELSE 'none' END FROM m
+  UNION ALL SELECT kind, id, n_tokens, 'anneal' FROM x WHERE taken UNION ALL SELECT kind, id, n_tokens, CASE WHEN taken_sft THEN 'sft' ELSE 'none' END FROM y"""
+
+
+@query("three_phase_mix", _PHASES)
+def three_phase_mix(spark, sf_dir):
+    """Documents and conversations dealt to three phases by token budgets."""
+    quality = fx.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    size = (F.octet_length("text") + 1).cast("long")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", size.alias("n_tokens")).join(quality, "doc_id", "left").withColumnRenamed("doc_id", "id")
+    tasks = fx.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sum(size).alias("n_tokens"))
+    n_docs, n_tasks = (x.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] for x in (docs, tasks))
+    return mixture.three_phases(docs, tasks, n_docs * MAIN // 100, n_docs * ANNEAL // 100, n_tasks * ANNEAL_TASKS // 100, n_tasks * SFT // 100)
+
+
+def _winnowed(words: str, key: str) -> str:
+    """SQL of the fingerprints of a table's words, each once."""
+    g, w = hygiene.GRAM, hygiene.WINDOW
+    return f"""SELECT DISTINCT {key}, f FROM (SELECT {key}, unnest(list_transform(range(1, len(g) - {w - 2}), lambda i: list_min(g[i:i + {w - 1}]))) AS f
+      FROM (SELECT {key}, list_transform(range(1, len(w) - {g - 2}), lambda i: substr(md5(array_to_string(w[i:i + {g - 1}], ' ')), 1, 16)) AS g FROM {words} WHERE len(w) >= {g + w - 1}))"""
+
+
+_WORDS = fx.sql_words(fx.sql_normal("text"))
+_SHORT = hygiene.GRAM + hygiene.WINDOW - 2
+
+
+@query("eval_containment", f"""WITH dw AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents), jw AS MATERIALIZED (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  df AS MATERIALIZED ({_winnowed("dw", "doc_id")}), jf AS MATERIALIZED ({_winnowed("jw", "item_id")}), n AS (SELECT item_id, count(*) AS n FROM jf GROUP BY 1),
+  long AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(max(n) AS INTEGER) AS n_item FROM df JOIN jf USING (f) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 10 * count(*) >= {hygiene.LEAST_TENTHS} * max(n)),
+  s AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS t FROM jw WHERE len(w) BETWEEN 1 AND {_SHORT}),
+  g AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw JOIN (SELECT DISTINCT n FROM s) ON len(w) >= n))
+  SELECT * FROM long UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1 FROM g JOIN s USING (n, t)""")
+def eval_containment(spark, sf_dir):
+    """Benchmark items that stand inside longer documents."""
+    return hygiene.contained(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), fx.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 @query("cost_per_verified", fx.gate_sql("SELECT CAST(sum(length(output)) AS BIGINT) AS cost, count(*) FILTER (WHERE v0_pass AND answered) AS verified, round(sum(length(output))::DOUBLE / nullif(count(*) FILTER (WHERE v0_pass AND answered), 0), 6) AS cost_each FROM flags"))
 def cost_per_verified(spark, sf_dir):
     rows = validator.checked(gate.outputs(fx.examples(spark, sf_dir), preds=fx.predictions(spark, sf_dir)))

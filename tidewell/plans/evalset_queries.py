@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import evalset
+from tidewell.operators import evalset, frozen
 from tidewell.sources import jsonl
 
 from . import fixtures as fx
@@ -81,3 +81,18 @@ def jsonl_roundtrip(spark, sf_dir):
     """Every example written as a line of JSON and parsed again under the declared schema."""
     lines = fx.examples(spark, sf_dir).select(evalset.json_line().alias("value"))
     return jsonl.parse(lines, jsonl.EXAMPLE).select("id", "question", "document", F.array_join("answers", "|").alias("answers"))
+
+
+#: Levels that the SQL writes out above the leaves: FAN to that power leaves at most.
+_LEVELS = 4
+_TREE = ", ".join(
+    f"l{k + 1} AS (SELECT k // {frozen.FAN} AS k, CASE WHEN (SELECT count(*) FROM l{k}) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h FROM l{k} GROUP BY 1)" for k in range(_LEVELS)
+)
+
+
+@query("eval_frozen_root", f"""WITH {fx.EXAMPLES}, lines AS (SELECT row_number() OVER (ORDER BY CAST(id AS BIGINT)) - 1 AS k, sha256({_LINE}) AS h FROM examples),
+  l0 AS (SELECT k // {frozen.LEAF} AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM (SELECT k, h FROM lines) GROUP BY 1), {_TREE} SELECT (SELECT count(*) FROM lines) AS n, h AS root FROM l{_LEVELS}""")
+def eval_frozen_root(spark, sf_dir):
+    """The one hash that pins all examples, whatever files they are in."""
+    lines = fx.examples(spark, sf_dir).select(F.col("id").cast("long").alias("pos"), evalset.json_line().alias("line"))
+    return frozen.root(lines)
