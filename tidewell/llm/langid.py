@@ -54,8 +54,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
     size = 0
     for n, text in enumerate(texts):
         if len(text) > TOGETHER:
-            for at in range(0, len(text), TOGETHER):
-                out[n] += _counted([text[at : at + TOGETHER]])[0]
+            out[n] = _counted_long(text)
             continue
         if size + len(text) > TOGETHER:
             out[group] = _counted([texts[k] for k in group])
@@ -87,6 +86,24 @@ def _counted(texts: list[bytes]) -> np.ndarray:
     return out.reshape(len(texts), FEATURES)
 
 
+def _counted_long(text: bytes) -> np.ndarray:
+    """The counts of _counted, of one text, whose n-grams are made in stretches that overlap and counted where they begin."""
+    raw = np.concatenate([[32], _MAP[np.frombuffer(text, np.uint8)], [32]]).astype(np.uint8)
+    keep = np.ones(len(raw), bool)
+    keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
+    raw = raw[keep]
+    out = np.zeros(FEATURES, np.int64)
+    shift = np.uint32(32 - FEATURE_BITS)
+    for at in range(0, len(raw), TOGETHER):
+        for n in range(1, LONGEST + 1):
+            whole = raw[at : at + TOGETHER + n - 1].astype(np.uint32)
+            gram = np.zeros(max(0, len(whole) - n + 1), np.uint32)
+            for k in range(n):
+                gram = (gram << np.uint32(8)) | whole[k : k + len(gram)]
+            out += np.bincount(((gram ^ (gram >> np.uint32(15))) * _MULTIPLIERS[n - 1]) >> shift, minlength=FEATURES)
+    return out
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
@@ -134,12 +151,13 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, k, text) of at most sample documents a language that are not held out and not blank; k orders them."""
     told = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\S")).filter(~held_out(F.col("doc_id")))
     # A bound on the hash, with room to spare, leaves few rows of each language to be moved and ranked.  The sizes
-    # are one number for each language that the model will hold.
-    sizes = {r.lang: r.n for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # are one number for each language that the model will hold, of different rows, so that rows of one id or text count once.
+    drawn = told.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(1_000_000_000)).alias("_h"))
+    sizes = {r.lang: r.n for r in drawn.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     bound = F.lit(0.0)
     for lang, n in sizes.items():
         bound = F.when(F.col("lang") == lang, 1e9 * (2 * sample + 200) / n).otherwise(bound)
-    near = told.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000_000)).alias("_h")).filter(F.col("_h") < bound)
+    near = drawn.filter(F.col("_h") < bound).dropDuplicates(["lang", "_h", "doc_id", "text"])
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text")))
     return ranked.filter(F.col("k") <= sample).select("lang", "k", "text")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every known sentence holds one of these, as normalised.
-CUES = ("licen", "released under", "permission", "redistribut", "warranty", "public domain", "copyright", "endorse or promote", "this software is provided", "this software for any purpose", "arising from the use")
+CUES = ("licen", "released under", "permission", "redistribut", "warranty", "public domain", "publicdomain", "advertising materials", "copyright", "endorse or promote", "this software is provided", "this software for any purpose", "arising from the use")
 
 #: Known sentences, normalised, by identifier.
 SENTENCES: dict[str, str] = {
@@ -61,6 +61,9 @@ SENTENCES: dict[str, str] = {
     "bsd_licensed": "licensed under the bsd license",
     "mpl_ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "cc0": "public domain dedication cc0 1 0 universal",
+    "bsd_advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd_advertising_old": "all advertising materials mentioning features or use of this software must display the following acknowledgment",
     "public_domain": "this work is in the public domain",
     "reserved_no_license": "no license express or implied is granted",
 }
@@ -77,7 +80,10 @@ VERSIONED: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
 )
 CREATIVE_COMMONS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 CREATIVE_COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-SPDX = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense")
+SPDX = (
+    "MIT", "MIT-0", "ISC", "0BSD", "Zlib", "BSL-1.0", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "EPL-1.0", "EPL-2.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "Unlicense",
+    "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
 
 #: Ordered rules of more than one sentence, and single sentences of SENTENCES that name a licence.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -91,6 +97,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc_grant",)),
     ("Apache-2.0", ("apache_ref 2.0", "apache_may_not", "apache_unless", "apache_see")),
     ("Apache-2.0", ("apache_unless", "apache_see")),
+    *(("BSD-4-Clause", ("bsd_redist", "bsd_source", "bsd_binary", x, *end)) for x in ("bsd_advertising", "bsd_advertising_old") for end in (("bsd_names", "bsd_disclaimer"), ("bsd_names",), ())),
     ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names", "bsd_disclaimer")),
     ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names_old", "bsd_disclaimer")),
     ("BSD-3-Clause", ("bsd_redist", "bsd_source", "bsd_binary", "bsd_names")),
@@ -117,6 +124,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("mpl_ref",)),
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public_domain",)),
+    ("CC0-1.0", ("cc0",)),
 )
 
 
@@ -149,9 +157,34 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
 #: Notices of the GNU family: name in the notice, licence, versions.
 GNU = (("general", "GPL", ("1", "2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("library general", "LGPL", ("2",)), ("affero general", "AGPL", ("3",)))
 #: Comment marks where a line starts or ends, and stops that end no sentence ("v. 2", and that of the GNU notice) with
-#: what stands for them; $1 and $2 are what was met.
+#: what stands for them; $1 and $2 are what was met.  After these stand forms of which a part is free: SPDX lines, of expressions too (_OPERATORS at most), the
+#: clause on names in BSD licences, whoever holds them, and Creative Commons by name and by address.
 MARKS = r"^[ \t]*(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+)(?:[ \t\r]|$)|[ \t]*(?:\*+/|-->)[ \t]*\r?$"
-INNER_STOPS = ((r"(?i)(^|[^\p{L}\p{N}])v\.[ \t\n\x0B\f\r]*([0-9])", "$1v $2"), (r"(?i)(Free[ \t\n\x0B\f\r]+Software[ \t\n\x0B\f\r]+Foundation)[ \t\n\x0B\f\r]*[;:][ \t\n\x0B\f\r]+", "$1, "))
+_INNER = ((r"(?i)(^|[^\p{L}\p{N}])v\.[ \t\n\x0B\f\r]*([0-9])", "$1v $2"), (r"(?i)(Free[ \t\n\x0B\f\r]+Software[ \t\n\x0B\f\r]+Foundation)[ \t\n\x0B\f\r]*[;:][ \t\n\x0B\f\r]+", "$1, "))
+
+_OPERATORS = 6
+_SPDX_LINE = r"SPDX-License-Identifier[ \t]*:[ \t]*"
+_SPDX_PUT = "SPDX-License-Identifier: "
+_NAMES = r"(?i)(?:neither\s+)?the\s+names?\s+of\s+[\s\S]{1,300}?endorse\s+or\s+promote\s+products\s+derived\s+from\s+this\s+software\s+without\s+(?:specific\s+)?prior\s+written\s+permission"
+_CC_NAMES = (
+    ("BY-NC-SA", r"Attribution[- ]+Non-?Commercial[- ]+Share-?Alike"),
+    ("BY-NC-ND", r"Attribution[- ]+Non-?Commercial[- ]+No-?Deriv(?:ative)?s(?: Works)?"),
+    ("BY-NC", r"Attribution[- ]+Non-?Commercial"),
+    ("BY-SA", r"Attribution[- ]+Share-?Alike"),
+    ("BY-ND", r"Attribution[- ]+No-?Deriv(?:ative)?s(?: Works)?"),
+    ("BY", r"Attribution"),
+)
+INNER_STOPS = (
+    *_INNER,
+    (r"(?m)^[ \t]*\(?[0-9a-d]\)[ \t]+", ""),
+    *(((rf"(?i)({_SPDX_LINE}[^\n]*?)[ \t)]+(?:OR|AND)[ \t(]+", f"$1\n{_SPDX_PUT}"),) * _OPERATORS),
+    (rf"(?i){_SPDX_LINE}[( \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)", "\n\nSPDX-License-Identifier $1\n\n"),
+    (_NAMES, f"\n\n{SENTENCES['bsd_names']}.\n\n"),
+    *((rf"(?i)Creative\s+Commons\s+{name}\s+(?:version\s+)?v?([1-4]\.[05])(?:\s+\p{{L}}+){{0,4}}?\s+Licen[sc]e", f"\n\nlicensed under CC {kind} $1\n\n") for kind, name in _CC_NAMES),
+    (r"(?i)https?://creativecommons\.org/licenses/(by(?:-nc)?(?:-nd|-sa)?)/([1-4]\.[05])[^\s>)]*", "\n\nlicensed under CC $1 $2\n\n"),
+    (r"(?i)https?://creativecommons\.org/publicdomain/zero/1\.0[^\s>)]*", f"\n\n{SENTENCES['cc0']}\n\n"),
+    (r"(?i)CC0 1\.0 Universal", f"\n\n{SENTENCES['cc0']}\n\n"),
+)
 
 
 def notices() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:

@@ -170,12 +170,14 @@ def fit_slots(rows: list[np.ndarray], labels: list[int]) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> DataFrame:
-    """(place, doc_id, text, label) of the rows of at most sample labelled documents that are not held out, by the hash
-    of their id."""
+    """(place, doc_id, text, label) of at most sample labelled documents that are not held out, by the hash of their id: those
+    that docs has.  Of rows that repeat a doc_id one is learnt from, that whose text has the least hash."""
     told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
     place = F.xxhash64("doc_id", F.lit(11))
-    chosen = told.filter(~held_out(F.col("doc_id"))).orderBy(place, "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(place.alias("place"), "doc_id", "text", "label")
+    chosen = told.filter(~held_out(F.col("doc_id"))).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(place, "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    each = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    return each.select(place.alias("place"), "doc_id", F.col("r.text").alias("text"), "label")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
