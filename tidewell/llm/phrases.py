@@ -41,9 +41,11 @@ CODED = 1 << 16
 SHORT_CODES = 1 << 10
 LONGEST_CODED = 64
 MOST_HOT = 1 << 14
-STRETCH = 8_000_000
+#: Rows, and bytes of text, that are cut into words at once.
+ROWS_TOGETHER = 1024
+STRETCH = 4_000_000
 #: Different words that a task counts before it passes them on.
-COUNTED_TOGETHER = 400_000
+COUNTED_TOGETHER = 250_000
 #: Suffixes of a task, and parts into which a language's last sort is dealt.
 SUFFIXES_A_TASK = 2_500_000
 RANKED_PARTS = 32
@@ -90,10 +92,12 @@ def _by_language(batches: Iterator) -> Iterator[tuple[str, list[bytes], int]]:
     import pyarrow as pa
 
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()
-        for lang in dict.fromkeys(langs):
-            for words, own in _stretches([t for t, x in zip(texts, langs, strict=True) if x == lang]):
-                yield lang, words, own
+        for at in range(0, batch.num_rows, ROWS_TOGETHER):
+            part = batch.slice(at, ROWS_TOGETHER)
+            langs, texts = part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()
+            for lang in dict.fromkeys(langs):
+                for words, own in _stretches([t for t, x in zip(texts, langs, strict=True) if x == lang]):
+                    yield lang, words, own
 
 
 def _texts(docs: DataFrame) -> DataFrame:
