@@ -2,8 +2,8 @@
 
 Every word position starts a suffix of at most MOST words within its piece.  Suffixes are counted where they are
 read, shuffled by language and first word, and sorted in reverse; one stack then counts all their prefixes, which are
-all the phrases.  First words with more suffixes than a task's fair share are dealt further by the rest
-of the suffix, and the counts of their phrases are summed afterwards.  Words travel as codes: the CODED most frequent ones at most (a
+all the phrases.  First words with more suffixes than a task takes are dealt further by the rest of
+the suffix, and the counts of their phrases are summed afterwards.  Words travel as codes: the CODED most frequent ones at most (a
 table that is sent to all tasks) as two or three bytes, others as they are.  No code begins another, so suffixes that
 share words stand together in the order of their bytes.
 
@@ -352,15 +352,15 @@ def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
     return sorted_keys.mapInArrow(run, "lang string, phrase binary, n long, whole boolean")
 
 
-def phrase_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
+def phrase_counts(docs: DataFrame, counts: DataFrame, a_task: int = SUFFIXES_A_TASK) -> DataFrame:
     """(lang, phrase, words, f): the phrases of at most MOST words that occur LEAST_COUNT times or more, of the word
     counts of the same documents; words is their number."""
     spark = docs.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = max(parallelism(spark), total // SUFFIXES_A_TASK)
+    tasks = max(parallelism(spark), total // a_task)
     # First words that would fill a task by themselves: MOST_HOT at most.
-    fair = max(LEAST_COUNT, total // min(tasks, MOST_HOT))
-    hot = spark.sparkContext.broadcast({(r.lang, bytes(r.word)): 2 * (r.n * tasks // total + 1) for r in counts.filter(F.col("n") > fair).collect()})
+    fair = max(a_task, total // MOST_HOT)
+    hot = spark.sparkContext.broadcast({(r.lang, bytes(r.word)): 2 * (r.n // fair + 1) for r in counts.filter(F.col("n") > fair).collect()})
     codes = spark.sparkContext.broadcast(Codes(_frequent(counts)))
     dealt = suffixes(docs, codes, hot).repartition(tasks, "bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
     found = written(_prefixes(dealt, codes, hot), "prefixes", "zstd")
@@ -401,11 +401,11 @@ def _inside(phrases: DataFrame) -> DataFrame:
     return longer.select("lang", "f", F.explode(F.expr(f"array_distinct({parts})")).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
 
 
-def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, a_task: int = SUFFIXES_A_TASK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases."""
     counts = written(word_counts(docs), "words", "zstd")
     n = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = phrase_counts(docs, counts)
+    phrases = phrase_counts(docs, counts, a_task)
     several = phrases.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     apart = several.join(_inside(phrases), ["lang", "phrase"], "left").filter(F.coalesce(F.col("longest") * 100 < F.col("a") * INSIDE_PERCENT, F.lit(True)))
     kept = scored(phrases, written(apart.drop("longest"), "apart"))
