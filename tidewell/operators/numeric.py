@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -81,21 +80,77 @@ def embed(tokens: DataFrame, table: DataFrame, positions: DataFrame) -> DataFram
     return tokens.join(by_token, "token").join(by_pos, "pos").select("seq", "pos", add(F.col("tv"), F.col("pv")).alias("v"))
 
 
-def causal_attention(rows: DataFrame, width: int) -> DataFrame:
-    """(seq, pos, out) of rows (seq, pos, q, k, v), v of width numbers: each position sees itself and those before it
-    in its sequence.
+#: Positions a tile, and tiles a strip of queries.
+TILE, STRIP = 64, 16
 
-    The pairs of a sequence are its square by nature.  They are summed dimension by dimension in one pass by the
-    key that their softmax was taken over, so nothing is exploded or gathered.
+
+def split_heads(vector: Column, heads: int) -> Column:
+    """The vector cut into so many heads of one width."""
+    width = (F.size(vector) / heads).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.slice(vector, h * width + 1, width))
+
+
+def _partial(query: Column, keys: Column) -> Column:
+    """(m, s, o) of a query (pos, q) over a tile of keys (pos, k, v): the largest score, the sum of exp(score - m), and
+    the sum of exp(score - m) times v; null if the query sees no key of the tile."""
+    seen = F.filter(keys, lambda k: k["pos"] <= query["pos"])
+    scored = F.transform(seen, lambda k: F.struct((dot(query["q"], k["k"]) / F.sqrt(F.size(query["q"]).cast("double"))).alias("x"), k["v"].alias("v")))
+    # Arrays of one hold what later functions read for every element, so that it is computed once.
+    topped = F.transform(F.array(scored), lambda r: F.struct(r.alias("r"), F.array_max(F.transform(r, lambda z: z["x"])).alias("m")))
+    weighed = F.transform(topped, lambda t: F.struct(t["m"].alias("m"), F.transform(t["r"], lambda z: F.struct(F.exp(z["x"] - t["m"]).alias("e"), z["v"].alias("v"))).alias("r")))
+    zero = F.transform(F.get(keys, F.lit(0))["v"], lambda x: F.lit(0.0))
+    summed = F.transform(
+        weighed,
+        lambda t: F.struct(
+            t["m"].alias("m"),
+            F.aggregate(t["r"], F.lit(0.0), lambda s, z: s + z["e"]).alias("s"),
+            F.aggregate(t["r"], zero, lambda o, z: F.zip_with(o, z["v"], lambda a, x: a + z["e"] * x)).alias("o"),
+        ),
+    )
+    return F.when(F.exists(keys, lambda k: k["pos"] <= query["pos"]), F.get(summed, F.lit(0)))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Two partial results of one query as one; either may be null.  The order of merging does not matter."""
+    m = F.greatest(a["m"], b["m"])
+    both = F.transform(
+        F.array(F.struct(F.exp(a["m"] - m).alias("fa"), F.exp(b["m"] - m).alias("fb"))),
+        lambda f: F.struct(m.alias("m"), (a["s"] * f["fa"] + b["s"] * f["fb"]).alias("s"), F.zip_with(a["o"], b["o"], lambda x, y: x * f["fa"] + y * f["fb"]).alias("o")),
+    )
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.get(both, F.lit(0)))
+
+
+def grouped_attention(rows: DataFrame, tile: int = TILE, strip: int = STRIP) -> DataFrame:
+    """(seq, pos, head, out) of rows (seq, pos, q, k, v): causal attention by tiles.
+
+    q has a vector a query head, k and v have a vector a key head; the query heads share the key heads in groups of
+    neighbours.  Positions are cut into tiles; a tile of queries meets a tile of keys as one row, which gives each query
+    a running maximum, a sum and a vector, and these are merged.  No row stands for a pair of positions.  A strip of
+    query tiles is the key of the join, so a long sequence is shared out among tasks, its keys copied once a strip.
+
+    Rows without seq, pos or vectors are left out; rows that repeat a position see one another and have a result each.
     """
-    queries = rows.select("seq", F.col("pos").alias("qp"), "q")
-    keys = rows.select("seq", F.col("pos").alias("kp"), "k", "v")
-    met = queries.join(keys, "seq").filter("kp <= qp")
-    scored = met.select("seq", "qp", "v", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double"))).alias("s"))
-    w = Window.partitionBy("seq", "qp")
-    weighted = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
-    sums = [F.sum(F.col("e") * F.get("v", F.lit(d))) / F.sum("e") for d in range(width)]
-    return weighted.groupBy("seq", "qp").agg(F.array(*sums).alias("out")).select("seq", F.col("qp").alias("pos"), "out")
+    held = rows.filter("seq IS NOT NULL AND pos IS NOT NULL AND q IS NOT NULL AND k IS NOT NULL AND v IS NOT NULL").withColumn("t", F.floor(F.col("pos") / tile))
+    group = (F.size("q") / F.size("k")).cast("int")
+    queries = held.select("seq", "t", "pos", group.alias("g"), F.posexplode("q").alias("head", "q"))
+    queries = queries.groupBy("seq", "t", "head", F.floor(F.col("head") / F.col("g")).cast("int").alias("kv")).agg(F.array_sort(F.collect_list(F.struct("pos", "q"))).alias("qs"))
+    queries = queries.withColumn("strip", F.floor(F.col("t") / strip))
+    keys = held.select("seq", "t", "pos", F.posexplode(F.arrays_zip("k", "v")).alias("kv", "z"))
+    keys = keys.groupBy("seq", "t", "kv").agg(F.collect_list(F.struct("pos", "z.k", "z.v")).alias("ks"))
+    last = held.groupBy("seq").agg(F.floor(F.max("t") / strip).alias("last"))
+    sent = keys.join(last, "seq").select("seq", F.col("t").alias("kt"), "kv", "ks", F.explode(F.sequence(F.floor(F.col("t") / strip), F.col("last"))).alias("strip"))
+    met = queries.join(sent, ["seq", "strip", "kv"]).filter("kt <= t")
+    parts = met.select("seq", "t", "head", F.transform("qs", lambda q: q["pos"]).alias("ps"), "kt", F.transform("qs", lambda q: _partial(q, F.col("ks"))).alias("r"))
+    # A tile of queries has one row a tile of keys, in the same order of queries.
+    gathered = parts.groupBy("seq", "t", "head", "ps").agg(F.collect_list("r").alias("rs"))
+    whole = F.aggregate(F.slice("rs", F.lit(2), F.size("rs")), F.get("rs", F.lit(0)), lambda a, b: F.zip_with(a, b, _merged))
+    each = gathered.select("seq", "head", F.explode(F.arrays_zip(F.col("ps").alias("pos"), whole.alias("x"))).alias("z"))
+    return each.select("seq", F.col("z.pos").alias("pos"), "head", F.transform(F.col("z.x.o"), lambda o: o / F.col("z.x.s")).alias("out"))
+
+
+def causal_attention(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """(seq, pos, out) of rows (seq, pos, q, k, v), one vector each: each position sees itself and those before it."""
+    return grouped_attention(rows.select("seq", "pos", F.array("q").alias("q"), F.array("k").alias("k"), F.array("v").alias("v")), tile).drop("head")
 
 
 #: Rows of the tied table that one block of it holds.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
-from tidewell.operators import gate, hygiene, mixture, selection, validator
+from tidewell.operators import entailment, gate, hygiene, mixture, selection, validator
 
 from . import fixtures as fx
 from .registry import query
@@ -131,6 +131,27 @@ def eval_containment(spark, sf_dir):
     return hygiene.contained(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), fx.table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+#: A claim is a first sentence without every fifth word; its evidence is its own text, or for odd ids the text after next.
+_CLAIM = f"list_transform(list_filter(list_zip({fx.sql_words("split_part(text, '. ', 1)")}, range(len({fx.sql_words("split_part(text, '. ', 1)")}))), lambda z: z[2] % 5 <> 4), lambda z: z[1])"
+
+
+@query("entailment", f"""WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w, {fx.sql_words(fx.sql_normal(f"array_to_string({_CLAIM}, ' ')"))} AS c FROM documents),
+  n AS (SELECT count(*) AS n FROM w), f AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM w) GROUP BY 1),
+  r AS (SELECT a.doc_id AS id, a.c, b.w AS e, len(a.c) AS m, greatest({entailment.BAND}, CAST(ceil(len(a.c) / 4) AS BIGINT)) AS s FROM w a JOIN w b ON b.doc_id = a.doc_id + CASE WHEN a.doc_id % 2 = 1 THEN 2 ELSE 0 END),
+  x AS (SELECT id, word, need, ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE + 1) AS weight FROM (SELECT id, word, count(*) AS need FROM (SELECT id, unnest(c) AS word FROM r) GROUP BY 1, 2) LEFT JOIN f USING (word), n),
+  j AS (SELECT id, m, s, unnest(e) AS word, unnest(range(len(e))) AS j FROM r),
+  k AS (SELECT id, word, k, count(*) AS n FROM (SELECT id, word, unnest(range(greatest(0, CAST(floor((j - m) / s) AS BIGINT)), j // s + 1)) AS k FROM j JOIN x USING (id, word)) GROUP BY 1, 2, 3),
+  c AS (SELECT id, max(c) AS c FROM (SELECT id, k, sum(least(n, need) * weight) AS c FROM k JOIN x USING (id, word) GROUP BY 1, 2) GROUP BY 1), t AS (SELECT id, sum(need * weight) AS t FROM x GROUP BY 1),
+  z AS (SELECT r.id, round(CASE WHEN t IS NOT NULL THEN coalesce(c.c, 0) / t END, 6) AS score FROM r LEFT JOIN t USING (id) LEFT JOIN c USING (id))
+  SELECT id, score, coalesce(score >= {entailment.LEAST}::DOUBLE, false) AS entailed FROM z""")
+def entailment_query(spark, sf_dir):
+    """Claims shortened from first sentences, half of them beside evidence of another document."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    bare = F.filter(F.split(F.substring_index("text", ". ", 1), " "), lambda w: w != "")
+    claims = d.select(F.col("doc_id").alias("id"), F.array_join(F.filter(bare, lambda w, i: i % 5 != 4), " ").alias("claim"), (F.col("doc_id") + F.when(F.col("doc_id") % 2 == 1, 2).otherwise(0)).alias("doc_id"))
+    return entailment.entailed(claims.join(d.select("doc_id", F.col("text").alias("evidence")), "doc_id"), d)
+
+
 @query("cost_per_verified", fx.gate_sql("SELECT CAST(sum(length(output)) AS BIGINT) AS cost, count(*) FILTER (WHERE v0_pass AND answered) AS verified, round(sum(length(output))::DOUBLE / nullif(count(*) FILTER (WHERE v0_pass AND answered), 0), 6) AS cost_each FROM flags"))
 def cost_per_verified(spark, sf_dir):
     rows = validator.checked(gate.outputs(fx.examples(spark, sf_dir), preds=fx.predictions(spark, sf_dir)))

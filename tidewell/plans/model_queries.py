@@ -173,10 +173,6 @@ _EMBED = f"""{V}, turns AS (SELECT conv_id AS seq, turn AS pos, length(text) % {
 em AS (SELECT seq, pos, list_transform(list_zip(a.v, b.v), lambda z: z[1] + z[2]) AS v FROM turns JOIN v a ON a.id = token JOIN v b ON b.id = pos)"""
 
 
-def _width(spark, sf_dir) -> int:
-    return vectors(spark, sf_dir).agg(F.max(F.size("v"))).first()[0] or 0
-
-
 def _embedded(spark, sf_dir):
     table = vectors(spark, sf_dir).select("id", "v")
     n = fx.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
@@ -195,7 +191,25 @@ def embedding_lookup(spark, sf_dir):
   SELECT seq, qp AS pos, CAST(i - 1 AS INTEGER) AS d, round(sum(p * v[i]), 4) + 0.0 AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p) GROUP BY 1, 2, 3""")
 def causal_attention(spark, sf_dir):
     rows = _embedded(spark, sf_dir).select("seq", "pos", F.col("v").alias("q"), F.col("v").alias("k"), "v")
-    return numeric.causal_attention(rows, _width(spark, sf_dir)).select("seq", "pos", F.posexplode("out").alias("d", "x")).withColumn("x", _rounded(F.col("x"), 4))
+    return numeric.causal_attention(rows).select("seq", "pos", F.posexplode("out").alias("d", "x")).withColumn("x", _rounded(F.col("x"), 4))
+
+
+#: Query heads and key heads.
+HEADS, SHARED = 4, 2
+_UNIT = "list_transform({0}, lambda z: z / sqrt(list_sum(list_transform({0}, lambda y: y * y)) / len({0}) + 1e-5::DOUBLE))"
+
+
+@query("grouped_query_attention", f"""WITH {_EMBED}, h AS (SELECT seq, pos, head, v[head * (len(v) // {HEADS}) + 1:(head + 1) * (len(v) // {HEADS})] AS x FROM em, (SELECT unnest(range({HEADS})) AS head)),
+  q AS (SELECT seq, pos, head, {_UNIT.format('x')} AS q FROM h), k AS (SELECT a.seq, a.pos, a.head, {_UNIT.format('a.x')} AS k, b.x AS v FROM h a JOIN h b ON a.seq = b.seq AND a.pos = b.pos AND b.head = a.head + {HEADS - SHARED} WHERE a.head < {SHARED}),
+  s AS (SELECT q.seq, q.pos, q.head, k.v, list_dot_product(q.q, k.k) / sqrt(len(q.q)::DOUBLE) AS s FROM q JOIN k ON q.seq = k.seq AND k.pos <= q.pos AND k.head = q.head // {HEADS // SHARED}),
+  e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos, head)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, pos, head) AS p FROM e)
+  SELECT seq, pos, CAST(head AS INTEGER) AS head, CAST(i - 1 AS INTEGER) AS d, round(sum(p * v[i]), 4) + 0.0 AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p) GROUP BY 1, 2, 3, 4""")
+def grouped_query_attention(spark, sf_dir):
+    """Four query heads of the turns' vectors over two shared key heads, queries and keys of unit mean square."""
+    heads = _embedded(spark, sf_dir).select("seq", "pos", numeric.split_heads(F.col("v"), HEADS).alias("h"))
+    unit = F.transform("h", lambda h: numeric.rms_norm(h))
+    rows = heads.select("seq", "pos", unit.alias("q"), F.slice(unit, 1, SHARED).alias("k"), F.slice("h", HEADS - SHARED + 1, SHARED).alias("v"))
+    return numeric.grouped_attention(rows).select("seq", "pos", "head", F.posexplode("out").alias("d", "x")).withColumn("x", _rounded(F.col("x"), 4))
 
 
 @query("lm_head_logits", f"""WITH {V}, h AS (SELECT label AS seq, list(m ORDER BY i) AS h FROM (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM v) GROUP BY 1, 2) GROUP BY 1)
