@@ -27,7 +27,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("110111", "1101011")
@@ -40,6 +40,8 @@ REPEATED_WITHIN = 8
 #: it drops fewer positions and the join gets more, with the same result.
 BITS_A_SEED = 512
 TABLE_BITS = (22, 27)
+#: A seed of more items, or met by more documents, is shared out: so many of each meet under one key of the join.
+MET_ITEMS, MET_HITS = 64, 4096
 #: Letters of scripts that are written without blanks (Thai, Lao, Burmese, Khmer, kana, Han).
 UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2FFFF}]"
 SHORTEST = min(map(len, MASKS))
@@ -124,6 +126,23 @@ def _islands() -> str:
     return f"flatten(transform({ended}, y -> transform(sequence(0, size(y.f) - 1), m -> {island})))"
 
 
+def _shared_out(hits: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """hits (row, key, pos) and seeds (key, item, item_pos) with the columns i and j, on which, and on key, they join.
+
+    The items of a seed are dealt into parts i of MET_ITEMS and its hits into parts j of MET_HITS, by hash; each hit is
+    sent to all i and each item to all j.  Ordinary seeds have one part of each.
+    """
+    n_hits = hits.groupBy("key").agg(F.count("*").alias("n_hits"))
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    grid = seeds.groupBy("key").agg(F.count("*").alias("n_items")).join(n_hits, "key").select("key", "n_hits", parts("n_items", MET_ITEMS).alias("ni"), parts("n_hits", MET_HITS).alias("nj"))
+    grid = written(grid, "seed-grid")
+    total = grid.agg(F.coalesce(F.sum("n_hits"), F.lit(0))).first()[0]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = join_hot(hits, grid, "key", "n_hits", total).withColumn("j", F.pmod(F.xxhash64("row", "pos"), F.col("nj")).cast("int"))
+    spread = seeds.join(grid, "key").withColumn("i", F.pmod(F.xxhash64("item", "item_pos"), F.col("ni")).cast("int"))
+    return dealt.select("row", "pos", "key", every("ni").alias("i"), "j"), spread.select("item", "item_pos", "key", "i", every("nj").alias("j"))
+
+
 def row_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, doc_id, item_id, doc_word, item_word, n_words, n_equal): verified overlaps, positions from 0; row numbers rows of docs."""
     items, names = distinct_items(benchmark)
@@ -137,11 +156,13 @@ def row_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Spark would move the filter below the columns it uses and repeat their expressions, but for a column beside
     # them that is not deterministic.
     held = written(seeded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "_h", hits.alias("_hits")).filter("row >= 0 AND size(_hits) > 0"), "hits")
-    hits = held.select("row", F.explode("_hits").alias("x")).select("row", "x.mask", "x.pos", "x.seed")
-    diagonals = hits.join(seeds, ["mask", "seed"]).select("row", "item", (F.col("pos") - F.col("item_pos")).alias("d"))
+    hits = held.select("row", F.explode("_hits").alias("x")).select("row", "x.pos", F.struct("x.mask", "x.seed").alias("key"))
+    hits, seeds = _shared_out(hits, seeds.select("item", "item_pos", F.struct("mask", "seed").alias("key")))
+    diagonals = hits.join(seeds, ["key", "i", "j"]).select("row", "item", (F.col("pos") - F.col("item_pos")).alias("d"))
     # A document has at most as many diagonals with an item as both have words.
     met = diagonals.groupBy("row", "item").agg(F.collect_set("d").alias("_d"))
-    met = met.join(held.select("row", "doc_id", "_h"), "row").join(items.withColumnRenamed("_h", "_ih"), "item")
+    # The document's words come last and are compared in the join's own tasks, not sent on once for each item met.
+    met = met.join(items.withColumnRenamed("_h", "_ih"), "item").join(held.select("row", "doc_id", "_h"), "row")
     found = met.select("row", "doc_id", "item", F.size("_ih").alias("_n"), F.explode(F.expr(_islands())).alias("x")).select("row", "doc_id", "item", "_n", "x.*")
     enough = (F.col("n_equal") >= LEAST_WORDS) | (10 * F.col("n_equal") >= LEAST_TENTHS * F.col("_n"))
     found = found.filter(enough & (10 * F.col("n_equal") >= LEAST_TENTHS * F.col("n_words")))
