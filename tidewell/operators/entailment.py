@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import normalize_answer, words
 
 BAND = 8
+#: Claims of up to so many words drop other words of their evidence before it is shuffled; the join decides in any case.
+LOOKED_UP = 256
 #: Scores from here on are support.
 LEAST = 0.6
 
@@ -40,7 +42,9 @@ def entailed(rows: DataFrame, corpus: DataFrame, least: float = LEAST) -> DataFr
     need = need.join(document_frequencies(corpus), "word", "left")
     need = need.select("id", "_r", "word", "need", F.log((texts.scalar() + 1) / (F.coalesce("df", F.lit(0)) + 1) + 1).alias("weight"))
 
-    met = sized.select("id", "_r", "m", "s", F.posexplode("_e").alias("j", "word")).join(need, ["id", "_r", "word"])
+    placed = F.transform("_e", lambda w, j: F.struct(j.alias("j"), w.alias("word")))
+    known = F.when(m <= LOOKED_UP, F.filter(placed, lambda z: F.array_contains(F.col("_c"), z["word"]))).otherwise(placed)
+    met = sized.select("id", "_r", "m", "s", F.explode(known).alias("z")).select("id", "_r", "m", "s", "z.j", "z.word").join(need, ["id", "_r", "word"])
     first = F.greatest(F.lit(0), F.floor((F.col("j") - F.col("m")) / F.col("s")).cast("int"))
     windows = F.sequence(first, F.floor(F.col("j") / F.col("s")).cast("int"))
     counted = met.select("id", "_r", "word", "need", "weight", F.explode(windows).alias("k")).groupBy("id", "_r", "word", "k", "need", "weight").agg(F.count("*").alias("n"))
