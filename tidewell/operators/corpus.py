@@ -5,30 +5,39 @@ Order is explicit: ``pos``.  Running sums are taken in blocks of positions, so n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 100_000
+from tidewell.operators import fill
+from tidewell.operators.fill import BLOCK
 
 
-def sum_before(df: DataFrame, value: str, name: str, pos: str = "pos", block: int = BLOCK) -> DataFrame:
-    """Adds the sum of value over all earlier positions.
+def _before(df: DataFrame, value: str, name: str, pos: str, block: int, gathered: Callable, joined: Callable) -> DataFrame:
+    """Adds what gathered makes of value over all earlier positions; joined merges the blocks' part and the block's own.
 
     Positions are cut into ranges of one width, as many as give each some block rows if positions lie evenly, however
-    far apart; only one sum a range is ordered in one task.
+    far apart; only one row a range is ordered in one task.
     """
     seen = df.agg(F.min(pos).alias("low"), F.max(pos).alias("high"), F.count("*").alias("n"))
     width = seen.select(F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / block))).alias("width"))
     df = df.withColumn("_block", F.floor(F.col(pos) / width.scalar()))
-    totals = df.groupBy("_block").agg(F.sum(value).alias("_t"))
-    before = totals.select("_block", F.coalesce(F.sum("_t").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum(value).over(Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
-    return df.join(before, "_block").withColumn(name, F.col("_before") + F.coalesce(own, F.lit(0))).drop("_block", "_before")
+    totals = df.groupBy("_block").agg(gathered(value).alias("_t"))
+    before = totals.select("_block", gathered("_t").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = gathered(value).over(Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
+    return df.join(before, "_block").withColumn(name, joined(F.col("_before"), own)).drop("_block", "_before")
+
+
+def sum_before(df: DataFrame, value: str, name: str, pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Adds the sum of value over all earlier positions, 0 at the first."""
+    return _before(df, value, name, pos, block, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def min_before(df: DataFrame, value: str, name: str, pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Adds the least value over all earlier positions, null at the first; nulls are passed over."""
+    return _before(df, value, name, pos, block, F.min, F.least)
 
 
 def blocked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -51,31 +60,9 @@ def byte_budget_prefix(docs: DataFrame, budget: int) -> DataFrame:
 
 
 def flush_chunks(sizes: DataFrame, flush_every: int) -> DataFrame:
-    """(pos, n_tokens, chunk_id, full): whole documents fill a chunk until it holds flush_every tokens.
-
-    The fill starts anew after each chunk, so it is a fold.  It streams over (pos, n_tokens) alone, sixteen
-    bytes a document, and carries three numbers.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, held = 0, 0
-        for batch in batches:
-            total = np.cumsum(batch["n_tokens"].to_numpy())
-            ids = np.empty(len(total), np.int64)
-            start, base = 0, -held
-            while start < len(total):
-                end = int(np.searchsorted(total, base + flush_every, side="left"))
-                ids[start : end + 1] = chunk
-                if end >= len(total):
-                    held = int(total[-1]) - base
-                    break
-                chunk, start, base, held = chunk + 1, end + 1, int(total[end]), 0
-            yield batch.assign(chunk_id=ids)[["pos", "n_tokens", "chunk_id"]]
-
-    one = sizes.select("pos", "n_tokens").repartition(1).sortWithinPartitions("pos")
-    ids = one.mapInPandas(fold, "pos long, n_tokens long, chunk_id long")
+    """(pos, n_tokens, chunk_id, full): whole documents fill a chunk until it holds flush_every tokens."""
     full = F.sum("n_tokens").over(Window.partitionBy("chunk_id")) >= flush_every
-    return ids.withColumn("full", full)
+    return fill.chunk_ids(sizes, flush_every).withColumn("full", full)
 
 
 def route_chunks(chunked: DataFrame, val_tokens: int) -> DataFrame:

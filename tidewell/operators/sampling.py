@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.operators import corpus
+
 
 def temperature(logits: DataFrame, t: float) -> DataFrame:
     return logits.withColumn("logit", F.col("logit") / F.lit(float(t)))
@@ -57,9 +59,16 @@ def plateau_rate(it: Column, warmup: int, decay_from: int, most: int, rate: floa
 
 
 def running_best(metrics: DataFrame, value: str, order: str, partition: list[str] | None = None) -> DataFrame:
-    """Adds improved: whether value is below all earlier ones."""
-    w = Window.partitionBy(*(partition or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return metrics.withColumn("improved", F.col(value) < F.coalesce(F.min(value).over(w), F.lit(float("inf"))))
+    """Adds improved: whether value is below all earlier ones in order, a number.
+
+    Without partition the least value before a row comes from blocks of the order, so no task sees all rows.
+    """
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        before = metrics.withColumn("_least", F.min(value).over(w))
+    else:
+        before = corpus.min_before(metrics, value, "_least", order)
+    return before.withColumn("improved", F.col(value) < F.coalesce(F.col("_least"), F.lit(float("inf")))).drop("_least")
 
 
 def generate(context: list[int], logits_of, n: int, block: int, t: float = 1.0, k: int | None = None, seed: str = "0") -> list[int]:

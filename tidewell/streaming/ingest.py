@@ -7,11 +7,15 @@ the same numbers and replaces its own output.
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
+
+from tidewell.operators import fill
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,8 +37,8 @@ def _state(spark: SparkSession, path: str, batch: int) -> Fill:
     """The fill that the last batch before this one left."""
     try:
         rows = spark.read.schema("batch long, chunk_id long, held long, val_written long").parquet(f"{path}/state")
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:  # the first batch finds no table
+        if e.getCondition() == "PATH_NOT_FOUND":
             return Fill()
         raise
     last = rows.select("batch", "chunk_id", "held", "val_written").filter(F.col("batch") < batch).orderBy(F.desc("batch")).first()
@@ -44,38 +48,27 @@ def _state(spark: SparkSession, path: str, batch: int) -> Fill:
 def chunk_batch(docs: DataFrame, batch: int, path: str, flush_every: int, val_tokens: int) -> None:
     """Routes one micro-batch: whole documents, in the order of doc_id, with n_tokens = bytes + 1.
 
-    Only (pos, n_tokens) are folded, as a stream in one task; the texts stay where they are.
+    Only (pos, n_tokens) are moved, in blocks of positions; one task orders the batch's chunks, never its rows.
     """
-    import pandas as pd
-
     spark = docs.sparkSession
-    fill = _state(spark, path, batch)
-    start = astuple(fill)[1:]
-
-    def fold(batches):
-        chunk, held, val = start
-        for b in batches:
-            rows = []
-            for pos, n in zip(b["pos"], b["n_tokens"], strict=True):
-                held += int(n)
-                full = held >= flush_every
-                rows.append((pos, n, chunk, full, chunk, held, val))
-                if full:
-                    val += held if val < val_tokens else 0
-                    chunk, held = chunk + 1, 0
-            yield pd.DataFrame(rows, columns=["pos", "n_tokens", "chunk_id", "closes", "c", "h", "v"])
-
+    before = _state(spark, path, batch)
     sized = docs.select(F.col("doc_id").alias("pos"), (F.octet_length("text") + 1).cast("long").alias("n_tokens"))
-    one = sized.repartition(1).sortWithinPartitions("pos")
-    folded = one.mapInPandas(fold, "pos long, n_tokens long, chunk_id long, closes boolean, c long, h long, v long")
-    folded.drop("c").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-    written = spark.read.parquet(f"{path}/chunks/batch={batch}")
-    last = written.orderBy(F.desc("chunk_id"), F.desc("h")).first()
+    filled = fill.chunk_ids(sized, flush_every, before.held, before.chunk_id)
+    held = F.sum("n_tokens") + F.when(F.col("chunk_id") == before.chunk_id, before.held).otherwise(0)
+    each = filled.groupBy("chunk_id").agg(held.alias("h")).withColumn("closes", F.col("h") >= flush_every)
+    earlier = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("v", F.lit(before.val_written) + F.coalesce(F.sum("h").over(earlier), F.lit(0)))
+    # Chunks after the first of training add nothing to validation.
+    to_val = F.when(F.col("v") < val_tokens, F.col("h")).otherwise(0)
+    each = each.withColumn("v", F.lit(before.val_written) + F.coalesce(F.sum(to_val).over(earlier), F.lit(0)))
+    filled.join(each, "chunk_id").select("pos", "n_tokens", "chunk_id", "closes", "h", "v").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+    written = spark.read.schema("chunk_id long, closes boolean, h long, v long").parquet(f"{path}/chunks/batch={batch}")
+    last = written.agg(F.max_by(F.struct("chunk_id", "closes", "h", "v"), "chunk_id").alias("last")).first().last
+    after = replace(before, batch=batch)
     if last is not None:
-        closes = bool(last.closes)
-        val = last.v + (last.h if closes and last.v < val_tokens else 0)
-        fill = Fill(batch, last.chunk_id + closes, 0 if closes else last.h, val)
-    state = spark.createDataFrame([astuple(Fill(batch, *astuple(fill)[1:]))], "batch long, chunk_id long, held long, val_written long")
+        val = last.v + (last.h if last.closes and last.v < val_tokens else 0)
+        after = Fill(batch, last.chunk_id + last.closes, 0 if last.closes else last.h, val)
+    state = spark.createDataFrame([astuple(after)], "batch long, chunk_id long, held long, val_written long")
     state.write.mode("overwrite").parquet(f"{path}/state/b={batch}")
 
 
