@@ -29,6 +29,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
@@ -55,7 +56,11 @@ CHUNK_BYTES = 32 << 20
 #: Keys and chunks that a task takes, beyond the session's number of shuffle partitions.
 KEYS_A_TASK = 16_000_000
 CHUNKS_A_TASK = 8
+#: Distinct keys that a task holds: a chunk with more tells them in several runs, and has its values read frame by frame.
+HELD_KEYS = 1 << 22
+FRAME_KEYS = 1 << 18
 _WORD = 1 << 63
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # --- keys of texts -------------------------------------------------------------------------------------
@@ -65,6 +70,37 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def stretches(text: bytes) -> Iterator[tuple[list[bytes], bytes]]:
+    """A long text in stretches of some TOGETHER bytes, none of which parts a word: tokens, and what is coded of them.
+    The last has the end token, of no bytes, and the end byte."""
+    a, gap = 0, b""
+    while a < len(text):
+        blank = _BLANK.search(text, a + TOGETHER) if len(text) - a > TOGETHER else None
+        end = blank.start() if blank else len(text)
+        words = text[a:end].lower().split()
+        if words:
+            yield words, gap + b" ".join(words)
+            gap = b" "
+        a = end + 1
+    yield [b""], bytes([EDGE])
+
+
+def _byte_keys(raw: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of all bytes but the first depth."""
+    n = len(raw) - depth
+    key = raw[depth:].astype(np.int64)
+    for back in range(1, depth + 1):
+        key |= raw[depth - back : depth - back + n].astype(np.int64) << (8 * (depth + 1 - back))
+    return key
+
+
+def long_keys(before: bytes, coded: bytes, depth: int) -> Iterator[np.ndarray]:
+    """Keys of the bytes of a stretch, TOGETHER at once; before: what is coded before them, depth bytes at least."""
+    for a in range(0, len(coded), TOGETHER):
+        head = coded[max(0, a - depth) : a] if a else before[-depth:]
+        yield _byte_keys(np.frombuffer(head + coded[a : a + TOGETHER], np.uint8), depth)
+
+
 def context_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all coded bytes, in order, and where each text's begin.
 
@@ -74,12 +110,9 @@ def context_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np
     edge = bytes([EDGE])
     raw = np.frombuffer(b"".join([edge * depth + t + edge for t in texts]), np.uint8)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    n = len(raw) - depth
-    key = raw[depth:].astype(np.int64)
-    for back in range(1, depth + 1):
-        key |= raw[depth - back : depth - back + n].astype(np.int64) << (8 * (depth + 1 - back))
+    key = _byte_keys(raw, depth)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inside = np.ones(n, bool)
+    inside = np.ones(len(key), bool)
     for k in range(depth):  # the start bytes of every text but the first
         inside[starts[1:] + np.arange(1, len(texts)) * depth - depth + k] = False
     return key[inside], starts
@@ -104,18 +137,37 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 class _Keys:
-    """The distinct keys of a chunk with their training counts."""
+    """The distinct keys of a chunk with their training counts.  Beyond HELD_KEYS they are told in several runs, whose
+    keys may repeat, as counts of a key are summed later."""
 
     def __init__(self, depth: int):
         self.depth, self.texts, self.size = depth, {True: [], False: []}, 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.rows = 0
 
-    def add(self, text: bytes | None, train: bool) -> None:
+    def add(self, text: bytes | None, train: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes a text; gives runs of keys and counts that are full."""
+        if len(text or b"") > TOGETHER:
+            before = bytes([EDGE]) * self.depth
+            for words, coded in stretches(text):
+                self._put_words(Counter(words), train)
+                for keys in long_keys(before, coded, self.depth):
+                    self._put(*np.unique(keys, return_counts=True), train)
+                    yield from self._full()
+                before = (before + coded[-self.depth :])[-self.depth :]
+            return
         self.texts[train].append(tokens(text))
         self.size += len(text or b"")
         if self.size >= TOGETHER:
             self._count()
+            yield from self._full()
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray, train: bool) -> None:
+        self.parts.append((keys, counts.astype(np.int64) * train))
+        self.rows += len(keys)
+
+    def _put_words(self, seen: Counter, train: bool) -> None:
+        self._put(word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)), train)
 
     def _count(self) -> None:
         for train, split in self.texts.items():
@@ -124,22 +176,28 @@ class _Keys:
                 for words in split:
                     seen.update(words)
                 seen[b""] = len(split)
-                own, times = np.unique(context_keys([b" ".join(w) for w in split], self.depth)[0], return_counts=True)
-                for k, n in ((own, times), (word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))):
-                    self.parts.append((k, n.astype(np.int64) * train))
-                    self.rows += len(k)
+                self._put(*np.unique(context_keys([b" ".join(w) for w in split], self.depth)[0], return_counts=True), train)
+                self._put_words(seen, train)
         self.texts, self.size = {True: [], False: []}, 0
+
+    def _full(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(self.parts) > 4 and self.rows > 4 * ROWS_TOGETHER and self.rows > 2 * len(self.parts[0][0]):
             self._merge()
+        if self.rows > 2 * HELD_KEYS or (len(self.parts) == 1 and self.rows > HELD_KEYS):
+            yield self._taken()
 
     def _merge(self) -> None:
         self.parts = [_merged([k for k, _ in self.parts], [n for _, n in self.parts])]
         self.rows = len(self.parts[0][0])
 
+    def _taken(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        (run,), self.parts, self.rows = self.parts, [], 0
+        return run
+
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         self._count()
-        self._merge()
-        return self.parts[0]
+        return self._taken()
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -172,8 +230,7 @@ def chunk_keys(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         at, keys = None, None
 
-        def told() -> Iterator:
-            k, n = keys.result()
+        def told(k: np.ndarray, n: np.ndarray) -> Iterator:
             for a in range(0, len(k), 1 << 17):
                 own = k[a : a + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at, np.int64)), pa.array(own), pa.array(n[a : a + (1 << 17)])], ["chunk", "key", "n"])
@@ -183,11 +240,12 @@ def chunk_keys(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
             for chunk, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 if chunk != at:
                     if keys:
-                        yield from told()
+                        yield from told(*keys.result())
                     at, keys = chunk, _Keys(depth)
-                keys.add(text.as_py(), train)
+                for run in keys.add(text.as_py(), train):
+                    yield from told(*run)
         if keys:
-            yield from told()
+            yield from told(*keys.result())
 
     return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk long, key long, n long")
 
@@ -344,27 +402,50 @@ def byte_values(keys: DataFrame, depth: int = DEPTH) -> DataFrame:
 # --- values for each chunk -----------------------------------------------------------------------------
 
 
+class _Frames:
+    """A file of sorted keys and their values in frames of FRAME_KEYS, then each frame's first key, size and place."""
+
+    def __init__(self, fs, name: str):
+        self.name, self.file, self.index, self.parts, self.rows = name, fs.open_output_stream(name), [], [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.parts.append((keys.copy(), values.copy()))
+        self.rows += len(keys)
+        if self.rows >= FRAME_KEYS:
+            self._put()
+
+    def _put(self) -> None:
+        import zstandard
+
+        k, v = (np.concatenate([p[c] for p in self.parts]) for c in (0, 1))
+        self.index.append((int(k[0]), len(k), self.file.tell()))
+        self.file.write(zstandard.ZstdCompressor(level=1).compress(k.tobytes() + v.tobytes()))
+        self.parts, self.rows = [], 0
+
+    def close(self) -> None:
+        if self.rows:
+            self._put()
+        end = self.file.tell()
+        self.file.write(np.array(self.index, np.int64).tobytes() + struct.pack("<2q", len(self.index), end))
+        self.file.close()
+
+
 def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
     """Writes each chunk's keys and values as one sorted file; returns (chunk, words, train_tokens) to be summed:
     distinct training words and training tokens, each counted in one chunk."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
         fs, folder = filesystem(path)
         fs.create_dir(folder, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        at, parts, words, total = None, [], 0, 0
+        at, out, words, total = None, None, 0, 0
 
         def put() -> dict:
-            k, v = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
-            name = f"{folder}/chunk-{at:016x}"
-            data = zstandard.ZstdCompressor(level=1).compress(k.tobytes() + v.tobytes())
-            with fs.open_output_stream(f"{name}.{attempt}") as out:
-                out.write(struct.pack("<Q", len(k)) + data)
-            publish(fs, f"{name}.{attempt}", name)
+            out.close()
+            publish(fs, out.name, f"{folder}/chunk-{at:016x}")
             return {"chunk": pa.array([at], pa.int64()), "words": [words], "train_tokens": [total]}
 
         for batch in batches:
@@ -373,14 +454,15 @@ def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
             for a in np.flatnonzero(np.concatenate([[len(chunk) > 0], chunk[1:] != chunk[:-1]])):
                 b = a + int(np.searchsorted(chunk[a:], chunk[a], side="right"))
                 if chunk[a] != at:
-                    if parts:
+                    if out:
                         yield pa.RecordBatch.from_pydict(put())
-                    at, parts, words, total = int(chunk[a]), [], 0, 0
-                parts.append((k[a:b].copy(), v[a:b].copy()))
+                    at, words, total = int(chunk[a]), 0, 0
+                    out = _Frames(fs, f"{folder}/chunk-{at:016x}.{attempt}")
+                out.add(k[a:b], v[a:b])
                 is_word = k[a:b] < 0
                 words += int((first[a:b] & is_word & (v[a:b] > 0)).sum())
                 total += int(n[a:b][is_word].sum())
-        if parts:
+        if out:
             yield pa.RecordBatch.from_pydict(put())
 
     spark = keys.sparkSession
@@ -393,27 +475,54 @@ def write_values(keys: DataFrame, values: DataFrame, path: str) -> DataFrame:
 
 
 class _Values:
-    """Values by key: a table of hashed slots, and halving for keys whose slot another holds."""
-
-    def __init__(self, data: bytes):
-        import zstandard
-
-        (n,) = struct.unpack_from("<Q", data)
-        raw = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=16 * n + 1)
-        self.keys, self.values = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.float64, n, 8 * n)
-        split = int(np.searchsorted(self.keys, 0))
-        self.word_keys, self.word_values = self.keys[:split], self.values[:split]
-        self.context_keys, self.context_values = self.keys[split:], self.values[split:]
-        self.bits = max(4, int(len(self.context_keys) * 4).bit_length())
+    """Values by key, from a chunk's file: a table of hashed slots, and halving for keys whose slot another holds.  Of
+    a file with over HELD_KEYS, the frames that some keys ask for are read one by one instead."""
+
+    def __init__(self, file):
+        self.file, size = file, file.size()
+        file.seek(size - 16)
+        frames, self.end = struct.unpack("<2q", file.read(16))
+        file.seek(self.end)
+        self.index = np.frombuffer(file.read(24 * frames), np.int64).reshape(-1, 3)
+        self.held = int(self.index[:, 1].sum()) <= HELD_KEYS
+        if not self.held:
+            return
+        keys, values = (np.concatenate(c) for c in zip(*map(self._frame, range(frames)), strict=True))
+        split = int(np.searchsorted(keys, 0))
+        self.word_keys, self.word_values = keys[:split], values[:split]
+        self.context_keys, self.context_values = keys[split:], values[split:]
+        self.bits = min(23, max(4, int(len(self.context_keys) * 4).bit_length()))
         self.slot_keys = np.full(1 << self.bits, -1, np.int64)
         self.slot_values = np.zeros(1 << self.bits)
         at = self._slots(self.context_keys)
         self.slot_keys[at], self.slot_values[at] = self.context_keys, self.context_values
 
+    def _frame(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        import zstandard
+
+        _, n, at = map(int, self.index[k])
+        end = int(self.index[k + 1, 2]) if k + 1 < len(self.index) else self.end
+        self.file.seek(at)
+        raw = zstandard.ZstdDecompressor().decompress(self.file.read(end - at), max_output_size=16 * n)
+        return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.float64, n, 8 * n)
+
+    def _read(self, k: np.ndarray) -> np.ndarray:
+        """Values of keys of the file, a frame at a time; keys that repeat have one value."""
+        own, back = np.unique(k, return_inverse=True)
+        of = np.maximum(np.searchsorted(self.index[:, 0], own, side="right") - 1, 0)
+        out = np.empty(len(own))
+        for f in np.unique(of):
+            a, b = np.searchsorted(of, [f, f + 1])
+            keys, values = self._frame(f)
+            out[a:b] = values[np.searchsorted(keys, own[a:b])]
+        return out[back]
+
     def _slots(self, k: np.ndarray) -> np.ndarray:
         return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def contexts(self, k: np.ndarray) -> np.ndarray:
+        if not self.held:
+            return self._read(k)
         at = self._slots(k)
         out = self.slot_values[at]
         other = np.flatnonzero(self.slot_keys[at] != k)
@@ -422,6 +531,8 @@ class _Values:
 
     def words(self, k: np.ndarray) -> np.ndarray:
         """Training counts."""
+        if not self.held:
+            return self._read(k)
         return self.word_values[np.searchsorted(self.word_keys, k)]
 
 
@@ -442,26 +553,46 @@ def score_chunks(chunks: DataFrame, path: str, total: int, distinct: int, depth:
         coded = np.diff(np.append(at, len(keys)))
         return [sizes, np.add.reduceat((counts > 0).astype(np.int64)[flat], starts), np.add.reduceat(logs[flat], starts), score, -score * math.log2(10) / coded]
 
+    def scored_long(own: _Values, text: bytes) -> list[np.ndarray]:
+        n = known = coded = 0
+        base = score = 0.0
+        before = bytes([EDGE]) * depth
+        for words, raw in stretches(text):
+            seen = Counter(words)
+            counts, times = own.words(word_keys(list(seen))), np.fromiter(seen.values(), np.int64, len(seen))
+            n, known = n + len(words), known + int(times[counts > 0].sum())
+            base += float((np.log10((counts + SMOOTHING) / (total + SMOOTHING * (distinct + 1))) * times).sum())
+            for keys in long_keys(before, raw, depth):
+                score, coded = score + float(own.contexts(keys).sum()), coded + len(keys)
+            before = (before + raw[-depth:])[-depth:]
+        return [np.array([x]) for x in (n, known, base, score, -score * math.log2(10) / coded)]
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         fs, folder = filesystem(path)
-        at, own = None, None
+        at, own, file = None, None, None
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
         for batch in batches:
             chunk, texts = batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary())
             a = 0
             while a < len(chunk):
                 if chunk[a] != at:
+                    if file:
+                        file.close()
                     at, own = chunk[a], None
-                    with fs.open_input_file(f"{folder}/chunk-{at:016x}") as file:
-                        own = _Values(file.read())
+                    file = fs.open_input_file(f"{folder}/chunk-{at:016x}")
+                    own = _Values(file)
                 held, size, b = [], 0, a
                 while b < len(chunk) and chunk[b] == at and (size < TOGETHER or b == a):
-                    held.append(texts[b].as_py())
-                    size += len(held[-1] or b"")
+                    text = texts[b].as_py()
+                    if held and len(text or b"") > TOGETHER:
+                        break
+                    held.append(text)
+                    size += len(text or b"")
                     b += 1
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *(pa.array(x) for x in scored(own, held))], names)
+                found = scored_long(own, held[0]) if size > TOGETHER and len(held) == 1 else scored(own, held)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *(pa.array(x) for x in found)], names)
                 a = b
 
     return chunks.select("chunk", "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
