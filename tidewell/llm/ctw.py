@@ -57,7 +57,7 @@ CHUNK_BYTES = 32 << 20
 KEYS_A_TASK = 16_000_000
 CHUNKS_A_TASK = 8
 #: Distinct keys that a task holds: a chunk with more tells them in several runs, and has its values read frame by frame.
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 21
 FRAME_KEYS = 1 << 18
 _WORD = 1 << 63
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
