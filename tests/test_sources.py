@@ -187,3 +187,25 @@ def test_table_function_takes_blocks(spark):
     odd = spark.createDataFrame([(1, None), (2, "é"), (5, ""), (9, "x")], "pos long, text string")
     assert [(r.pos, r.n_bytes, r.bytes_before) for r in tables.text_within(odd, 3).orderBy("pos").collect()] == [(1, 0, 0), (2, 2, 0), (5, 0, 2), (9, 1, 2)]
     assert tables.text_within(odd.filter("pos > 100"), 3).count() == 0
+
+
+def test_a_block_from_many_files_is_one_part(spark, tmp_path):
+    """Adaptive execution split a large block's part of the join on block, and each piece of it began at the block's start."""
+    docs = spark.range(4000).select(F.col("id").alias("pos"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    docs.repartitionByRange(6, "pos").write.parquet(f"file:{tmp_path}/docs")
+    docs = spark.read.parquet(f"file:{tmp_path}/docs")
+    split = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        assert docs.rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, tables.text_within(docs, 30_000).collect())) == expected(docs, 30_000)
+        # The same where a view joins on block itself.
+        tables.register(spark)
+        blocks = corpus.blocked(docs).drop("block_bytes_before")
+        starts = corpus.blocked(docs).groupBy("block").agg(F.min("block_bytes_before").alias("block_bytes_before"))
+        blocks.join(starts, "block").createOrReplaceTempView("joined_blocks")
+        assert sorted(map(tuple, spark.sql("SELECT * FROM text_within(TABLE(joined_blocks), 30000)").collect())) == expected(docs, 30_000)
+    finally:
+        for k in split:
+            spark.conf.unset(k)

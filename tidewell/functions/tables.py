@@ -30,7 +30,9 @@ class TextWithin:
         if missing:
             raise ValueError(f"the table has no {', '.join(sorted(missing))}: make it with operators.corpus.blocked")
         schema = StructType([StructField("pos", LongType()), StructField("text", StringType()), StructField("n_bytes", LongType()), StructField("bytes_before", LongType())])
-        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("block")], orderBy=[OrderingColumn("pos")])
+        # An expression of its own: rows that a join has dealt by block already would be left where they are, and adaptive
+        # execution may spread those of one block over several tasks afterwards.
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("-block")], orderBy=[OrderingColumn("pos")])
 
     def eval(self, row, budget: int):
         if self.before is None:
