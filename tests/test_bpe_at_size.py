@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from tests.conftest import SMALL
 from tests.oracle import connection, differences
-from tidewell.operators import bpe, bpe_train
+from tidewell.functions import text
+from tidewell.operators import bpe, bpe_train, corpus
+from tidewell.sources import shards
 
 
 def test_spread_trainer_equals_the_plain_one(spark):
@@ -29,3 +34,46 @@ def test_many_pieces_are_not_trained_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(bpe_train, "train", never)
     monkeypatch.setattr(bpe, "train", never)
     assert differences(spark, connection(SMALL), SMALL, entry.queries()["bpe_train"], entry.oracle_sql()["bpe_train"]) == []
+
+
+def _arrays(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.randrange(0, 6) for _ in range(rng.choice([0, 0, 1, 2, 30]))]) for k in range(300)] + [(900, None), (901, [7] * 500), (902, [2**31 - 1, -1, -1, 3, 2**31 - 1, -1])]
+    return spark.createDataFrame(rows, "seq int, ids array<int>").repartition(3)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_arrays_are_counted_and_decoded_as_token_rows_are(spark, at_once):
+    arrays = _arrays(spark)
+    tokens = arrays.select("seq", F.posexplode("ids").alias("pos", "token"))
+    order = ["a", "b"]
+    assert bpe.pair_counts_of(arrays, at_once).orderBy(*order).collect() == bpe.pair_counts(tokens).orderBy(*order).collect()
+    vocab = {0: b"x", 1: b"", 2: "é".encode(), 3: b"yz", 5: b" "}
+    table = spark.createDataFrame([(k, bytearray(v)) for k, v in vocab.items()], "id int, bytes binary")
+    want = {r.seq: r.text for r in bpe.decode(tokens, table).collect()}
+    got = bpe.decode_arrays(arrays.select("ids", "seq"), vocab, at_once).collect()
+    assert {r.seq: r.text for r in got} == {k: want.get(k, "") for k in range(300)} | {900: None, 901: "", 902: "yz"}
+
+
+@pytest.mark.parametrize("name", ["bpe_decode", "pair_counts", "best_pair", "tokenizer_roundtrip"])
+def test_no_token_rows_are_shuffled(spark, monkeypatch, name):
+    monkeypatch.setattr(bpe, "pair_counts", None)
+    monkeypatch.setattr(bpe, "decode", None)
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_shards_are_written_from_texts_shuffled_once(spark, tmp_path):
+    """Documents are dealt as texts, in an order that shards keep, and not as token rows."""
+    shards.register(spark)
+    rng = random.Random(3)
+    rows = [(k * rng.choice([1, 1, 7]) - 50 + 1000 * k, None if k % 13 == 5 else "".join(rng.choices("abé", k=rng.randint(0, 40)))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "pos long, text string").repartition(6)
+    want = [b for _, t in sorted(rows) if t is not None for b in [*t.encode(), 0]]
+    stream = corpus.ordered_stream(docs, F.octet_length("text") + 1, lambda t: corpus.append_end(text.byte_ids(t)), 5, block=16)
+    plan = stream._jdf.queryExecution().executedPlan().toString().split("rangepartitioning")
+    assert len(plan) == 2 and "Generate" in plan[0] and "SortMergeJoin" not in plan[0] + plan[1] and "hashpartitioning(pos" not in plan[1]
+    stream.write.format("token_shard").mode("append").option("path", f"file:{tmp_path}/s").save()
+    got = spark.read.format("token_shard").load(f"file:{tmp_path}/s").orderBy("offset").collect()
+    assert [r.offset for r in got] == list(range(len(want))) and [r.token for r in got] == want
+    assert len(shards.shard_files(f"file:{tmp_path}/s")) > 2
