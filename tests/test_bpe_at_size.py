@@ -77,3 +77,28 @@ def test_shards_are_written_from_texts_shuffled_once(spark, tmp_path):
     got = spark.read.format("token_shard").load(f"file:{tmp_path}/s").orderBy("offset").collect()
     assert [r.offset for r in got] == list(range(len(want))) and [r.token for r in got] == want
     assert len(shards.shard_files(f"file:{tmp_path}/s")) > 2
+
+
+def test_preview_sends_the_driver_no_more_than_it_keeps(spark):
+    """Not the first rows of every task, and not all of many pieces with one count."""
+    even = spark.range(0, 5000, 1, 50).select(F.concat(F.lit("p"), "id").alias("piece"), F.lit(1).cast("long").alias("cnt"))
+    steep = spark.range(0, 5000, 1, 50).select(F.concat(F.lit("p"), "id").alias("piece"), (F.col("id") * F.col("id") + 1).alias("cnt"))
+    for words in (even, steep):
+        found = bpe_train._preview(words, 500)
+        assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+        assert 350 < found.count() < 650
+    assert found.agg(F.min("cnt")).first()[0] > 4300**2
+    assert bpe_train._preview(steep, 10_000).count() == 5000 and bpe_train._preview(even.limit(0), 10).count() == 0
+
+
+def test_pieces_encoded_together_equal_pieces_encoded_one_by_one():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aab\u00e9 ", k=rng.choice([0, 1, 2, 3, 9, 40, 200]))).encode() for _ in range(600)] + [b"a" * n for n in (1, 2, 3, 7, 64, 65, 129)]
+    for size in (260, 263, 330):
+        merges = bpe.train({w: 1 for w in words}, size)
+        ranks = {(a, b): (rank, new) for rank, a, b, new in merges}
+        want = [bpe.encode_word(w, ranks) for w in words]
+        ids, sizes = bpe.Merges(merges, len(bpe.SPECIALS)).encode(pa.array([b"x", *words], pa.binary()).slice(1))
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [x for w in want for x in w]
