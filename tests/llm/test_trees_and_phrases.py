@@ -235,3 +235,39 @@ def test_codes_go_back(spark):
         coded = [codes.table.get(w) or w + b" " for w in own]
         assert codes.phrase(b"".join(coded)) == b" ".join(own)
         assert codes.ends(b"".join(coded)) == list(np.cumsum([len(c) for c in coded]))
+
+
+@pytest.mark.parametrize("a_task", [40, 2_500_000])
+def test_prefixes_go_on_from_batch_to_batch(spark, monkeypatch, a_task):
+    """Whatever the batches of keys, and with languages of long codes beside short ones."""
+    rows = odd_texts()
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string")
+    monkeypatch.setattr(phrases, "SHORT_LANGUAGES", 2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(tuple(r) for r in phrases.collocations(df, a_task=a_task).collect()) == brute_phrases(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_suffixes_have_no_rare_word_and_two_words(spark):
+    rows = [("en", "often here rare%d often here" % k) for k in range(40)] + [("de", "often here")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    counts = phrases.word_counts(df)
+    codes = phrases.Codes([], ["en"])
+    share = spark.sparkContext.broadcast
+    found = Counter()
+    for r in phrases.suffixes(df, share(codes), share({}), share(phrases._often(counts))).collect():
+        found[codes.split(bytes(r.key))[0], bytes(r.key)] += r.n
+    assert {k: n for k, n in found.items() if k[0] == "en" and b"rare" not in k[1]} == {("en", b"\x01often here "): 80}
+    assert len(found) <= 4  # a bit may be shared
+
+
+def test_cuts_are_made_once(spark):
+    """The counted joins read them from a file, and the left parts' counts too."""
+    table = spark.createDataFrame([("en", p, len(p.split()), f) for p, f in (("a b c", 30), ("a b", 40), ("b c", 50), ("a", 60), ("c", 70))], "lang string, phrase string, words int, f long")
+    found = phrases.scored(table, table.filter("words = 3").withColumnRenamed("f", "a"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "left_" not in plan and plan.count("LeftAnti") == 1
+    assert [tuple(r) for r in found.collect()] == [("en", "a b c", 3, 30, 60, 50, 2_000_000 * 30 // 110)]

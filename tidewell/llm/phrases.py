@@ -2,7 +2,8 @@
 
 Every word position starts a suffix of at most MOST words within its piece.  Suffixes are counted where they are
 read, shuffled by language and first word, and sorted in reverse; one stack then counts all their prefixes, which are
-all the phrases.  First words with more suffixes than a task takes are dealt further by the rest of
+all the phrases.  A phrase that counts has no word that occurs less often than it must, so such words end a piece: a bit
+table of the others (8 MB at most, which may let a rare word pass and stops no other) is sent to all tasks.  First words with more suffixes than a task takes are dealt further by the rest of
 the suffix, and the counts of their phrases are summed afterwards.  Words travel as codes: the CODED most frequent ones at most (a
 table that is sent to all tasks) as two or three bytes, others as they are.  No code begins another, so suffixes that
 share words stand together in the order of their bytes.
@@ -41,6 +42,10 @@ CODED = 1 << 16
 SHORT_CODES = 1 << 10
 LONGEST_CODED = 64
 MOST_HOT = 1 << 14
+#: Languages whose code is one byte.
+SHORT_LANGUAGES = 250
+#: Bits of the table of words that occur often enough.
+MOST_BITS = 1 << 26
 #: Rows, and bytes of text, that are cut into words at once.
 ROWS_TOGETHER = 1024
 STRETCH = 4_000_000
@@ -142,11 +147,41 @@ def _frequent(counts: DataFrame) -> list[bytes]:
     return [bytes(r.word) for r in totals.filter(step >= least).orderBy(F.desc("n"), "word").collect()]
 
 
+def word_hash(lang: str, word: bytes) -> int:
+    return zlib.crc32(word, zlib.crc32(lang.encode() + b"\0"))
+
+
+def _often(counts: DataFrame) -> np.ndarray:
+    """A table of bits, 64 a number, with those of word_hash of all words that occur LEAST_COUNT times or more."""
+    known = counts.filter(F.col("n") >= LEAST_COUNT)
+    bits = min(MOST_BITS, 1 << (16 * known.count() + (1 << 10)).bit_length())
+    slot = F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.col("word"))) % bits
+    rows = known.select(F.floor(slot / 64).cast("int").alias("at"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("by")).groupBy("at").agg(F.expr("bit_or(shiftleft(one, by))").alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("set").to_numpy()
+    return out
+
+
 class Codes:
-    """Words to codes and back."""
+    """Words and languages to codes and back."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.words = frequent
+    def __init__(self, frequent: list[bytes], languages: list[str] = ()):
+        self.words, self.languages = frequent, languages
+
+    @cached_property
+    def short(self) -> dict[str, bytes]:
+        return {x: bytes([k + 1]) for k, x in enumerate(self.languages)}
+
+    def language(self, lang: str) -> bytes:
+        """Bytes that begin no other language's."""
+        return self.short.get(lang) or b"\xff" + lang.encode().replace(b"\0", b"\0\xff") + b"\0\1"
+
+    def split(self, key: bytes) -> tuple[str, int]:
+        """The language of a key, and where its suffix begins."""
+        if key[0] < 0xFF:
+            return self.languages[key[0] - 1], 1
+        end = key.index(b"\0\1")
+        return key[1:end].replace(b"\0\xff", b"\0").decode(), end + 2
 
     def _code(self, k: int) -> bytes:
         if k < SHORT_CODES:
@@ -182,26 +217,32 @@ class Codes:
         return b" ".join(out)
 
 
-def suffixes(docs: DataFrame, codes, hot) -> DataFrame:
-    """(bucket, key, n): suffixes counted where they are read; key is the language's code and the suffix, bucket is of
-    language and first word, and of the other words too where the first is hot.  codes, and hot, the parts of each
-    (language, first word), are broadcast."""
+def suffixes(docs: DataFrame, codes, hot, often) -> DataFrame:
+    """(bucket, key, n): suffixes of two words or more, counted where they are read; key is the language's code and the
+    suffix, bucket is of language and first word, and of the other words too where the first is hot.  codes, hot, the parts
+    of each (language, first word), and often, the table of _often, are broadcast."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known = codes.value.table
+        known, bits = codes.value.table, often.value
         for lang, words, own in _by_language(batches):
-            seen = [b"\n", *set(words).difference([b"\n"])]
-            number = dict(zip(seen, range(len(seen)), strict=True))
+            met = [*set(words).difference([b"\n"])]
+            salt = zlib.crc32(lang.encode() + b"\0")
+            hashes = np.fromiter((zlib.crc32(x, salt) for x in met), np.int64, len(met))
+            slot = hashes & (len(bits) * 64 - 1)
+            is_often = bits[slot >> 6] >> (slot & 63) & 1
+            hashes = np.append(0, hashes[is_often > 0])
+            seen = [b"\n", *(x for x, k in zip(met, is_often.tolist(), strict=True) if k)]
+            number = dict(zip(met, (np.cumsum(is_often) * is_often).tolist(), strict=True)) | {b"\n": 0}
             w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             w = np.concatenate([w, np.zeros(MOST, np.int64)])  # 0 ends a piece
             pair = np.where((w[:-1] > 0) & (w[1:] > 0), w[:-1] << 32 | w[1:], w[:-1] << 32)
             pairs, p = np.unique(pair, return_inverse=True)
             whole = (w[:-3] > 0) & (w[1:-2] > 0) & (w[2:-1] > 0)
             quad = (p[:-2] << 32 | np.where(whole, p[2:], 0))[:own]  # the pair at 0 is that of a piece's end
-            quads, n = np.unique(quad[w[:own] > 0], return_counts=True)
+            quads, n = np.unique(quad[(w[:own] > 0) & (w[1 : own + 1] > 0)], return_counts=True)
             if not len(quads):
                 continue
             ahead, behind = pairs[quads >> 32], pairs[quads & 0xFFFFFFFF]
@@ -209,11 +250,10 @@ def suffixes(docs: DataFrame, codes, hot) -> DataFrame:
             ids[2] = np.where(ids[1] > 0, ids[2], 0)
             ids[3] = np.where(ids[2] > 0, ids[3], 0)
             coded = pa.array([b"", *(known.get(x) or x + b" " for x in seen[1:])], pa.binary())
-            hashes = np.array([zlib.crc32(x) for x in seen], np.int64)
             parts = np.array([hot.value.get((lang, x), 1) for x in seen])
             rest = (hashes[ids[1]] * 31 + hashes[ids[2]] * 17 + hashes[ids[3]]) % parts[ids[0]]
-            bucket = (hashes[ids[0]] + zlib.crc32(lang.encode()) + rest * 0x9E3779B1) & 0xFFFFF
-            key = pc.binary_join_element_wise(pa.scalar(language_code(lang), pa.binary()), *(coded.take(pa.array(x)) for x in ids), pa.scalar(b"", pa.binary()))
+            bucket = (hashes[ids[0]] + rest * 0x9E3779B1) & 0xFFFFF
+            key = pc.binary_join_element_wise(pa.scalar(codes.value.language(lang), pa.binary()), *(coded.take(pa.array(x)) for x in ids), pa.scalar(b"", pa.binary()))
             for a in range(0, len(quads), 100_000):
                 b = min(len(quads), a + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b], pa.int32()), key[a:b], pa.array(n[a:b], pa.int64())], ["bucket", "key", "n"])
@@ -221,17 +261,6 @@ def suffixes(docs: DataFrame, codes, hot) -> DataFrame:
     return _texts(docs).mapInArrow(run, "bucket int, key binary, n long")
 
 
-def language_code(lang: str) -> bytes:
-    """Bytes that begin no other language's."""
-    return lang.encode().replace(b"\0", b"\0\xff") + b"\0\1"
-
-
-def _split_key(key: bytes) -> tuple[str, int]:
-    """The language of a key, and where its suffix begins."""
-    end = key.index(b"\0\1")
-    return key[:end].replace(b"\0\xff", b"\0").decode(), end + 2
-
-
 class _Suffixes:
     """Keys of one language in a row: where their words end, and how many words each shares with the key before it."""
 
@@ -264,41 +293,43 @@ class _Suffixes:
         self.unsure = 1 + np.flatnonzero((equal == begin + self.WIDE) & (self.shared[1:] < both))
 
 
+def _told(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """The binary Arrow array of data's bytes from each begin to its end."""
+    import pyarrow as pa
+
+    size = end - begin
+    to = np.cumsum(size)
+    own = data[np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - size - begin, size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, to).astype(np.int32)), pa.py_buffer(own)])
+
+
 def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
-    """(lang, phrase, n, whole): counts of all prefixes of suffixes (key, n) that come in reverse order.
+    """(lang, phrase, n, whole): counts of all prefixes, of two words or more, of suffixes (key, n) that come in reverse order.
 
-    The stack holds the counts so far of the prefixes of the suffix met last; one whose words end leaves it with its
-    count, which goes on to the shorter one below.  Phrases of hot first words, of which other tasks have more, are not
-    whole; whole ones are left out below LEAST_COUNT.
+    Keys that share a prefix stand together.  A batch is summed up at once, prefix by prefix; the stack holds the counts so
+    far of the prefixes of the key met last, which go on in the next batch or end there.  Phrases of hot first words, of
+    which other tasks have more, are not whole; whole ones are left out below LEAST_COUNT.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = codes.value.table
-        split = {language_code(lang) + (table.get(w) or w + b" ") for lang, w in hot.value}
-        ends_of = codes.value.ends
-        stack: list[int] = []
+        table, split_key, ends_of = codes.value.table, codes.value.split, codes.value.ends
+        split = {codes.value.language(lang) + (table.get(w) or w + b" ") for lang, w in hot.value}
+        names, kinds = ["lang", "phrase", "n", "whole"], [pa.string(), pa.binary(), pa.int64(), pa.bool_()]
+        stack = [0] * (MOST + 1)  # by number of words; 0 is none
         lang, begin, last, last_ends, is_hot = None, 0, b"", [], False
-        out: list[tuple] = []
-
-        def told():
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.bool_()]
-            columns = zip(*out, strict=True) if out else [()] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "phrase", "n", "whole"])
-            out.clear()
-            return batch
-
-        def pop(depth: int, key: bytes, ends: list[int]) -> None:
-            while len(stack) > depth:
-                n = stack.pop()
-                if is_hot or n >= LEAST_COUNT:
-                    out.append((lang, key[begin : ends[len(stack)]], n, not is_hot))
-                if stack:
-                    stack[-1] += n
+        out: list = []
+
+        def pop(shared: int) -> None:
+            """Tells the prefixes that end here, of more than the shared words."""
+            rows = [(lang, last[begin : last_ends[d - 1]], stack[d], not is_hot) for d in range(max(2, shared + 1), MOST + 1) if stack[d] and (is_hot or stack[d] >= LEAST_COUNT)]
+            stack[shared + 1 :] = [0] * (MOST - shared)
+            if rows:
+                out.append(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names))
 
         for batch in batches:
-            keys, n = batch.column(0), batch.column(1).to_pylist()
+            keys, counts = batch.column(0), batch.column(1).to_numpy()
             if not len(keys):
                 continue
             offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
@@ -306,48 +337,53 @@ def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
             a = 0
             while a < len(keys):
                 key = keys[a].as_py()
-                own, at = _split_key(key)
+                own, at = split_key(key)
                 b = len(keys)
                 if not keys[b - 1].as_py().startswith(key[:at]):  # keys of a language stand together
                     b = a + bisect.bisect_left(range(a, b), True, key=lambda k: not keys[k].as_py().startswith(key[:at]))
                 if own != lang:
-                    pop(0, last, last_ends)
+                    pop(0)
                     lang, begin, last, last_ends = own, at, b"", []
                 found = _Suffixes(data, offsets[a : b + 1], begin)
-                shared, words = found.shared.tolist(), found.words.tolist()
-                ends = list(zip(*(e.tolist() for e in found.ends), strict=True))
+                shared, words, ends, n = found.shared, found.words, found.ends, counts[a:b]
                 whole = keys.slice(a, b - a)
                 first_ends = [begin + e for e in ends_of(key[begin:])]
                 shared[0] = sum(x == y and key[:x] == last[:x] for x, y in zip(first_ends, last_ends, strict=False))
                 for k in found.unsure.tolist():
                     one, two = whole[k].as_py(), whole[k - 1].as_py()
-                    shared[k] = sum(x == y and one[:x] == two[:x] for x, y in zip(ends[k][: words[k]], ends[k - 1][: words[k - 1]], strict=False))
-                before, before_ends = last, last_ends
-                for k in range(b - a):
-                    s, depth = shared[k], len(stack)
-                    if s < depth:
-                        # Only prefixes that are told need their words.
-                        if is_hot or stack[-1] >= LEAST_COUNT or sum(stack[s:]) >= LEAST_COUNT:
-                            if k:
-                                before, before_ends = whole[k - 1].as_py(), ends[k - 1]
-                            pop(s, before, before_ends)
-                        else:
-                            n_up = sum(stack[s:])
-                            del stack[s:]
-                            if stack:
-                                stack[-1] += n_up
-                    if not s:
-                        is_hot = bool(split) and whole[k].as_py()[: ends[k][0]] in split
-                    more = words[k] - s
-                    if more:
-                        stack.extend([0] * more)
-                    stack[-1] += n[a + k]
-                last, last_ends = whole[b - a - 1].as_py(), list(ends[-1][: words[-1]])
+                    shared[k] = sum(int(e[k]) == int(e[k - 1]) and one[: int(e[k])] == two[: int(e[k])] for e in ends[: min(words[k], words[k - 1])])
+                pop(int(shared[0]))
+                is_split = np.zeros(b - a, bool)
+                if split:
+                    heads = np.flatnonzero(np.append(True, shared[1:] == 0))
+                    marks = [whole[int(k)].as_py()[: int(ends[0][k])] in split for k in heads]
+                    is_split = np.repeat(marks, np.diff(np.append(heads, b - a)))
+                for d in range(2, MOST + 1):
+                    have = np.flatnonzero(words >= d)
+                    if not len(have):
+                        continue
+                    heads = np.flatnonzero(np.append(True, shared[have[1:]] < d))
+                    sums = np.add.reduceat(n[have], heads)
+                    if not have[0] and shared[0] >= d:
+                        sums[0] += stack[d]
+                    stack[d] = 0
+                    at = have[heads]
+                    if have[-1] == b - a - 1:  # goes on
+                        stack[d], sums, at = int(sums[-1]), sums[:-1], at[:-1]
+                    kept = (sums >= LEAST_COUNT) | is_split[at]
+                    at = at[kept]
+                    if len(at):
+                        start = offsets[a + at]
+                        out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), _told(data, start + begin, start + ends[d - 1][at]), pa.array(sums[kept], pa.int64()), pa.array(~is_split[at])], names))
+                last, is_hot = whole[b - a - 1].as_py(), bool(is_split[-1])
+                last_ends = [int(e[-1]) for e in ends[: words[-1]]]
                 a = b
-            if len(out) > 50_000:
-                yield told()
-        pop(0, last, last_ends)
-        yield told()
+            if sum(x.num_rows for x in out) > 50_000:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out.clear()
+        pop(0)
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return sorted_keys.mapInArrow(run, "lang string, phrase binary, n long, whole boolean")
 
@@ -361,8 +397,10 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, a_task: int = SUFFIXES_A_T
     # First words that would fill a task by themselves: MOST_HOT at most.
     fair = max(a_task, total // MOST_HOT)
     hot = spark.sparkContext.broadcast({(r.lang, bytes(r.word)): 2 * (r.n // fair + 1) for r in counts.filter(F.col("n") > fair).collect()})
-    codes = spark.sparkContext.broadcast(Codes(_frequent(counts)))
-    dealt = suffixes(docs, codes, hot).repartition(tasks, "bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
+    languages = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(SHORT_LANGUAGES).collect()
+    codes = spark.sparkContext.broadcast(Codes(_frequent(counts), [r.lang for r in languages]))
+    often = spark.sparkContext.broadcast(_often(counts))
+    dealt = suffixes(docs, codes, hot, often).repartition(tasks, "bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
     found = written(_prefixes(dealt, codes, hot), "prefixes", "zstd")
     summed = found.filter("NOT whole").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
@@ -375,7 +413,8 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, a_task: int = SUFFIXES_A_T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(own.phrase, coded), pa.binary()), pa.array([len(own.ends(x)) for x in coded], pa.int32()), batch.column(2)], ["lang", "phrase", "words", "f"])
 
     named = found.filter("whole").select("lang", "phrase", "n").unionByName(summed).mapInArrow(read, "lang string, phrase binary, words int, f long")
-    return written(named.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "phrases", "zstd")
+    single = counts.filter(F.col("n") >= LEAST_COUNT).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
+    return written(named.unionByName(single).select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "phrases", "zstd")
 
 
 def _cuts(first_last: str) -> Column:
@@ -386,9 +425,11 @@ def _cuts(first_last: str) -> Column:
 def scored(phrases: DataFrame, chosen: DataFrame) -> DataFrame:
     """(lang, phrase, words, a, l, r, score) of chosen phrases (lang, phrase, words, a): the lowest-scoring cut, which is
     the one after fewest words where several are."""
-    cuts = chosen.select("*", F.explode(_cuts("phrase")).alias("c")).select("lang", "phrase", "words", "a", "c.*")
+    # A join with counted keys reads its rows three times; each of these stands in a file, so that it is made once.
+    cuts = written(chosen.select("*", F.explode(_cuts("phrase")).alias("c")).select("lang", "phrase", "words", "a", "c.*"), "cuts", "zstd")
     part = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    cuts = join_counted(join_counted(cuts, part("left", "l"), ["lang", "left"]), part("right", "r"), ["lang", "right"])
+    cuts = written(join_counted(cuts, part("left", "l"), ["lang", "left"]), "lefts", "zstd")
+    cuts = join_counted(cuts, part("right", "r"), ["lang", "right"])
     score = F.expr(f"(CAST(a AS DECIMAL(20,0)) * CAST({SCALE} AS DECIMAL(8,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
     least = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "k", "l", "r", "a", "words")).alias("m"))
     return least.select("lang", "phrase", "m.words", "m.a", "m.l", "m.r", "m.score")
