@@ -271,3 +271,16 @@ def test_cuts_are_made_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "left_" not in plan and plan.count("LeftAnti") == 1
     assert [tuple(r) for r in found.collect()] == [("en", "a b c", 3, 30, 60, 50, 2_000_000 * 30 // 110)]
+
+
+def test_phrases_of_split_first_words_are_told_once(spark):
+    """No partial counts: what the tasks tell is what is frequent, however many first words are split."""
+    rows = [("en", "".join(f"hot w{k % 7} v{k % 90} x{k % 1000} " for k in range(j, j + 300))) for j in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    counts = phrases.word_counts(df)
+    share = spark.sparkContext.broadcast
+    codes, hot = share(phrases.Codes(phrases._frequent(counts), ["en"])), share({("en", b"hot"): 6, ("en", b"w1"): 4})
+    dealt = phrases.suffixes(df, codes, hot, share(phrases._often(counts))).repartition(8, "bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
+    got = [(codes.value.phrase(bytes(r.phrase)).decode(), r.n) for r in phrases._prefixes(dealt, codes, hot).collect()]
+    want = Counter(" ".join(w[i : i + m]) for w in (t.split() for _, t in rows) for m in (2, 3, 4) for i in range(len(w) - m + 1))
+    assert sorted(got) == sorted((p, n) for p, n in want.items() if n >= 30) and got

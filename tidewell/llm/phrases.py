@@ -3,8 +3,9 @@
 Every word position starts a suffix of at most MOST words within its piece.  Suffixes are counted where they are
 read, shuffled by language and first word, and sorted in reverse; one stack then counts all their prefixes, which are
 all the phrases.  A phrase that counts has no word that occurs less often than it must, so such words end a piece: a bit
-table of the others (8 MB at most, which may let a rare word pass and stops no other) is sent to all tasks.  First words with more suffixes than a task takes are dealt further by the rest of
-the suffix, and the counts of their phrases are summed afterwards.  Words travel as codes: the CODED most frequent ones at most (a
+table of the others (8 MB at most, which may let a rare word pass and stops no other) is sent to all tasks.  First words with more suffixes than a task takes are dealt further by the two
+words that follow, so that phrases of three words or more are whole in one task; their pairs travel as suffixes of their own,
+one a stretch of text.  Words travel as codes: the CODED most frequent ones at most (a
 table that is sent to all tasks) as two or three bytes, others as they are.  No code begins another, so suffixes that
 share words stand together in the order of their bytes.
 
@@ -219,8 +220,8 @@ class Codes:
 
 def suffixes(docs: DataFrame, codes, hot, often) -> DataFrame:
     """(bucket, key, n): suffixes of two words or more, counted where they are read; key is the language's code and the
-    suffix, bucket is of language and first word, and of the other words too where the first is hot.  codes, hot, the parts
-    of each (language, first word), and often, the table of _often, are broadcast."""
+    suffix, bucket is of language and first word, and of the two words that follow where the first is hot; its pairs then have
+    rows of their own.  codes, hot, the parts of each (language, first word), and often, the table of _often, are broadcast."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,13 +250,20 @@ def suffixes(docs: DataFrame, codes, hot, often) -> DataFrame:
             ids = [ahead >> 32, ahead & 0xFFFFFFFF, behind >> 32, behind & 0xFFFFFFFF]
             ids[2] = np.where(ids[1] > 0, ids[2], 0)
             ids[3] = np.where(ids[2] > 0, ids[3], 0)
-            coded = pa.array([b"", *(known.get(x) or x + b" " for x in seen[1:])], pa.binary())
             parts = np.array([hot.value.get((lang, x), 1) for x in seen])
-            rest = (hashes[ids[1]] * 31 + hashes[ids[2]] * 17 + hashes[ids[3]]) % parts[ids[0]]
+            is_hot = parts[ids[0]] > 1
+            if is_hot.any():
+                two, own_n = ahead[is_hot], n[is_hot]  # sorted, as quads are
+                first = np.flatnonzero(np.append(True, two[1:] != two[:-1]))
+                two, long = two[first], ~is_hot | (ids[2] > 0)
+                ids = [np.append(x[long], y) for x, y in zip(ids, (two >> 32, two & 0xFFFFFFFF, two * 0, two * 0), strict=True)]
+                n = np.append(n[long], np.add.reduceat(own_n, first))
+            coded = pa.array([b"", *(known.get(x) or x + b" " for x in seen[1:])], pa.binary())
+            rest = (hashes[ids[1]] * 31 + hashes[ids[2]] * 17) % parts[ids[0]]
             bucket = (hashes[ids[0]] + rest * 0x9E3779B1) & 0xFFFFF
             key = pc.binary_join_element_wise(pa.scalar(codes.value.language(lang), pa.binary()), *(coded.take(pa.array(x)) for x in ids), pa.scalar(b"", pa.binary()))
-            for a in range(0, len(quads), 100_000):
-                b = min(len(quads), a + 100_000)
+            for a in range(0, len(n), 100_000):
+                b = min(len(n), a + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b], pa.int32()), key[a:b], pa.array(n[a:b], pa.int64())], ["bucket", "key", "n"])
 
     return _texts(docs).mapInArrow(run, "bucket int, key binary, n long")
@@ -304,11 +312,11 @@ def _told(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
 
 
 def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
-    """(lang, phrase, n, whole): counts of all prefixes, of two words or more, of suffixes (key, n) that come in reverse order.
+    """(lang, phrase, n): counts, LEAST_COUNT at least, of prefixes of two words or more of suffixes (key, n) in reverse order.
 
     Keys that share a prefix stand together.  A batch is summed up at once, prefix by prefix; the stack holds the counts so
-    far of the prefixes of the key met last, which go on in the next batch or end there.  Phrases of hot first words, of
-    which other tasks have more, are not whole; whole ones are left out below LEAST_COUNT.
+    far of the prefixes of the key met last, which go on in the next batch or end there.  Of hot first words, other tasks
+    have more of a pair's longer suffixes, so pairs are counted by their own rows alone.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -316,14 +324,14 @@ def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
 
         table, split_key, ends_of = codes.value.table, codes.value.split, codes.value.ends
         split = {codes.value.language(lang) + (table.get(w) or w + b" ") for lang, w in hot.value}
-        names, kinds = ["lang", "phrase", "n", "whole"], [pa.string(), pa.binary(), pa.int64(), pa.bool_()]
+        names, kinds = ["lang", "phrase", "n"], [pa.string(), pa.binary(), pa.int64()]
         stack = [0] * (MOST + 1)  # by number of words; 0 is none
-        lang, begin, last, last_ends, is_hot = None, 0, b"", [], False
+        lang, begin, last, last_ends = None, 0, b"", []
         out: list = []
 
         def pop(shared: int) -> None:
             """Tells the prefixes that end here, of more than the shared words."""
-            rows = [(lang, last[begin : last_ends[d - 1]], stack[d], not is_hot) for d in range(max(2, shared + 1), MOST + 1) if stack[d] and (is_hot or stack[d] >= LEAST_COUNT)]
+            rows = [(lang, last[begin : last_ends[d - 1]], stack[d]) for d in range(max(2, shared + 1), MOST + 1) if stack[d] >= LEAST_COUNT]
             stack[shared + 1 :] = [0] * (MOST - shared)
             if rows:
                 out.append(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names))
@@ -363,19 +371,19 @@ def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
                     if not len(have):
                         continue
                     heads = np.flatnonzero(np.append(True, shared[have[1:]] < d))
-                    sums = np.add.reduceat(n[have], heads)
+                    sums = np.add.reduceat(np.where(is_split & (words > 2), 0, n)[have] if d == 2 else n[have], heads)
                     if not have[0] and shared[0] >= d:
                         sums[0] += stack[d]
                     stack[d] = 0
                     at = have[heads]
                     if have[-1] == b - a - 1:  # goes on
                         stack[d], sums, at = int(sums[-1]), sums[:-1], at[:-1]
-                    kept = (sums >= LEAST_COUNT) | is_split[at]
+                    kept = sums >= LEAST_COUNT
                     at = at[kept]
                     if len(at):
                         start = offsets[a + at]
-                        out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), _told(data, start + begin, start + ends[d - 1][at]), pa.array(sums[kept], pa.int64()), pa.array(~is_split[at])], names))
-                last, is_hot = whole[b - a - 1].as_py(), bool(is_split[-1])
+                        out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), _told(data, start + begin, start + ends[d - 1][at]), pa.array(sums[kept], pa.int64())], names))
+                last = whole[b - a - 1].as_py()
                 last_ends = [int(e[-1]) for e in ends[: words[-1]]]
                 a = b
             if sum(x.num_rows for x in out) > 50_000:
@@ -385,7 +393,7 @@ def _prefixes(sorted_keys: DataFrame, codes, hot) -> DataFrame:
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return sorted_keys.mapInArrow(run, "lang string, phrase binary, n long, whole boolean")
+    return sorted_keys.mapInArrow(run, "lang string, phrase binary, n long")
 
 
 def phrase_counts(docs: DataFrame, counts: DataFrame, a_task: int = SUFFIXES_A_TASK) -> DataFrame:
@@ -402,7 +410,6 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, a_task: int = SUFFIXES_A_T
     often = spark.sparkContext.broadcast(_often(counts))
     dealt = suffixes(docs, codes, hot, often).repartition(tasks, "bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
     found = written(_prefixes(dealt, codes, hot), "prefixes", "zstd")
-    summed = found.filter("NOT whole").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -412,7 +419,7 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, a_task: int = SUFFIXES_A_T
             coded = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(own.phrase, coded), pa.binary()), pa.array([len(own.ends(x)) for x in coded], pa.int32()), batch.column(2)], ["lang", "phrase", "words", "f"])
 
-    named = found.filter("whole").select("lang", "phrase", "n").unionByName(summed).mapInArrow(read, "lang string, phrase binary, words int, f long")
+    named = found.mapInArrow(read, "lang string, phrase binary, words int, f long")
     single = counts.filter(F.col("n") >= LEAST_COUNT).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
     return written(named.unionByName(single).select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "phrases", "zstd")
 
