@@ -102,3 +102,42 @@ def test_pieces_encoded_together_equal_pieces_encoded_one_by_one():
         want = [bpe.encode_word(w, ranks) for w in words]
         ids, sizes = bpe.Merges(merges, len(bpe.SPECIALS)).encode(pa.array([b"x", *words], pa.binary()).slice(1))
         assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [x for w in want for x in w]
+
+
+@pytest.mark.parametrize(("stretches", "ahead"), [(1, 3), (30, 16), (100_000, 256)])
+def test_rounds_of_any_size_learn_what_one_merge_after_another_does(spark, monkeypatch, stretches, ahead):
+    """Ties of many pairs, runs of one id and pieces that differ in length; rounds of a pair alone where the driver may hold nothing."""
+    monkeypatch.setattr(bpe_train, "STRETCHES", stretches)
+    monkeypatch.setattr(bpe_train, "BLOCK_IDS", 400)
+    monkeypatch.setattr(bpe_train, "HELD", 50)
+    rng = random.Random(11)
+    words = dict(("".join(rng.choices("aaabcd", k=rng.randint(1, 9))), rng.choice([1, 1, 2, 30])) for _ in range(200)) | {"a" * 90: 1, "xyz": 5, "xyzx": 5}
+    rows = spark.createDataFrame(list(words.items()), "piece string, cnt long").repartition(2)
+    size = 272 if stretches < 100 else 400
+    want = bpe.train({w.encode(): n for w, n in words.items()}, size)
+    assert bpe_train.train_spread(rows, size, ahead=ahead) == want
+    assert len(want) > 10
+
+
+def test_first_pairs_are_those_before_all_others(spark):
+    keys = [(a << 16 | b, n) for a, b, n in [(5, 6, 9), (5, 7, 4), (9, 1, 4), *[(k, j, 3) for k in (8, 4) for j in range(6)], (1, 1, 2)]]
+    pairs, order = spark.createDataFrame(keys, "key long, n long"), sorted(keys, key=lambda x: (-x[1], x[0]))
+    for rows in (pairs, pairs.filter("n = 3")):
+        own = [k for k, n in order if n == 3 or rows is pairs]
+        for most in (1, 2, 3, 4, 8, 15, 40):
+            found, (n, (a, b)) = bpe_train._first(rows, most, 2)
+            assert 1 <= len(found) <= most and set(found) == set(own[: len(found)])
+            assert all((-dict(keys)[k], (k >> 16, k & 0xFFFF)) > (n, (a, b)) for k in own[len(found) :])
+    assert bpe_train._first(pairs.limit(0), 5, 2)[0] == []
+
+
+def test_the_whole_vocabulary_is_learnt_from_all_texts(spark, monkeypatch):
+    """Not a small part of the reference's 32,768 ids, and not from the first texts alone."""
+    from tidewell.plans import corpus_queries
+    from tidewell.plans import fixtures as fx
+
+    monkeypatch.setattr(corpus_queries, "TRAINED_BYTES", 10_000)
+    words = {r.piece.encode(): r.cnt for r in bpe.word_counts(fx.docs(spark, SMALL)).collect()}
+    want = bpe.train(words, 32768)
+    assert sorted(map(tuple, entry.queries()["bpe_train"](spark, SMALL).collect())) == want
+    assert len(want) > 10_000
